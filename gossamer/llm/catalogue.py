@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from . import mixing, packing
+from . import jaccard, langid, mixing, packing, pii, quality, urls
 
 QUERIES = {
+    "op1_additive_pairs": quality.op1_additive_pairs,
+    "op3_rank_order": langid.op3_rank_order,
+    "op5_markov_ratio": urls.op5_markov_ratio,
+    "op7_jaccard_join": jaccard.op7_jaccard_join,
+    "op8_bilstm_crf": pii.op8_bilstm_crf,
     "op9_best_two_fit": packing.op9_best_two_fit,
     "op10_mix": mixing.op10_mix,
 }
