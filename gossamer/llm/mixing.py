@@ -75,7 +75,7 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
             bound = Saved(bound.drop("n"), "bounds").df
     edge = bound.select(F.col("source").alias("src"), F.col("prefix").alias("edge"), (F.col("n") - F.col("need") < F.col("need")).alias("on"))
     p = plan.select(F.col("source").alias("of"), "source_size", "target", "copies", "need")
-    cut = p.join(edge, p["of"].eqNullSafe(edge["src"]), "left")
+    cut = Saved(p.join(edge, p["of"].eqNullSafe(edge["src"]), "left").drop("src"), "cuts").df  # small: a row a source
     out = table.join(cut, table["source"].eqNullSafe(cut["of"]))
     # without an edge the budget is the whole source (rounding only): all are taken
     once_more = F.when(F.col("edge").isNull(), F.col("need") > 0).otherwise((F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.col("on")))
