@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import lru_cache
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
@@ -22,6 +23,8 @@ from xxhash import xxh64_intdigest
 from .common import Saved, connected_components, tune, within
 
 U = np.uint64
+#: Dealings of shingles to classes that a set may need; nearly all need one.
+DEALINGS = 6
 _MULT = (np.random.default_rng(20).integers(1, 2**63, 64, np.int64).astype(U) << U(1)) | U(1)
 
 
@@ -54,7 +57,7 @@ def set_key(s: np.ndarray) -> tuple[int, int]:
 
 @lru_cache(maxsize=8)
 def _bounds(ratio: float) -> np.ndarray:
-    return np.unique(np.ceil(ratio ** np.arange(1, 70)).astype(np.int64))
+    return np.unique(np.ceil(ratio ** np.arange(1, 50)).astype(np.int64))
 
 
 @dataclass(frozen=True)
@@ -64,7 +67,8 @@ class Rule:
     k: int = 5
     num: int = 80
     den: int = 100
-    ratio: float = 1.6
+    ratio: float = 2.0
+    spare: float = 1.15
 
     def errors(self, n):
         """The most shingles in which a set of n can differ from one it links to."""
@@ -75,26 +79,42 @@ class Rule:
         return int(np.searchsorted(_bounds(self.ratio), n, side="right"))
 
     def classes(self, level: int) -> int:
-        """More classes than differing shingles for a link whose smaller set is of this level at most."""
-        return int(self.errors(int(_bounds(self.ratio)[level]) - 1)) + 1
+        """More classes than differing shingles for a link whose larger set is of this level."""
+        return ceil(self.spare * (self.errors(int(_bounds(self.ratio)[level]) - 1) + 1))
 
     def signatures(self, s: np.ndarray) -> np.ndarray:
-        """Keys of which any two different sets that link share one at least."""
+        """Keys of which any two different sets that link share one at least.
+
+        At the level of the larger set, classes are put in order of their size (ties: by number). Both sets emit more of
+        the first classes than shingles can differ, so either emits a class without a difference, and so both emit the
+        first such class of all: its size, and so its place before others, is the same in both. Large classes are far
+        less likely to agree by chance than small ones. Empty classes are not emitted; a set with too few others emits
+        those of a further dealing, too, and where all dealings fail, empty ones. Sets that can differ in one shingle
+        only emit themselves and themselves less each shingle.
+        """
         n, out = len(s), []
-        if self.errors(n) == 0:
+        k = self.errors(n)
+        if k == 0:
             return np.zeros(0, U)  # links to equal sets only
-        low = self.level(n)
-        high = self.level(n * self.den // self.num)
-        for level in range(low, high + 1):  # a larger partner's level has its own classes
-            m = self.classes(level)
-            c = ((s >> U(32)) * U(m)) >> U(32)
-            total, count = np.zeros(m, U), np.bincount(c.astype(np.int64), minlength=m)
-            with np.errstate(over="ignore"):
-                np.add.at(total, c.astype(np.int64), mix(s ^ U(0x9E3779B97F4A7C15)))
-                key = mix(total ^ mix(np.arange(m, dtype=U) + U(level << 40)))
-            full = count > 0
-            # empty classes could agree too; they only matter where full ones may all differ
-            out.append(key[full] if full.sum() > self.errors(n) else key)
+        low, high = self.level(n), self.level(n * self.den // self.num)
+        with np.errstate(over="ignore"):
+            one = mix(s ^ U(0x9E3779B97F4A7C15))
+            if k == 1 or self.errors(ceil(n * self.num / self.den)) <= 1:  # a set of up to this size may be the larger one
+                out.append(mix(np.append(one.sum() - one, one.sum())))
+            if k == 1:
+                return out[0]
+            for level in range(low, high + 1):  # a larger partner's level has its own classes
+                m = self.classes(level)
+                for dealing in range(DEALINGS):
+                    c = (((mix(s + U(dealing)) if dealing else s) >> U(32)) * U(m) >> U(32)).astype(np.int64)
+                    count, total = np.bincount(c, minlength=m), np.zeros(m, U)
+                    np.add.at(total, c, one)
+                    key = mix(total ^ mix(np.arange(m, dtype=U) + U((level << 40) + (dealing << 32))))
+                    first = np.argsort(-count, kind="stable")[: k + 1]
+                    enough = count[first[-1]] > 0 and len(first) > k
+                    out.append(key[first[count[first] > 0]] if enough or dealing < DEALINGS - 1 else key[first])
+                    if enough:
+                        break
         return np.concatenate(out)
 
 
