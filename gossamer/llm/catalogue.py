@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from . import jaccard, langid, mixing, packing, pii, quality, urls
+from . import hamming, jaccard, langid, licenses, mixing, packing, pii, quality, urls, vectors
 
 QUERIES = {
     "op1_additive_pairs": quality.op1_additive_pairs,
+    "op2_multi_index": vectors.op2_multi_index,
     "op3_rank_order": langid.op3_rank_order,
+    "op4_multi_index_hashing": hamming.op4_multi_index_hashing,
     "op5_markov_ratio": urls.op5_markov_ratio,
+    "op6_license_paragraphs": licenses.op6_license_paragraphs,
     "op7_jaccard_join": jaccard.op7_jaccard_join,
     "op8_bilstm_crf": pii.op8_bilstm_crf,
     "op9_best_two_fit": packing.op9_best_two_fit,

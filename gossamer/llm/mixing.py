@@ -40,26 +40,15 @@ def targets(sums: DataFrame, weights: tuple[int, ...] = (1, 2, 3), most: int = 3
     return s.select("source", "source_size", "target", "copies", (F.col("target") - F.col("copies") * F.col("source_size")).alias("need"))
 
 
-def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=(1, 2, 3), most: int = 3) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken): what a mix of all rows takes of each document.
-
-    Every document of a source is taken `floor(target / size of source)` times. The rest of the budget is a hash
-    threshold: sizes are summed by source and the hash's top bits, the bucket in which the running sum passes the
-    budget is split by the next bits, and so on to one hash; documents below are taken once more, the one on it if
-    that comes nearer. Sums are partial before each shuffle, so a source of any share never meets in one task; no
-    row is sorted.
+def cuts(sizes: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
+    """A row a source: (of, source_size, target, copies, need, edge, on) for sizes of (source, size, h).
 
-    Null text has size 0; rows of size 0 take 0. A null source is a source, the last. Rows that share a doc_id share
-    a hash: they are taken together. An empty table gives an empty table. Extra columns are ignored.
+    `copies` times every document is taken; once more those with a hash below `edge`, and at it if `on`.
     """
-    base = docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size"), _hash(doc_id).alias("h")
-    )
-    table = Saved(base, "sizes").df
-    sums = table.groupBy("source").agg(F.sum("size").alias("source_size"))
+    sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = Saved(targets(sums, weights, most), "targets").df
     bound = plan.select("source", "need", F.lit(0).cast("long").alias("prefix"))
-    rows = table
+    rows = sizes.select("source", "size", "h")
     for shift in range(BITS - STEP, -1, -STEP):
         b = bound.select(F.col("source").alias("src"), "need", "prefix")
         inside = rows.join(b, rows["source"].eqNullSafe(b["src"]) & (F.shiftright("h", shift + STEP) == F.col("prefix")))
@@ -75,11 +64,47 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
             bound = Saved(bound.drop("n"), "bounds").df
     edge = bound.select(F.col("source").alias("src"), F.col("prefix").alias("edge"), (F.col("n") - F.col("need") < F.col("need")).alias("on"))
     p = plan.select(F.col("source").alias("of"), "source_size", "target", "copies", "need")
-    cut = Saved(p.join(edge, p["of"].eqNullSafe(edge["src"]), "left").drop("src"), "cuts").df  # small: a row a source
-    out = table.join(cut, table["source"].eqNullSafe(cut["of"]))
+    return Saved(p.join(edge, p["of"].eqNullSafe(edge["src"]), "left").drop("src"), "cuts").df  # small: a row a source
+
+
+def times(h: Column) -> Column:
+    """How often a document of hash `h` is taken, beside its source's row of `cuts`."""
     # without an edge the budget is the whole source (rounding only): all are taken
-    once_more = F.when(F.col("edge").isNull(), F.col("need") > 0).otherwise((F.col("h") < F.col("edge")) | ((F.col("h") == F.col("edge")) & F.col("on")))
-    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * (F.col("copies") + F.when(once_more, 1).otherwise(0))).alias("taken"))
+    once_more = F.when(F.col("edge").isNull(), F.col("need") > 0).otherwise((h < F.col("edge")) | ((h == F.col("edge")) & F.col("on")))
+    return F.col("copies") + F.when(once_more, 1).otherwise(0)
+
+
+def sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
+    size = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), size.alias("size"), _hash(doc_id).alias("h"))
+
+
+def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=(1, 2, 3), most: int = 3) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken): what a mix of all rows takes of each document.
+
+    Every document of a source is taken `floor(target / size of source)` times. The rest of the budget is a hash
+    threshold: sizes are summed by source and the hash's top bits, the bucket in which the running sum passes the
+    budget is split by the next bits, and so on to one hash; documents below are taken once more, the one on it if
+    that comes nearer. Sums are partial before each shuffle, so a source of any share never meets in one task; no
+    row is sorted.
+
+    Null text has size 0; rows of size 0 take 0. A null source is a source, the last. Rows that share a doc_id share
+    a hash: they are taken together. An empty table gives an empty table. Extra columns are ignored.
+    """
+    table = Saved(sized(docs, doc_id, text, source), "sizes").df
+    cut = cuts(table, weights, most)
+    out = table.join(cut, table["source"].eqNullSafe(cut["of"]))
+    return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times(F.col("h"))).alias("taken"))
+
+
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Take each document as often as the mix does: rows repeat, or go. The columns stay; an empty text counts as any."""
+    cut = cuts(Saved(sized(docs, "doc_id", "text", "source"), "sizes").df)
+    names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # apart from the names of the cuts
+    rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()))
+    out = rows.join(cut, rows[names["source"]].eqNullSafe(cut["of"])).withColumn("_times", times(_hash(names["doc_id"])).cast("int"))
+    out = out.where("_times > 0").withColumn("_again", F.explode(F.sequence(F.lit(1), F.col("_times"))))
+    return out.select(*(F.col(n).alias(c) for c, n in names.items()))
 
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

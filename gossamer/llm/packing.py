@@ -167,6 +167,11 @@ def pack(docs: DataFrame, doc_id="doc_id", text="text", size: int = 1024, end_id
     return ranked.select(*cut.columns[:5], "rank").mapInArrow(place, schema)
 
 
+def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places (see `pack`)."""
+    return pack(docs)
+
+
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents` packed into sequences of 1024 tokens (see `pack`)."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -234,7 +234,7 @@ def reconcile(found: list[tuple[float, int, int, str]], taken: list[tuple[int, i
     return out
 
 
-def added_spans(texts: list[str | None], bases: list[list[tuple[str, int, int]]], tagger: Tagger, least: float = 2.0, rows: int = 512) -> list[list[tuple[str, int, int]]]:
+def added_spans(texts: list[str | None], bases: list[list[tuple[str, int, int]]], tagger: Tagger, least: float = 0.25, rows: int = 512) -> list[list[tuple[str, int, int]]]:
     """The model's spans in each text beside its base spans, each decoded in every window that holds it whole."""
     at = [(i, w) for i, t in enumerate(texts) if t for w in windows(t)]
     found: list[list] = [[] for _ in texts]
@@ -299,7 +299,7 @@ def _example(r: np.random.Generator, words: list[str]) -> tuple[str, str | None]
     return str(r.choice([f'token = "{hexed}"', f"{r.integers(1900, 2100)}-{r.integers(10, 13)}-{d(2)}", f"{d(1)}.{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(3)},{d(3)}.{d(2)}", d(16), d(8), f"{d(4)}:{d(2)}", f"page {d(3)}", f"@{w()}", f"{d(1)}.{d(1)}.{d(1)}.999", f"{d(5)}-{d(2)}"])), None
 
 
-def labelled(carriers: list[str], n: int = 1600, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def labelled(carriers: list[str], n: int = 2400, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Windows of carrier text with made-up strings put in, and the tags of the spans among them."""
     r = np.random.default_rng(seed)
     carriers = [c for c in carriers if not TRIGGER.search(c)] or ["the quick brown fox jumps over the lazy dog while it rains"]
