@@ -164,7 +164,9 @@ def scan(docs: DataFrame, doc_id="doc_id", text="text", sample: int = 1500, conf
     spark = docs.sparkSession
     tune(spark)
     model = fit(unknown_sample(docs, text, sample))
-    weights = _table(spark, [{"gram": g, "w": w} for g, w in model.weights.items()], "gram: string, w: array<double>")
+    plain = [(f, i, grams_of(t.format(n="0", y="0", who=""))) for f, ts in STATEMENTS.items() for i, t in enumerate(ts)]
+    all_ = sorted(set(model.weights).union(*(g for *_, g in plain)))  # templates also hold n-grams without a weight
+    weights = _table(spark, [{"gram": g, "w": model.weights.get(g, [0.0] * len(FAMILIES))} for g in all_], "gram: string, w: array<double>")
     needed = sorted({t for g, w in model.weights.items() if max(w) > 0 for t in g.split(" ")} & _necessary(model))
     body = paragraphs(docs, doc_id, text)
     # the key of a line: its document, place and a hash of the words, as ids may repeat
@@ -179,7 +181,6 @@ def scan(docs: DataFrame, doc_id="doc_id", text="text", sample: int = 1500, conf
     named = sums.select(*key, best.alias("b")).where(F.col("b.score") >= model.cut)
     family = F.element_at(F.array(*map(F.lit, FAMILIES)), 1 - F.col("b.k"))
     named = named.select(*key, family.alias("family"), F.col("b.score").alias("score"))
-    plain = [(f, i, grams_of(t.format(n="0", y="0", who=""))) for f, ts in STATEMENTS.items() for i, t in enumerate(ts)]
     templates = _table(spark, [{"gram": g, "family": f, "template": i, "part": 1 / len(gs)} for f, i, gs in plain for g in sorted(gs)], "gram: string, family: string, template: int, part: double")
     shares = named.join(hits.select(*key, "gram"), key).join(F.broadcast(templates), ["gram", "family"])
     shares = shares.groupBy(*key, "family", "score", "template").agg(F.sum("part").alias("share"))
