@@ -121,7 +121,7 @@ def permuted(key: bytes, back: bool = False):
                 out.append(str(f.back(i) if back else f.forward(i)))
         return pa.array(out, pa.string())
 
-    return run
+    return run.asNondeterministic()  # so that Catalyst never moves it into a lambda, where it cannot run
 
 
 def _date(v: Column) -> Column:
