@@ -1,0 +1,34 @@
+"""Every query with SQL equals its oracle."""
+
+import os
+
+import duckdb
+import pytest
+
+from gossamer.plans import catalogue as C
+
+SF = "/root/testdata/sf0.001"
+TABLES = "customer orders part events documents conversations".split()
+
+
+@pytest.fixture(scope="module")
+def duck():
+    c = duckdb.connect()
+    for t in TABLES:
+        p = f"{SF}/{t}.parquet"
+        c.execute(f"create view {t} as select * from read_parquet('{p + '/*.parquet' if os.path.isdir(p) else p}')")
+    return c
+
+
+def plain(df):
+    df = df[sorted(df.columns)].astype(object)
+    return list(df.columns), sorted(repr([str(v) for v in r]) for r in df.itertuples(index=False))
+
+
+@pytest.mark.parametrize("name", list(C.QUERIES))
+def test_query(spark, duck, name):
+    got = C.QUERIES[name](spark, SF).toPandas()
+    if name in C.ORACLES:
+        assert plain(got) == plain(duck.execute(C.ORACLES[name]).df())
+    else:
+        assert len(got)
