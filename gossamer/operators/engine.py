@@ -69,10 +69,9 @@ class Engine:
 
     def values(self, found: DataFrame, scope: str) -> DataFrame:
         """(scope, entity_type, value, clear_hmac, format_pattern): distinct values of the spans, one row each."""
-        s = F.col("s")
-        rows = found.select(F.col(scope).cast("string").alias("scope"), F.explode("spans").alias("s"), F.col("_text").alias("_text"))
-        raw = F.substr("_text", s["start"] + 1, s["end"] - s["start"])
-        pattern = F.when(s["type"].isin(*GAZETTEER_KIND), case_pattern(s["value"])).when(s["type"].isin(*NUMBERS), template(raw))
+        s = F.col("z.spans")
+        rows = found.select(F.col(scope).cast("string").alias("scope"), F.explode(F.arrays_zip("spans", "raws")).alias("z"))
+        pattern = F.when(s["type"].isin(*GAZETTEER_KIND), case_pattern(s["value"])).when(s["type"].isin(*NUMBERS), template(F.col("z.raws")))
         rows = rows.select("scope", s["type"].alias("entity_type"), canonical(s["type"], s["value"]).alias("value"), pattern.alias("format_pattern"))
         rows = rows.groupBy("scope", "entity_type", "value").agg(F.min("format_pattern").alias("format_pattern"))
         return rows.withColumn("clear_hmac", clear_hmac(self.key, F.col("scope"), F.col("entity_type"), F.col("value")))
@@ -85,11 +84,13 @@ class Engine:
     def mask(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: str = "scope") -> tuple[DataFrame, DataFrame]:
         """(`docs` with masked text and `entities`, registry rows of all issued surrogates).
 
-        Offsets of entities are those of the masked text. `doc_id` must tell rows apart where a gazetteer is used.
+        Offsets of entities are those of the masked text. `doc_id` must tell rows apart. Spans and issued values are
+        used several times, so both are persisted (without the texts); `spark.catalog.clearCache()` frees them.
         """
-        found = self.detect(docs, doc_id, text).withColumn("_text", F.col(text))
+        raws = F.transform("spans", lambda s: F.substr(F.col(text), s["start"] + 1, s["end"] - s["start"]))
+        found = self.detect(docs, doc_id, text).select(doc_id, scope, "spans", raws.alias("raws")).persist()
         self.check_policy(found)
-        issued = self.issue(self.values(found, scope))
+        issued = self.issue(self.values(found, scope)).persist()
         s = F.col("s")
         spans = found.select(doc_id, F.col(scope).cast("string").alias("scope"), F.posexplode("spans").alias("i", "s")).withColumns({"entity_type": s["type"], "value": canonical(s["type"], s["value"])})
         joined_ = spans.join(issued.select("scope", "entity_type", "value", "surrogate"), ["scope", "entity_type", "value"], "left")

@@ -75,18 +75,27 @@ def choose(hits: Column) -> Column:
 def find(texts: DataFrame, surrogates: DataFrame, doc_id: str, text: str, scope: str) -> DataFrame:
     """(doc_id, hits) of the surrogates (scope, surrogate) that each text may hold, before `believe`.
 
-    Texts meet variants by words: every variant has its longest word as an anchor, and only texts with that word, of
-    the same scope, are searched for it. Words that variants of two surrogates share cost a search, no more. Texts are
-    read as written and with blanks between digits closed; the latter's hits have their offsets in the text as written.
+    Texts meet variants by words: a variant's anchor is its word that the fewest variants of the scope hold, the longest
+    of equals, and only texts with that word, of the same scope, are searched for it; a plain substring test comes
+    before the search. Single blanks between digits count for nothing, in texts and in variants; hits have their
+    offsets in the text as written.
     """
+    closed = lambda c: F.regexp_replace(c, r"(?<=[0-9]) (?=[0-9])", "")
+    word = F.lit(r"\p{L}+|[0-9]+")
     v = surrogates.select(F.col("scope").alias("v_scope"), "surrogate", F.explode(variants(F.col("surrogate"))).alias("variant"))
-    longest = F.array_max(F.transform(F.regexp_extract_all("variant", F.lit(r"\p{L}+|[0-9]+"), F.lit(0)), lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
-    v = v.withColumn("anchor", longest).where("anchor is not null")
-    rows = texts.select(F.col(doc_id).alias("doc_id"), F.col(scope).alias("t_scope"), F.col(text).alias("text"))
-    closed = F.regexp_replace("text", r"(?<=[0-9]) (?=[0-9])", "")
-    held = F.array_union(F.regexp_extract_all("text", F.lit(r"\p{L}+|[0-9]+"), F.lit(0)), F.regexp_extract_all(closed, F.lit("[0-9]+"), F.lit(0)))
-    near = rows.select("doc_id", "t_scope", F.explode(F.array_distinct(held)).alias("anchor"))
-    pairs = near.join(v, (near["t_scope"] == v["v_scope"]) & (near["anchor"] == v["anchor"])).groupBy("doc_id", "t_scope").agg(F.collect_set(F.struct("surrogate", "variant")).alias("wanted"))
+    # digits are one word whether apart or not, so grouped forms need no anchor of their own
+    v = v.select("v_scope", "surrogate", "variant", closed(F.col("variant")).alias("plain"))
+    held = v.select("v_scope", "plain", F.explode(F.array_distinct(F.regexp_extract_all("plain", word, F.lit(0)))).alias("w")).distinct()
+    often = held.groupBy("v_scope", "w").agg(F.count("*").alias("n"))
+    rare = held.join(often, ["v_scope", "w"]).groupBy("v_scope", "plain").agg(F.min_by("w", F.struct("n", -F.length("w"), "w")).alias("anchor"))
+    v = v.join(rare, ["v_scope", "plain"])
+    rows = texts.select(F.col(doc_id).alias("doc_id"), F.col(scope).alias("t_scope"), F.col(text).alias("text")).where("text is not null")
+    there = F.array_union(F.regexp_extract_all("text", word, F.lit(0)), F.regexp_extract_all(closed(F.col("text")), F.lit("[0-9]+"), F.lit(0)))
+    near = rows.select("doc_id", "t_scope", F.explode(F.array_distinct(there)).alias("anchor"))
+    pairs = near.join(v, (near["t_scope"] == v["v_scope"]) & (near["anchor"] == v["anchor"])).groupBy("doc_id", "t_scope").agg(F.collect_set(F.struct("surrogate", "variant", "plain")).alias("all"))
+    found = rows.join(pairs, ["doc_id", "t_scope"])
+    wanted = let(F.struct(closed(F.col("text")).alias("c"), F.col("all").alias("a")), lambda t: F.filter(t["a"], lambda x: F.contains(t["c"], x["plain"])))
+    found = found.withColumn("wanted", wanted).where(F.size("wanted") > 0)
     # digits of a variant may stand apart by single blanks in the text
     spaced = lambda x: F.regexp_replace(quote(x["variant"]), r"(?<=[0-9])(?=[0-9])", r"\\E ?\\Q")
 
@@ -94,5 +103,4 @@ def find(texts: DataFrame, surrogates: DataFrame, doc_id: str, text: str, scope:
         one = lambda x: F.transform(matches(t["text"], spaced(x)), lambda m: F.struct(m["start"], m["end"], x["surrogate"].alias("surrogate"), (m["value"] == x["surrogate"]).alias("exact")))
         return F.flatten(F.transform(t["wanted"], one))
 
-    got = rows.join(pairs, ["doc_id", "t_scope"]).select("doc_id", F.col("t_scope").alias("scope"), "text", let(F.struct("text", "wanted"), search).alias("hits"))
-    return got.select("doc_id", "scope", "hits")
+    return found.select("doc_id", F.col("t_scope").alias("scope"), let(F.struct("text", "wanted"), search).alias("hits"))
