@@ -20,6 +20,7 @@ from .detect import NO_SPANS, references, dates, emails, plates, structured, tex
 from .match import HITS, believe, choose, find
 from .names import TRIGGERS, WINDOW, detect_names
 from .places import detect_places
+from .postcodes import coherent
 from .surrogates import GAZETTEER_KIND, NUMBERS, canonical, clear_hmac, with_surrogates
 
 WEAK = 0.8
@@ -29,16 +30,18 @@ class Engine:
     """Reversible pseudonyms for tables of texts.
 
     `key`: 16, 24 or 32 bytes. `gazetteer`: a table as of `sources.gazetteers`, or None to leave names and places out.
-    `policy`: "permissive", or "strict" to refuse texts with resolved spans of a confidence below 0.8.
+    `coherent_postcodes` puts postcodes into the department of the surrogate of the commune beside them; they then depend
+    on the values of one call, as places are given out. `policy`: "permissive", or "strict" to refuse texts with resolved spans of a confidence below 0.8.
     """
 
-    def __init__(self, spark: SparkSession, key: bytes, gazetteer: DataFrame | None = None, reference_patterns: list[str] | None = None, policy: str = "permissive", triggers=TRIGGERS, window: int = WINDOW, priority: dict[str, int] | None = None):
+    def __init__(self, spark: SparkSession, key: bytes, gazetteer: DataFrame | None = None, reference_patterns: list[str] | None = None, policy: str = "permissive", triggers=TRIGGERS, window: int = WINDOW, priority: dict[str, int] | None = None, coherent_postcodes: bool = False):
         if policy not in ("permissive", "strict"):
             raise ValueError("the policy is permissive or strict")
         for p in reference_patterns or []:
             re.compile(p)
         self.spark, self.key, self.gazetteer, self.patterns, self.policy = spark, check_key(key), gazetteer, reference_patterns or [], policy
         self.triggers, self.window, self.priority = triggers, window, priority
+        self.coherent = coherent_postcodes and gazetteer is not None
         self.version = gazetteers.version(gazetteer) if gazetteer is not None else None
 
     def detect(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -91,6 +94,8 @@ class Engine:
         found = self.detect(docs, doc_id, text).select(doc_id, scope, "spans", raws.alias("raws")).persist()
         self.check_policy(found)
         issued = self.issue(self.values(found, scope)).persist()
+        if self.coherent:
+            issued = coherent(found, issued, self.gazetteer, self.key, scope).persist()
         s = F.col("s")
         spans = found.select(doc_id, F.col(scope).cast("string").alias("scope"), F.posexplode("spans").alias("i", "s")).withColumns({"entity_type": s["type"], "value": canonical(s["type"], s["value"])})
         joined_ = spans.join(issued.select("scope", "entity_type", "value", "surrogate"), ["scope", "entity_type", "value"], "left")
@@ -103,11 +108,13 @@ class Engine:
 
     def restore(self, issued: DataFrame) -> DataFrame:
         """(scope, surrogate, clear) of registry rows, in the written form of the clear value."""
-        rows = issued.select("scope", "entity_type", F.col("surrogate").alias("value"), "mode", "format_pattern")
+        # a coherent postcode is restored by the index in `mode`
+        coded = (F.col("entity_type") == "CODE_POSTAL") & F.col("mode").isNotNull()
+        rows = issued.select("scope", "entity_type", F.when(coded, F.col("mode")).otherwise(F.col("surrogate")).alias("value"), "mode", "format_pattern", F.col("surrogate").alias("shown"))
         back = with_surrogates(rows, self.key, self.gazetteer, back=True).where("out is not null")
         kind = F.col("entity_type")
         clear = F.when(kind.isin(*GAZETTEER_KIND) & F.col("format_pattern").isNotNull(), apply_case(F.col("out"), F.col("format_pattern"))).when(kind.isin(*NUMBERS), fill(F.col("format_pattern"), F.col("out"))).otherwise(F.col("out"))
-        return back.select("scope", F.col("value").alias("surrogate"), clear.alias("clear"))
+        return back.select("scope", F.col("shown").alias("surrogate"), clear.alias("clear"))
 
     def unmask(self, docs: DataFrame, issued: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: str = "scope") -> DataFrame:
         """`docs` with every issued surrogate of its scope, in any of its writings, replaced by the clear value.

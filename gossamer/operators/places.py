@@ -77,3 +77,13 @@ def detect_places(docs: DataFrame, gazetteer: DataFrame, doc_id: str, text: str,
     places = F.coalesce("p", F.array().cast(NO_SPANS))
     communes = F.filter(places, lambda s: s["type"] == "COMMUNE")
     return rows.select("doc_id", F.concat(places, F.coalesce(coupled_postcodes(F.col("text"), communes), F.array().cast(NO_SPANS))).alias("spans"))
+
+
+def detect_communes(*args, **kwargs) -> DataFrame:
+    """`detect_places`, communes only."""
+    return detect_places(*args, **kwargs).withColumn("spans", F.filter("spans", lambda s: s["type"] == "COMMUNE"))
+
+
+def detect_streets(*args, **kwargs) -> DataFrame:
+    """`detect_places`, streets only."""
+    return detect_places(*args, **kwargs).withColumn("spans", F.filter("spans", lambda s: s["type"] == "VOIE"))
