@@ -73,12 +73,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now, mark = Saved(e, "edges"), None
     while True:
         both = now.df.union(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = Saved(small.union(low).distinct(), "edges")
-        now.drop()
+        # the minima are tables of their own: a join to an aggregate could not be split where a node is hot
+        least = Saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = Saved(both.join(least.df, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = Saved(large.df.groupBy("u").agg(F.min("v").alias("m")), "low")
+        small = large.df.join(low.df, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = Saved(small.union(low.df).distinct(), "edges")
+        for old in (now, least, large, low):
+            old.drop()
         now = new
         got = tuple(now.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if got == mark or not got[0]:
