@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import tune
+from .common import Saved, tune
 
 #: Statements by family, written for this scan; {n} stands for a version, {y} for a year, {who} for a holder.
 STATEMENTS = {
@@ -141,11 +141,12 @@ def paragraphs(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
 
 def unknown_sample(docs: DataFrame, text: str, sample: int) -> list[str]:
     """About `sample` lines without a licence word, chosen by a hash of the line; equal lines count once."""
-    lines = docs.select(F.explode(F.split(F.col(text).cast("string"), "\n")).alias("t")).where("trim(t) <> ''")
-    plain = lines.where(~F.lower("t").rlike(r"licen[sc]e|copyright|\bgnu\b|\bcc0\b|\bcc by|redistribut|warrant|permission|rights reserved|proprietary"))
-    n = plain.count()
+    all_ = docs.select(F.col(text).cast("string").alias("text"))
+    n = all_.agg(F.sum(F.length("text") - F.length(F.translate("text", "\n", "")) + 1)).first()[0] or 0
     slot = F.pmod(F.xxhash64("t"), F.lit(10_000_000))
-    return [r[0] for r in plain.where(slot < int(min(1.0, sample / max(1, n)) * 10_000_000)).distinct().orderBy("t").collect()]
+    lines = all_.select(F.explode(F.split("text", "\n")).alias("t")).where(slot < int(min(1.0, sample / max(1, n)) * 10_000_000)).distinct()
+    plain = lines.where("trim(t) <> ''").where(~F.lower("t").rlike(r"licen[sc]e|copyright|\bgnu\b|\bcc0\b|\bcc by|redistribut|warrant|permission|rights reserved|proprietary"))
+    return [r[0] for r in plain.orderBy("t").collect()]
 
 
 def scan(docs: DataFrame, doc_id="doc_id", text="text", sample: int = 1500, confirm: float = 0.6) -> DataFrame:
@@ -173,8 +174,8 @@ def scan(docs: DataFrame, doc_id="doc_id", text="text", sample: int = 1500, conf
     body = body.where(F.lower("text").rlike("(?<![a-z0-9])(" + "|".join(needed) + ")(?![a-z0-9])") if needed else F.lit(False))
     made = body.select("doc_id", "paragraph", F.xxhash64("text").alias("h"), grams(words(F.col("text"))).alias("g"))
     key = ["doc_id", "paragraph", "h"]
-    met = made.select(*key, F.explode(F.array_distinct("g")).alias("gram")).distinct()
-    hits = met.join(F.broadcast(weights), "gram")  # some hundred rows: the statements' n-grams
+    met = made.select(*key, F.explode("g").alias("gram")).join(F.broadcast(weights), "gram")  # some hundred rows: the statements' n-grams
+    hits = Saved(met.distinct(), "hits").df  # texts are read once; what follows reads this small table
     sums = hits.groupBy(*key).agg(*(F.sum(F.round(F.col("w")[k] * 1_000_000).cast("long")).alias(f"z{k}") for k in range(len(FAMILIES))))
     odds = [1 / (1 + F.exp(-(F.lit(model.bias[k]) + F.col(f"z{k}") / 1_000_000))) for k in range(len(FAMILIES))]
     best = F.array_max(F.array(*(F.struct(o.alias("score"), F.lit(-k).alias("k")) for k, o in enumerate(odds))))
