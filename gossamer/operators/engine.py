@@ -150,8 +150,8 @@ def report(found: DataFrame, version: str | None = None, spans: str = "spans") -
     table = rows.groupBy("s.type").agg(F.count("*").alias("n")).agg(F.array_sort(F.collect_list(F.struct("type", line.alias("line")))).alias("t"), F.sum("n").alias("spans"))
     rules = rows.agg(F.array_sort(F.collect_set("s.rule_id")).alias("rules"))
     texts = found.agg(F.count("*").alias("texts"))
-    # three tables of one row each
-    one = texts.withColumn("k", F.lit(1)).join(table.withColumn("k", F.lit(1)), "k").join(rules.withColumn("k", F.lit(1)), "k")
+    # three rows of one fact each become one
+    one = texts.unionByName(table, allowMissingColumns=True).unionByName(rules, allowMissingColumns=True).agg(*(F.first(c, ignorenulls=True).alias(c) for c in ("texts", "t", "spans", "rules")))
     parts = [F.lit("# Rapport d'activité\n"), F.concat(F.lit("- Textes : "), F.col("texts").cast("string")), F.concat(F.lit("- Entités : "), F.coalesce("spans", F.lit(0)).cast("string")), F.lit("\n| Type | Nombre |\n| --- | --- |"), F.array_join(F.transform("t", lambda x: x["line"]), "\n"), F.concat(F.lit("\n- Règles : "), F.array_join("rules", ", ")), F.lit(f"- Gazetteers : {version or '-'}")]
     return one.select(F.concat_ws("\n", *parts).alias("markdown"))
 

@@ -195,12 +195,16 @@ def pick(values: DataFrame, gazetteer: DataFrame, key: bytes, kind: str) -> Data
     kind with the attribute; among all if there is none. Not reversible."""
     g = gazetteer.where(F.col("kind") == kind)
     attr = "departement" if kind == "commune" else "genre"
-    all_, some = (indexed(g.withColumn("kind", k)).select(F.col("kind").alias("a"), "idx", "n", "name") for k in (F.lit("*"), F.col(attr)))
-    pool = all_.union(some.where("a <> '*'")) if attr else all_
-    sizes = pool.select("a", "n").distinct()
-    rows = values.withColumn("want", F.coalesce(F.col(attr), F.lit("*"))) if attr in values.columns else values.withColumn("want", F.lit("*"))
-    rows = rows.join(sizes.withColumnRenamed("a", "want").withColumnRenamed("n", "m"), "want", "left").withColumn("want", F.when(F.col("m").isNull(), "*").otherwise(F.col("want"))).drop("m")
-    rows = rows.join(sizes.withColumnRenamed("a", "want"), "want")
+    whole = indexed(g).select("idx", "name")
+    n_all = whole.count()
+    rows = values.withColumns({"part": F.lit(None).cast("string"), "m": F.lit(None).cast("long")})
+    some = None
+    if attr in values.columns:
+        some = indexed(g.withColumn("kind", F.col(attr))).select(F.col("kind").alias("part"), "idx", "n", "name").where("part <> ''")
+        rows = values.withColumn("part", F.col(attr)).join(some.select("part", F.col("n").alias("m")).distinct(), "part", "left")
     head = F.substring(hmac_sha256(key, joined(F.col("scope"), kind, F.col("value"))), 1, 16)
-    at = F.pmod(F.conv(head, 16, 10).cast("decimal(20,0)"), F.col("n")).cast("long")
-    return rows.withColumn("at", at).join(pool.select(F.col("a").alias("want"), F.col("idx").alias("at"), "name"), ["want", "at"]).select(*values.columns, "name")
+    rows = rows.withColumn("at", F.pmod(F.conv(head, 16, 10).cast("decimal(20,0)"), F.coalesce("m", F.lit(n_all))).cast("long"))
+    out = rows.where("m is null").join(whole.withColumnRenamed("idx", "at"), "at").select(*values.columns, "name")
+    if some is not None:
+        out = out.unionByName(rows.where("m is not null").join(some.select("part", F.col("idx").alias("at"), "name"), ["part", "at"]).select(*values.columns, "name"))
+    return out

@@ -478,8 +478,9 @@ def registry_injective(spark, sf):
     _, issued = _engine(spark).mask(_letters(spark, sf))
     by_sur = issued.groupBy("scope", "entity_type", "surrogate").agg(F.countDistinct("clear_hmac").alias("n"))
     by_val = issued.groupBy("scope", "entity_type", "clear_hmac").agg(F.countDistinct("surrogate").alias("n"))
-    one = by_sur.agg(F.count_if(F.col("n") > 1).alias("shared"), F.count("*").alias("issued")).withColumn("k", F.lit(1))
-    return one.join(by_val.agg(F.count_if(F.col("n") > 1).alias("unstable")).withColumn("k", F.lit(1)), "k").select("shared", "unstable", "issued")
+    both = by_sur.select(F.lit(True).alias("sur"), "n").unionByName(by_val.select(F.lit(False).alias("sur"), "n"))
+    bad = F.col("n") > 1
+    return both.agg(F.count_if(F.col("sur") & bad).alias("shared"), F.count_if(~F.col("sur") & bad).alias("unstable"), F.count_if("sur").alias("issued"))
 
 
 @query(f"SELECT c_custkey AS doc_id, {_letters_sql()} AS text FROM customer")

@@ -72,3 +72,12 @@ def test_invariants(spark):
     spans = "doc_id int, start int, end int, type string"
     r = {x.type: x for x in I.rates(spark.createDataFrame([(1, 0, 3, "A"), (1, 5, 6, "A"), (1, 9, 10, "C")], spans), spark.createDataFrame([(1, 0, 3, "A"), (1, 7, 8, "B")], spans)).collect()}
     assert (r["A"].precision, r["A"].recall) == (1.0, 0.5) and r["B"].recall is None and r["C"].precision is None
+
+
+def test_pick_by_attribute(spark):
+    g = gazetteers.seed(spark)
+    from gossamer.operators.surrogates import pick
+
+    asked = spark.createDataFrame([("s", f"v{i}", k) for i, k in enumerate(["75", "16", "16", "99", None])], "scope string, value string, departement string")
+    got = {r.value: r.name for r in pick(asked, g, KEY, "commune").collect()}
+    assert got["v0"] == "Paris" and {got["v1"], got["v2"]} <= {"Angoulême", "Cognac"} and len(got) == 5
