@@ -105,24 +105,58 @@ class Grid:
         return out
 
 
-def fit(sample: np.ndarray, at: float, recall: float, centres: int, most: int = 512) -> tuple[Grid | None, int]:
-    """A grid, and how many cells to visit so that `recall` of the sample's links is found (all: an exact visit)."""
+def fit(sample: np.ndarray, centres: int) -> Grid | None:
     if not len(sample):
-        return None, 0
+        return None
     x = sample / np.linalg.norm(sample, axis=1, keepdims=True)
     half = max(1, x.shape[1] // 2)
     two = x[:, half:] if x.shape[1] > 1 else np.zeros((len(x), 1))
-    grid = Grid(codebook(x[:, :half], centres), codebook(two, centres))
-    probe = x[:: max(1, len(x) // 1500)]
-    home = grid.own(x)
-    need = []
-    for row, order in zip(probe, grid.nearest(probe, most, 2 - 2 * at + 1e-9)):
-        place = {c: k for k, c in enumerate(order)}
-        linked = home[x @ row >= at]
-        need += [place.get(int(c), most) for c in linked]
-    need = np.sort(np.array(need)) if need else np.zeros(1, int)
-    visits = int(need[min(len(need) - 1, int(np.ceil(recall * len(need))) - 1)]) + 1
-    return grid, min(most, max(4, visits + 2))
+    return Grid(codebook(x[:, :half], centres), codebook(two, centres))
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    return np.concatenate((x, np.zeros((len(x), 1))), 1) if x.shape[1] == 1 else x
+
+
+def visits_for(rows: DataFrame, grid: Grid, at: float, recall: float, flat: float, probes: int = 4096) -> int | None:
+    """How many cells a vector of `rows` (vec_id, v) must visit so that `recall` of the links is found; 0: all within
+    the radius; None: compare all with all. The last two are exact.
+
+    About `probes` vectors are compared with all rows. A link, never one of a vector to itself, needs as many visits as
+    there are cells up to the partner's. Unless every vector is a probe, a count below 3 / (1 - recall) of links cannot
+    show the recall, and the visit is exact. It is also exact where `flat`, the copies a vector needs to meet all
+    others in blocks, is no more than its cells.
+    """
+    n = rows.count()
+    part = int(min(1.0, probes / max(1, n)) * 1_000_000)
+    got = rows.where(F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(1_000_000)) < part).orderBy("vec_id").toArrow()
+    if not got.num_rows:
+        return None
+    ids, x = np.asarray(got.column("vec_id")), _unit(matrix(got.column("v").combine_chunks()))
+    a, b = grid._bounds(x[:, : grid.half], 0)[1], grid._bounds(x[:, grid.half :], 1)[1]
+    by = np.sort(b, 1)
+    within = np.mean([np.searchsorted(by[i], 2 - 2 * at + 1e-9 - a[i], "right").sum() for i in range(0, len(x), max(1, len(x) // 256))])
+    width = len(grid.books[1])
+
+    def needs(batches):
+        for batch in batches:
+            y = matrix(batch.column(1))
+            if not len(y):
+                continue
+            y, home = _unit(y), grid.own(_unit(y))
+            p, q = np.nonzero((x @ y.T >= at) & (ids[:, None] != np.asarray(batch.column(0))))
+            asked, count = np.unique(np.stack((p, home[q])), axis=1, return_counts=True)
+            need = [int(np.searchsorted(by[i], a[i, c // width] + b[i, c % width] + 1e-12 - a[i], "right").sum()) for i, c in asked.T]
+            yield pa.RecordBatch.from_arrays([pa.array(need, pa.int64()), pa.array(count, pa.int64())], names=["need", "n"])
+
+    seen = sorted(map(tuple, rows.select("vec_id", "v").mapInArrow(needs, "need long, n long").groupBy("need").agg(F.sum("n")).collect()))
+    links = sum(k for _, k in seen)
+    visits = 0
+    if len(x) == n or links >= 3 / (1 - recall):
+        found = np.cumsum([k for _, k in seen])
+        visits = max(4, seen[int(np.searchsorted(found, recall * links))][0]) if seen else 4
+    return visits if (visits or within) < flat else None
 
 
 def _components(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,8 +180,9 @@ def _components(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[
 def near_duplicates(table: DataFrame, vec_id="vec_id", embedding="embedding", at: float = 0.9, recall: float = 0.999, sample: int = 16_000, members: int = 2048, probes: int = 8192) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row: links are pairs found with cosine `at` or more.
 
-    The codebooks and the number of cells to visit are fitted on about `sample` vectors; every vector is in the index
-    and probes it. Equal vectors are one, with a weight. A vector stands in its own cell and asks the cells that the
+    The codebooks are fitted on about `sample` vectors, the number of cells to visit on probes against all vectors (see
+    `visits_for`); every vector is in the index and probes it. A link found from one end only is
+    credited to both. Equal vectors are one, with a weight. A vector stands in its own cell and asks the cells that the
     traversal gives; in a cell all asking and standing vectors are compared in double precision. A cell with over
     `members` vectors, or asked by over `probes`, is dealt to several tasks, so that each holds a bounded block; from a
     block come sums and a forest of links, never pairs.
@@ -164,7 +199,10 @@ def near_duplicates(table: DataFrame, vec_id="vec_id", embedding="embedding", at
     width = fitted.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
     dim = width["w"] if width else 0
     centres = min(sample // 8, max(8, round((width["count"] / 64) ** 0.5))) if width else 0  # about 64 vectors a cell
-    grid, visits = fit(bounded_sample(fitted.where(F.size("v") == dim), sample, 2), at, recall, centres)
+    alike = fitted.where(F.size("v") == dim)
+    grid = fit(bounded_sample(alike, sample, 2), centres)
+    if grid is not None:
+        visits = visits_for(alike, grid, at, recall, width["count"] / members + width["count"] / probes)
     kind = equal.schema["v"].dataType.simpleString()
     counted = "rep long, n long, a long, b long"
     found = spark.createDataFrame([], counted)
@@ -175,18 +213,21 @@ def near_duplicates(table: DataFrame, vec_id="vec_id", embedding="embedding", at
                 x = matrix(b.column(2))
                 if not len(x):
                     continue
-                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                if unit.shape[1] == 1:
-                    unit = np.concatenate((unit, np.zeros((len(unit), 1))), 1)
-                home = grid.own(unit)
-                asks = grid.nearest(unit, visits, 2 - 2 * at + 1e-9)
+                unit = _unit(x)
+                if visits is None:  # all in one cell, which is dealt in blocks
+                    home, asks = np.zeros(len(x), np.int64), [[0]] * len(x)
+                else:
+                    home = grid.own(unit)
+                    asks = grid.nearest(unit, min(512, visits or len(grid.books[0]) * len(grid.books[1])), 2 - 2 * at + 1e-9)
                 n = np.array([len(a) for a in asks])
                 at_row = np.concatenate((np.arange(len(x)), np.repeat(np.arange(len(x)), n)))
-                cell = np.concatenate((home, np.concatenate(asks) if n.sum() else np.zeros(0, np.int64)))
+                cell = np.concatenate((home, np.concatenate(asks)))
                 asking = np.concatenate((np.zeros(len(x), bool), np.ones(int(n.sum()), bool)))
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(asking), *(b.column(k).take(pa.array(at_row)) for k in range(3))], names=["cell", "asks", "rep", "weight", "v"])
+                # who stands tells which cells it asks; who asks, where it stands: so each knows if the other finds it
+                there = pa.array([*([] if not visits else a for a in asks), *([h] for h in home[at_row[len(x) :]])], pa.list_(pa.int64()))
+                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(asking), there, *(b.column(k).take(pa.array(at_row)) for k in range(3))], names=["cell", "asks", "there", "rep", "weight", "v"])
 
-        dealt = equal.where(F.size("v") == dim).select("rep", "weight", "v").mapInArrow(deal, f"cell long, asks boolean, rep long, weight long, v {kind}")
+        dealt = equal.where(F.size("v") == dim).select("rep", "weight", "v").mapInArrow(deal, f"cell long, asks boolean, there array<long>, rep long, weight long, v {kind}")
         dealt = Saved(dealt, "cells").df
         sizes = dealt.groupBy("cell").agg(F.count(F.when(~F.col("asks"), 1)).alias("m"), F.count(F.when(F.col("asks"), 1)).alias("p")).where("m > 0")
         sizes = sizes.select("cell", F.ceil(F.col("m") / members).cast("int").alias("mb"), F.ceil(F.col("p") / probes).cast("int").alias("pb"))
@@ -195,7 +236,7 @@ def near_duplicates(table: DataFrame, vec_id="vec_id", embedding="embedding", at
         # members stand in one block for each block of probes, and probes come to each block of members
         other = F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("mb")).otherwise(F.greatest("pb", F.lit(1))) - 1))
         placed = placed.withColumn("o", other).select(
-            "cell", F.when(F.col("asks"), F.col("o")).otherwise(F.pmod(slot, F.col("mb"))).cast("int").alias("i"), F.when(F.col("asks"), F.pmod(slot, F.greatest("pb", F.lit(1)))).otherwise(F.col("o")).cast("int").alias("j"), "asks", "rep", "weight", "v"
+            "cell", F.when(F.col("asks"), F.col("o")).otherwise(F.pmod(slot, F.col("mb"))).cast("int").alias("i"), F.when(F.col("asks"), F.pmod(slot, F.greatest("pb", F.lit(1)))).otherwise(F.col("o")).cast("int").alias("j"), "asks", "there", "rep", "weight", "v"
         )
 
         def compare(group: pa.Table) -> pa.Table:
@@ -204,16 +245,26 @@ def near_duplicates(table: DataFrame, vec_id="vec_id", embedding="embedding", at
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             ids, weight = np.asarray(group.column("rep")), np.asarray(group.column("weight"))
             right, rid, rw = x[~asks], ids[~asks], weight[~asks]
+            there = group.column("there").combine_chunks()
+            home, lists = np.asarray(there.filter(pa.array(asks)).flatten()), there.filter(pa.array(~asks))
+            span = int(np.asarray(there.flatten()).max(initial=0)) + 1
+            back = np.sort(np.repeat(np.arange(len(right)), np.asarray(lists.value_lengths())) * span + np.asarray(lists.flatten()))
             out = [np.zeros((4, 0), np.int64)]
             if len(right):
                 for k in range(0, int(asks.sum()), 1024):
-                    left, lid = x[asks][k : k + 1024], ids[asks][k : k + 1024]
+                    left, lid, lw = (z[asks][k : k + 1024] for z in (x, ids, weight))
                     link = left @ right.T >= at
                     link &= lid[:, None] != rid[None]
                     n = link @ rw
                     hit = n > 0
                     node, low = _components(link, lid, rid)
                     out.append(np.stack((lid[hit], n[hit], lid[hit], lid[hit])))
+                    if visits:  # an exact visit finds each link from both ends
+                        p, q = np.nonzero(link)
+                        want = q * span + home[k + p]
+                        once = back[np.minimum(np.searchsorted(back, want), len(back) - 1)] != want
+                        more = np.bincount(q[once], lw[p[once]], len(right)).astype(np.int64)
+                        out.append(np.stack((rid, more, rid, rid))[:, more > 0])
                     out.append(np.stack((node, np.zeros_like(node), node, low))[:, node != low])
             a = np.concatenate(out, 1)
             return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("rep", "n", "a", "b"), a)})

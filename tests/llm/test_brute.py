@@ -267,6 +267,31 @@ def test_vectors_against_brute_force(spark):
     assert (again == got).all().all()
 
 
+def spread_pairs(n, pairs, cos=0.91, seed=6):
+    """Random unit vectors; the last `pairs` have a partner at a cosine of `cos` among the first."""
+    r = np.random.default_rng(seed)
+    x = r.normal(size=(n, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    for k in range(pairs):
+        z = r.normal(size=64)
+        z -= (z @ x[k]) * x[k]
+        x[n - 1 - k] = cos * x[k] + (1 - cos**2) ** 0.5 * z / np.linalg.norm(z)
+    return x
+
+
+@pytest.mark.parametrize(("pairs", "recall", "members"), [(20, 0.999, 2048), (800, 0.9, 20)])
+def test_vectors_spread_links(spark, pairs, recall, members):
+    """Few links far apart are not lost among the probes' own cells; by visits (small blocks) as by comparing all."""
+    x = spread_pairs(6000, pairs)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = vectors.near_duplicates(rows, recall=recall, members=members).toPandas().set_index("vec_id").sort_index()
+    near = x @ x.T >= 0.9
+    np.fill_diagonal(near, False)
+    n = got.n_links.to_numpy()
+    assert near.sum() == 2 * pairs and recall * 2 * pairs <= n.sum() <= 2 * pairs
+    assert (n[:pairs] == n[::-1][:pairs]).all()  # both ends know of a link
+
+
 def test_nearest_recall(spark):
     e = table(spark, "embeddings").toPandas()
     x = np.stack(e.embedding.tolist()).astype(float)
