@@ -181,7 +181,7 @@ def near_duplicates(table: DataFrame, vec_id="vec_id", embedding="embedding", at
     """(vec_id, n_links, component_id, kept) of every row: links are pairs found with cosine `at` or more.
 
     The codebooks are fitted on about `sample` vectors, the number of cells to visit on probes against all vectors (see
-    `visits_for`); every vector is in the index and probes it. A link found from one end only is
+    `visits_for`; it has no upper bound); every vector is in the index and probes it. A link found from one end only is
     credited to both. Equal vectors are one, with a weight. A vector stands in its own cell and asks the cells that the
     traversal gives; in a cell all asking and standing vectors are compared in double precision. A cell with over
     `members` vectors, or asked by over `probes`, is dealt to several tasks, so that each holds a bounded block; from a
@@ -218,7 +218,7 @@ def near_duplicates(table: DataFrame, vec_id="vec_id", embedding="embedding", at
                     home, asks = np.zeros(len(x), np.int64), [[0]] * len(x)
                 else:
                     home = grid.own(unit)
-                    asks = grid.nearest(unit, min(512, visits or len(grid.books[0]) * len(grid.books[1])), 2 - 2 * at + 1e-9)
+                    asks = grid.nearest(unit, visits or len(grid.books[0]) * len(grid.books[1]), 2 - 2 * at + 1e-9)
                 n = np.array([len(a) for a in asks])
                 at_row = np.concatenate((np.arange(len(x)), np.repeat(np.arange(len(x)), n)))
                 cell = np.concatenate((home, np.concatenate(asks)))

@@ -292,6 +292,15 @@ def test_vectors_spread_links(spark, pairs, recall, members):
     assert (n[:pairs] == n[::-1][:pairs]).all()  # both ends know of a link
 
 
+def test_vectors_visits_without_bound(spark):
+    """More than 512 cells where the recall needs them, and all where too few links are seen to tell."""
+    x = spread_pairs(6000, 800, 0.72)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, v array<double>")
+    grid = vectors.fit(x, 64)
+    assert vectors.visits_for(rows, grid, 0.7, 0.99, 1e9) > 512
+    assert vectors.visits_for(rows, grid, 0.7, 0.9999, 1e9) == 0 and vectors.visits_for(rows, grid, 0.7, 0.9999, 5) is None
+
+
 def test_nearest_recall(spark):
     e = table(spark, "embeddings").toPandas()
     x = np.stack(e.embedding.tolist()).astype(float)
