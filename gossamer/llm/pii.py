@@ -21,8 +21,15 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
 IP = re.compile(r"[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-#: What every span of the model holds; the model reads only around these.
-TRIGGER = re.compile(r"[0-9@]|[\[(]at[\])]")
+#: What every span of the model holds, in folded text; the model reads only around these.
+TRIGGER = re.compile(r"[0-9@]|[\[({<]\s{0,2}at\s{0,2}[\])}>]|\bat\s{1,3}[a-z0-9-]{1,63}\s{0,3}(?:[\[({<]\s{0,2})?dot\b", re.IGNORECASE)
+#: Other forms of ASCII characters, one for one: full width, decimal digits of any script, small @, blanks.
+FOLD = {c: c - 0xFEE0 for c in range(0xFF01, 0xFF5F)} | {c: 48 + int(chr(c)) for c in range(128, 0x110000) if chr(c).isdecimal()} | {0xFE6B: 64, 0x3000: 32, 0xA0: 32}
+
+
+def folded(text: str) -> str:
+    """The text with other forms of ASCII characters replaced; offsets stay."""
+    return text if text.isascii() else text.translate(FOLD)
 
 
 def luhn(digits: str) -> bool:
@@ -197,7 +204,8 @@ class Tagger:
         return tags, np.take_along_axis(e, tags[..., None].astype(np.int64), 2)[..., 0] - e[..., 0]
 
 
-WIDTH, STRIDE = 96, 48
+#: A span of up to STRIDE characters is whole in some window; a longer one is read again in a wider window, up to WIDEST.
+WIDTH, STRIDE, WIDEST = 96, 48, 0
 
 
 def windows(text: str) -> list[int]:
@@ -211,11 +219,16 @@ def windows(text: str) -> list[int]:
     return out
 
 
+_NAME, _LABEL, _DOT = r"[^\s@\[\](){}<>]+", "[a-z0-9-]+", r"\s?[\[({<]\s{0,2}dot\s{0,2}[\])}>]\s?|\s{1,3}dot\s{1,3}"
+#: With a sign or brackets for `at`, dots may be plain; a bare `at` needs a written one, or prose would fit.
+EMAIL = re.compile(rf"{_NAME}(?:(?:{_DOT}){_NAME})*(?:\s?(?:@|[\[({{<]\s{{0,2}}at\s{{0,2}}[\])}}>])\s?{_LABEL}(?:(?:\.|{_DOT}){_LABEL})+|\s{{1,3}}at\s{{1,3}}{_LABEL}(?:(?:{_DOT}){_LABEL})+)", re.IGNORECASE)
+
+
 def plausible(kind: str, s: str) -> bool:
     """What a span of the model must hold to be added."""
     d = _digits(s)
     if kind == "email":
-        return bool(re.fullmatch(r"[^\s@\[\](]+\s?(@|[\[(]at[\])])\s?[A-Za-z0-9-]+((\.|\s?[\[(]dot[\])]\s?)[A-Za-z0-9-]+)+", s))
+        return bool(EMAIL.fullmatch(s))
     if kind == "card":
         return 13 <= len(d) <= 19 and luhn(d) and bool(re.fullmatch(r"[0-9]+([ ./-][0-9]+)*", s))
     if kind == "phone":
@@ -235,30 +248,41 @@ def reconcile(found: list[tuple[float, int, int, str]], taken: list[tuple[int, i
 
 
 def added_spans(texts: list[str | None], bases: list[list[tuple[str, int, int]]], tagger: Tagger, least: float = 0.25, rows: int = 512) -> list[list[tuple[str, int, int]]]:
-    """The model's spans in each text beside its base spans, each decoded in every window that holds it whole."""
-    at = [(i, w) for i, t in enumerate(texts) if t for w in windows(t)]
+    """The model's spans in each text beside its base spans, each decoded in every window that holds it whole.
+
+    A span that a window's edge cuts is decoded again in windows twice as wide around it, until one holds it.
+    """
+    texts = [folded(t) if t else t for t in texts]
     found: list[list] = [[] for _ in texts]
-    for k in range(0, len(at), rows):
-        part = at[k : k + rows]
-        ids = np.full((len(part), WIDTH), 130, np.int64)
-        for j, (i, w) in enumerate(part):
-            c = encode(texts[i][w : w + WIDTH])
-            ids[j, : len(c)] = c
-        tags, margin = tagger.decode(ids)
-        for j in np.flatnonzero((tags > 0).any(1)):
-            i, w = part[j]
-            size = min(WIDTH, len(texts[i]) - w)
-            begins = np.flatnonzero(tags[j, :size] % 2 == 1)
-            for a in begins:
-                b = a + 1
-                while b < size and tags[j, b] == tags[j, a] + 1:
-                    b += 1
-                if (a == 0 and w > 0) or (b == WIDTH and w + WIDTH < len(texts[i])):
-                    continue  # cut by the window's edge: a neighbour holds it whole
-                kind, mean = KINDS[(tags[j, a] - 1) // 2], float(margin[j, a:b].mean())
-                s = texts[i][w + a : w + b]
-                if mean >= least and TRIGGER.search(s) and plausible(kind, s) and not _continues(texts[i], w + a, w + b):
-                    found[i].append((round(mean, 4), int(w + a), int(w + b), kind))
+    width, at = WIDTH, [(i, w) for i, t in enumerate(texts) if t for w in windows(t)]
+    while at:
+        cut = set()
+        for k in range(0, len(at), rows):
+            part = at[k : k + rows]
+            ids = np.full((len(part), width), 130, np.int64)
+            for j, (i, w) in enumerate(part):
+                c = encode(texts[i][w : w + width])
+                ids[j, : len(c)] = c
+            tags, margin = tagger.decode(ids)
+            for j in np.flatnonzero((tags > 0).any(1)):
+                i, w = part[j]
+                size = min(width, len(texts[i]) - w)
+                begins = np.flatnonzero(tags[j, :size] % 2 == 1)
+                for a in begins:
+                    b = a + 1
+                    while b < size and tags[j, b] == tags[j, a] + 1:
+                        b += 1
+                    if (a == 0 and w > 0) or (b == width and w + width < len(texts[i])):
+                        # steps of half the old width: what is wide up to the old width is whole in the new window
+                        cut.add((i, max(0, (int(w + (a + b) // 2) - width) // (width // 2) * (width // 2))))
+                        continue
+                    kind, mean = KINDS[(tags[j, a] - 1) // 2], float(margin[j, a:b].mean())
+                    s = texts[i][w + a : w + b]
+                    if mean >= least and TRIGGER.search(s) and plausible(kind, s) and not _continues(texts[i], w + a, w + b):
+                        found[i].append((round(mean, 4), int(w + a), int(w + b), kind))
+        width *= 2
+        rows = max(1, rows // 2)
+        at = sorted(cut) if width <= WIDEST else []
     return [reconcile(f, [(a, b) for _, a, b in base]) for f, base in zip(found, bases)]
 
 
@@ -275,16 +299,23 @@ def _with_luhn(r: np.random.Generator, n: int) -> str:
     return next(body + str(k) for k in range(10) if luhn(body + str(k)))
 
 
+#: Written forms of `@` and of the dots that go with it.
+AT_DOT = [(" [at] ", " [dot] "), ("(at)", "."), (" (at) ", " (dot) "), ("[at]", "."), (" at ", " dot "), (" at ", " dot "), (" {at} ", " {dot} "), ("{at}", "."), (" <at> ", " <dot> "), ("<at>", ".")]
+
+
 def _example(r: np.random.Generator, words: list[str]) -> tuple[str, str | None]:
     """A made-up string and its kind; None: it only looks like personal data."""
     w = lambda: re.sub(r"[^a-z]", "", str(r.choice(words)).lower()) or "ana"
     d = lambda n: "".join(map(str, r.integers(0, 10, n)))
-    pick = int(r.integers(0, 17))
+    pick = int(r.integers(0, 20))
     if pick < 2:
         return f"{w()}.{r.integers(1, 99)}@{w()}{r.integers(1, 9)}.{r.choice(['com', 'org', 'net', 'example.com'])}", "email"
-    if pick < 4:
-        at, dot = [(" [at] ", " [dot] "), ("(at)", "."), (" (at) ", " (dot) "), ("[at]", ".")][int(r.integers(4))]
-        return f"{w()}{at}{w()}{dot}{r.choice(['com', 'org', 'net', 'example'])}", "email"
+    if pick < 4 or pick > 16:
+        at, dot = AT_DOT[int(r.integers(len(AT_DOT)))]
+        name = str(r.choice([w(), w(), f"{w()}.{w()}", f"{w()}{r.integers(1, 99)}", f"{w()}.{w()}{r.integers(1, 99)}"]))
+        host = str(r.choice([w(), w(), f"{w()}-{w()}", f"{w()}{dot}{w()}", f"{w()}.{w()}-{w()}" if at != " at " else w()]))
+        s = f"{name}{at}{host}{dot}{r.choice(['com', 'org', 'net', 'example'])}"
+        return (s.upper() if r.random() < 0.25 else re.sub(r"\bat\b", "AT", s) if r.random() < 0.15 else s), "email"
     if pick < 6:
         return ".".join(map(str, r.integers(0, 256, 4))), "ip"
     if pick < 9:
@@ -299,26 +330,29 @@ def _example(r: np.random.Generator, words: list[str]) -> tuple[str, str | None]
     return str(r.choice([f'token = "{hexed}"', f"{r.integers(1900, 2100)}-{r.integers(10, 13)}-{d(2)}", f"{d(1)}.{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(3)},{d(3)}.{d(2)}", d(16), d(8), f"{d(4)}:{d(2)}", f"page {d(3)}", f"@{w()}", f"{d(1)}.{d(1)}.{d(1)}.999", f"{d(5)}-{d(2)}"])), None
 
 
-def labelled(carriers: list[str], n: int = 2400, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+FITTED = 128  # characters a row to learn from
+
+
+def labelled(carriers: list[str], n: int = 3000, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
     """Windows of carrier text with made-up strings put in, and the tags of the spans among them."""
     r = np.random.default_rng(seed)
     carriers = [c for c in carriers if not TRIGGER.search(c)] or ["the quick brown fox jumps over the lazy dog while it rains"]
     words = [w for c in carriers[:200] for w in c.split()[:40]] or ["word"]
-    ids, tags = np.full((n, WIDTH), 130, np.int64), np.zeros((n, WIDTH), np.int64)
+    ids, tags = np.full((n, FITTED), 130, np.int64), np.zeros((n, FITTED), np.int64)
     for i in range(n):
         c = carriers[int(r.integers(len(carriers)))]
-        a = int(r.integers(0, max(1, len(c) - WIDTH)))
+        a = int(r.integers(0, max(1, len(c) - FITTED)))
         text, spans = c[a : a + int(r.integers(4, 50))] + str(r.choice([" ", "\n", ": ", ", "])), []
         for _ in range(int(r.integers(1, 3))):
             s, kind = _example(r, words)
             if kind:
                 spans.append((len(text), len(text) + len(s), kind))
-            b = int(r.integers(0, max(1, len(c) - WIDTH)))
+            b = int(r.integers(0, max(1, len(c) - FITTED)))
             text += s + str(r.choice([" ", " ", ", ", ". ", "\n"])) + c[b : b + int(r.integers(3, 30))] + " "
-        text = text[:WIDTH]
+        text = text[:FITTED]
         ids[i, : len(text)] = encode(text)
         for a, b, kind in spans:
-            if b <= WIDTH:
+            if b <= FITTED:
                 k = KINDS.index(kind)
                 tags[i, a:b] = 2 + 2 * k
                 tags[i, a] = 1 + 2 * k
@@ -359,7 +393,8 @@ def find(docs: DataFrame, tagger: Tagger, text="text") -> DataFrame:
     """`docs` with counts of spans by kind (base and added), the digest of the base spans, and all spans.
 
     Base spans follow the patterns exactly and always stay. The tagger reads overlapping windows around every digit,
-    `@` and bracketed `at` of the whole text: what it adds must hold one, so text without them needs no reading. Spans
+    `@`, bracketed `at` and `at` with a written `dot` of the whole text, in any case and width: what it adds must hold
+    one, and text without them is not decoded. Spans
     of all windows are reconciled over the text, base spans first. Null and empty texts have no spans; equal texts get
     equal answers; very long texts cost time in proportion.
     """

@@ -184,6 +184,25 @@ def test_tagger_adds(tagger):
     assert pii.redact(t, pii.base_spans(t)) == "[EMAIL] x"
 
 
+FORMS = ["ANA [AT] EXAMPLE [DOT] COM", "ana(AT)example.com", "ana {at} example {dot} com", "ana <at> example <dot> com", "ana at example dot com", "ana\uff20example.com", "(\uff13\uff10\uff11) \uff15\uff15\uff15-\uff10\uff13\uff14\uff16"]
+
+
+def test_tagger_reads_all_forms():
+    """Capitals, other brackets, written words and full width are decoded and may be added, with no other trigger near;
+    the tagger here marks what is between line ends as an e-mail, or as a phone number where a 0 is near."""
+
+    class Lines:
+        def decode(self, ids):
+            on = (np.cumsum(ids == 10, 1) % 2 == 1) & (ids != 10)
+            kind = np.where((ids == 48).any(1)[:, None], 6, 0)
+            return np.where(on, np.where(np.roll(on, 1, 1), 2, 1) + kind, 0), on * 1.0
+
+    filler = "filler words here and there " * 8
+    for form in FORMS:
+        t = f"{filler}\n{form}\n{filler}"
+        assert form in [t[a:b] for _, a, b in pii.added_spans([t], [pii.base_spans(t)], Lines())[0]], form
+
+
 def test_packing_round_trip(spark):
     docs = table(spark, "documents")
     got = packing.op9_best_two_fit(spark, SF).toPandas()
