@@ -205,7 +205,7 @@ class Tagger:
 
 
 #: A span of up to STRIDE characters is whole in some window; a longer one is read again in a wider window, up to WIDEST.
-WIDTH, STRIDE, WIDEST = 96, 48, 0
+WIDTH, STRIDE, WIDEST = 192, 96, 1536
 
 
 def windows(text: str) -> list[int]:

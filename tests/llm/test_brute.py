@@ -203,6 +203,21 @@ def test_tagger_reads_all_forms():
         assert form in [t[a:b] for _, a, b in pii.added_spans([t], [pii.base_spans(t)], Lines())[0]], form
 
 
+def test_tagger_long_spans():
+    """A span is whole in some window, at whatever place and however long; the tagger here marks all but blanks."""
+
+    class All:
+        def decode(self, ids):
+            on = (ids != 32) & (ids != 130)
+            return np.where(on, np.where(np.roll(on, 1, 1) & (np.arange(ids.shape[1]) > 0), 2, 1), 0), on * 1.0
+
+    for size in (30, 70, 90, 150, 250):
+        for gap in range(0, 200, 17):
+            mail = "a" * (size // 3) + "9[at]" + "b" * (size // 3) + ".c" + "d" * (size // 3)
+            t = "x 1 " * 3 + " " * gap + mail + " y 2" * 60
+            assert ("email", t.index(mail), t.index(mail) + len(mail)) in pii.added_spans([t], [[]], All())[0], (size, gap)
+
+
 def test_packing_round_trip(spark):
     docs = table(spark, "documents")
     got = packing.op9_best_two_fit(spark, SF).toPandas()
