@@ -134,9 +134,22 @@ def _table(spark: SparkSession, rows: list, schema: str) -> DataFrame:
 
 
 def paragraphs(docs: DataFrame, doc_id="doc_id", text="text") -> DataFrame:
-    """(doc_id, paragraph, text) of each line that is not blank."""
-    lines = F.posexplode(F.split(F.col(text).cast("string"), "\n"))
-    return docs.select(F.col(doc_id).alias("doc_id"), lines.alias("paragraph", "text")).where(F.trim("text") != "")
+    """(doc_id, d, paragraph, text) of each line that is not blank; d is a hash of the whole text."""
+    t = F.col(text).cast("string")
+    lines = F.posexplode(F.split(t, "\n"))
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("d"), lines.alias("paragraph", "text")).where(F.trim("text") != "")
+
+
+def blocks(docs: DataFrame, holds: Column, doc_id="doc_id", text="text") -> DataFrame:
+    """(doc_id, d, paragraph, lines, text) of the runs of two or more lines between blank ones whose `text` fits `holds`;
+    paragraph is the number of the first line."""
+    t = F.col(text).cast("string")
+    parts = F.split(t, r"(?<![^\n])[ \t\r\f]*\n")  # a blank line goes with its own line end
+    breaks = lambda c: F.length(c) - F.length(F.translate(c, "\n", ""))
+    all_ = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("d"), parts.alias("p")).withColumn("ends", F.transform("p", breaks))
+    one = all_.select("doc_id", "d", "ends", F.posexplode("p").alias("k", "text")).where(F.rtrim("text").rlike(r"\n[ \t\r\f]*[^\s]")).where(holds)
+    start = F.col("k") + F.aggregate(F.slice("ends", F.lit(1), F.col("k")), F.lit(0), lambda a, x: a + x)
+    return one.select("doc_id", "d", start.cast("int").alias("paragraph"), (breaks(F.col("text")) + 1).alias("lines"), "text")
 
 
 def unknown_sample(docs: DataFrame, text: str, sample: int) -> list[str]:
@@ -152,7 +165,9 @@ def unknown_sample(docs: DataFrame, text: str, sample: int) -> list[str]:
 def scan(docs: DataFrame, doc_id="doc_id", text="text", sample: int = 1500, confirm: float = 0.6) -> DataFrame:
     """(doc_id, paragraph, family, score, template, similarity, confirmed): each paragraph for which a family is named.
 
-    A paragraph is a line that is not blank; its n-grams meet the weights in a join, and the sums of what met give each
+    A paragraph is a line that is not blank, or a run of lines between blank ones, white space in it being one blank: its
+    number is that of its (first) line. A run has a row for each family that is named and confirmed in it and not
+    confirmed in one of its lines; lines of that family in it, themselves not confirmed, then have none. Its n-grams meet the weights in a join, and the sums of what met give each
     family's probability. Below the calibrated cut it is of the unknown class and has no row. The prediction is
     confirmed if a statement of the family has at least `confirm` of its n-grams in the paragraph (`similarity`: the
     largest such share; `template`: that statement's number, the first of equals).
@@ -171,14 +186,16 @@ def scan(docs: DataFrame, doc_id="doc_id", text="text", sample: int = 1500, conf
     needed = sorted({t for g, w in model.weights.items() if max(w) > 0 for t in g.split(" ")} & _necessary(model))
     body = paragraphs(docs, doc_id, text)
     # the key of a line: its document, place and a hash of the words, as ids may repeat
-    body = body.where(F.lower("text").rlike("(?<![a-z0-9])(" + "|".join(needed) + ")(?![a-z0-9])") if needed else F.lit(False))
-    made = body.select("doc_id", "paragraph", F.xxhash64("text").alias("h"), grams(words(F.col("text"))).alias("g"))
-    key = ["doc_id", "paragraph", "h"]
+    holds = F.lower("text").rlike("(?<![a-z0-9])(" + "|".join(needed) + ")(?![a-z0-9])") if needed else F.lit(False)
+    body = body.where(holds).withColumn("lines", F.lit(1)).unionByName(blocks(docs, holds, doc_id, text))
+    made = body.select("doc_id", "d", "paragraph", "lines", F.xxhash64("text").alias("h"), grams(words(F.col("text"))).alias("g"))
+    key = ["doc_id", "d", "paragraph", "lines", "h"]
     met = made.select(*key, F.explode("g").alias("gram")).join(F.broadcast(weights), "gram")  # some hundred rows: the statements' n-grams
     hits = Saved(met.distinct(), "hits").df  # texts are read once; what follows reads this small table
     sums = hits.groupBy(*key).agg(*(F.sum(F.round(F.col("w")[k] * 1_000_000).cast("long")).alias(f"z{k}") for k in range(len(FAMILIES))))
     odds = [1 / (1 + F.exp(-(F.lit(model.bias[k]) + F.col(f"z{k}") / 1_000_000))) for k in range(len(FAMILIES))]
-    best = F.array_max(F.array(*(F.struct(o.alias("score"), F.lit(-k).alias("k")) for k, o in enumerate(odds))))
+    each = F.array(*(F.struct(o.alias("score"), F.lit(-k).alias("k")) for k, o in enumerate(odds)))
+    best = F.explode(F.when(F.col("lines") > 1, each).otherwise(F.array(F.array_max(each))))  # a run may hold several statements
     named = sums.select(*key, best.alias("b")).where(F.col("b.score") >= model.cut)
     family = F.element_at(F.array(*map(F.lit, FAMILIES)), 1 - F.col("b.k"))
     named = named.select(*key, family.alias("family"), F.col("b.score").alias("score"))
@@ -186,9 +203,17 @@ def scan(docs: DataFrame, doc_id="doc_id", text="text", sample: int = 1500, conf
     shares = named.join(hits.select(*key, "gram"), key).join(F.broadcast(templates), ["gram", "family"])
     shares = shares.groupBy(*key, "family", "score", "template").agg(F.sum("part").alias("share"))
     top = shares.groupBy(*key, "family", "score").agg(F.max(F.struct(F.round("share", 6).alias("share"), (-F.col("template")).alias("t"))).alias("s"))
-    out = named.join(top.select(*key, "s"), key, "left")
     similarity = F.coalesce("s.share", F.lit(0.0))
-    return out.select("doc_id", "paragraph", "family", F.round("score", 6).alias("score"), (-F.col("s.t")).alias("template"), similarity.alias("similarity"), (similarity >= confirm).alias("confirmed"))
+    top = top.select(*(F.col(c).alias(f"t_{c}") for c in (*key, "family")), "s")
+    # ids may be null
+    out = named.join(top, [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in (*key, "family")], "left")
+    out = out.select(*key, "family", F.round("score", 6).alias("score"), (-F.col("s.t")).alias("template"), similarity.alias("similarity"), (similarity >= confirm).alias("confirmed"))
+    out = Saved(out, "named").df
+    line, run = out.where("lines = 1").alias("l"), out.where("lines > 1 and confirmed").alias("r")
+    inside = [F.expr(f"l.{c} <=> r.{c}") for c in ("doc_id", "d", "family")] + [F.expr("l.paragraph between r.paragraph and r.paragraph + r.lines - 1")]
+    runs = Saved(run.join(out.where("lines = 1 and confirmed").alias("l"), inside, "left_anti"), "runs").df
+    lines = line.join(runs.alias("r"), [F.expr("not l.confirmed"), *inside], "left_anti")
+    return lines.unionByName(runs).select("doc_id", "paragraph", "family", "score", "template", "similarity", "confirmed")
 
 
 def _necessary(model: Model) -> set[str]:

@@ -419,3 +419,16 @@ def test_signatures_lose_no_link(num, words):
         both = len(np.intersect1d(a, b))
         if 100 * both >= num * (len(a) + len(b) - both) and (len(a) != len(b) or (a != b).any()):
             assert len(np.intersect1d(rule.signatures(a), rule.signatures(b)))
+
+
+def test_licenses_wrapped(spark):
+    """A statement over several lines is confirmed as one paragraph; text around it, blank lines and other statements stay apart."""
+    mit = "/*\n * Permission is hereby granted, free of charge, to any\n * person obtaining a copy of this software and\n * associated documentation files, to deal in the\n * software without restriction.\n */"
+    gpl = "This program is free software; you can\r\nredistribute it and/or modify it under the terms of\r\nthe GNU General Public License as published by the\r\nFree Software Foundation, either version 3 of the\r\nLicense, or any later version."
+    plain = "\n".join(f"row {i} of a quiet river and its {i % 9} stones" for i in range(30))
+    texts = {1: f"title\n\n{mit}\n\n{plain}", 2: f"\n \n{gpl}\n\nmore", 3: "intro\nReleased under the MIT License.\nmore", 4: plain}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").unionByName(table(spark, "documents").selectExpr("doc_id + 1000 doc_id", "text"))
+    got = [(r.doc_id, r.paragraph, r.family, r.confirmed) for r in licenses.scan(docs).where("doc_id < 10").collect()]
+    assert {(1, 2, "mit", True), (2, 2, "gpl", True), (3, 1, "mit", True)} <= set(got)
+    assert not [g for g in got if g[0] == 4] and [g for g in got if g[0] == 3] == [(3, 1, "mit", True)] and len(got) == len(set(got))
+    assert all(g[3] for g in got if (g[0], g[2]) in ((1, "mit"), (2, "gpl")))
