@@ -432,3 +432,17 @@ def test_licenses_wrapped(spark):
     assert {(1, 2, "mit", True), (2, 2, "gpl", True), (3, 1, "mit", True)} <= set(got)
     assert not [g for g in got if g[0] == 4] and [g for g in got if g[0] == 3] == [(3, 1, "mit", True)] and len(got) == len(set(got))
     assert all(g[3] for g in got if (g[0], g[2]) in ((1, "mit"), (2, "gpl")))
+
+
+def test_urls_learn_from_all(spark):
+    """The counts and the cut are of all ruled URLs, in whatever batches; beyond `entries`, rare contexts go."""
+    r = random.Random(3)
+    good = [f"http://a.org/{r.choice(['news', 'text'])}/{i}" for i in range(21_000)]
+    bad = [f"http://b.com/de/{r.choice(['buy', 'win'])}{i}" for i in range(3000)]
+    rows = spark.createDataFrame([("allow", u) for u in good] + [("block", u) for u in bad] + [(None, "h://x/1")], "_said string, url string").repartition(5)
+    got = urls.learn(rows, "url")
+    for mine, theirs in ((got.good, good), (got.bad, bad)):
+        for a, b in zip(mine.tables, urls.Markov().fit(theirs).tables):
+            assert all((x == y).all() for x, y in zip(a, b))
+    assert got.accept(good).mean() > 0.99 and got.accept(bad).mean() < 0.01
+    assert sum(len(t[0]) for m in (got.good, got.bad) for t in m.tables[1:]) > 2000 >= sum(len(t[0]) for m in (urls.learn(rows, "url", 2000),) for x in (m.good, m.bad) for t in x.tables[1:])
