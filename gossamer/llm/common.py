@@ -57,9 +57,19 @@ def held_out(doc_id="doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def within(df: DataFrame, small: DataFrame, on: str, how: str, rows: int, limit: int = 1_000_000) -> DataFrame:
-    """Join to a table of `rows` narrow rows: broadcast while counted small, shuffled beyond."""
-    return df.join(F.broadcast(small) if rows <= limit else small, on, how)
+#: Most bytes of a table to broadcast, by an estimate from its counted rows and the lengths of its strings.
+BROADCAST_BYTES = 64 << 20
+
+
+def within(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join to a narrow table on columns of equal names, nulls being equal: broadcast while its measured bytes are few,
+    shuffled beyond. `small` is read for that, so it should be a saved table. The keys are those of `df`."""
+    long_ = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in small.dtypes if kind == "string"]
+    size = small.agg(F.count("*").alias("n"), F.sum(sum(long_, F.lit(0))).alias("b")).first()
+    few = size["n"] * (48 + 8 * len(small.columns)) + (size["b"] or 0) <= BROADCAST_BYTES
+    other = small.withColumnsRenamed({c: f"_on_{c}" for c in on})
+    joined = df.join(F.broadcast(other) if few else other, [df[c].eqNullSafe(other[f"_on_{c}"]) for c in on], how)
+    return joined.drop(*(f"_on_{c}" for c in on))
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

@@ -5,7 +5,8 @@ region. So the outermost regions are cells of projections. Shingles are dealt to
 the radius differs in fewer shingles than there are classes, so its members agree on all of some class. Documents with
 an equal class lie at distance 0 of that projection's pivot, and triangle-inequality windows around it are empty.
 Documents joined through such cells form a candidate region; it is closed, as no link leaves it. Inside, distances do
-tell, and the region is joined by pivots, Voronoi regions and windows, recursively and exactly.
+tell, and the region is joined by pivots, Voronoi regions and windows, recursively and exactly. A large region is dealt
+to blocks that share its pivots; what those leave apart meets the other blocks, so no task holds a whole large region.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from .common import Saved, connected_components, tune, within
 U = np.uint64
 #: Dealings of shingles to classes that a set may need; nearly all need one.
 DEALINGS = 6
+#: Places of the table in which a task remembers who holds a signature, and pivots that all blocks of a region share.
+HELD, PIVOTS = 1 << 17, 8
 _MULT = (np.random.default_rng(20).integers(1, 2**63, 64, np.int64).astype(U) << U(1)) | U(1)
 
 
@@ -118,9 +121,11 @@ class Rule:
         return np.concatenate(out)
 
 
-def join_region(sets: list[np.ndarray], rule: Rule, pivots: int = 8, small: int = 24) -> np.ndarray:
+def join_region(sets: list[np.ndarray], rule: Rule, pivots: int = 8, small: int = 24, labels: np.ndarray | None = None) -> np.ndarray:
     """Component number of each set under the links among them, by recursive Voronoi regions.
 
+    Sets of equal `labels` are known to be in one component.
+
     Pivots are compared with all sets of a region; each set goes to its nearest pivot's region and, if that is within
     twice the radius, to other regions (the triangle inequality: no linked pair is then without a common region).
     Where regions don't shrink, each set is compared with those that its window of distances to the pivots leaves, that
@@ -128,6 +133,9 @@ def join_region(sets: list[np.ndarray], rule: Rule, pivots: int = 8, small: int
     """
     n = len(sets)
     comp = np.arange(n)
+    if labels is not None and n:
+        _, first, back = np.unique(labels, return_index=True, return_inverse=True)
+        comp = first[back.reshape(-1)]
     size = np.array([len(s) for s in sets], np.int64)
     flat = np.concatenate(sets) if n else np.zeros(0, U)
     codes = np.unique(flat, return_inverse=True)[1].reshape(-1)
@@ -185,36 +193,49 @@ def join_region(sets: list[np.ndarray], rule: Rule, pivots: int = 8, small: int
     return comp
 
 
-def _pack(x: np.ndarray) -> bytes:
-    return x.astype("<u8").tobytes()
-
-
 def sketch(docs: DataFrame, rule: Rule, doc_id: str, text: str) -> DataFrame:
-    """(doc_id, n, hi, lo, sigs): size, 128-bit key and signatures of each document's set.
+    """(doc_id, h, n, hi, lo, sigs, near): a row's id and hash of the text; its set's size, 128-bit key and signatures.
 
-    A set seen before in the same task carries no signatures again: copies of one text, however many, then add a few
-    rows to a cell, not one each.
+    A set seen before in the same task carries no signatures again, and a signature that the task remembers of another
+    set is not sent again either: `near` names a holder instead. Copies and common signatures, however many, so add a
+    few rows a task to a cell, not one each.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
-    names = ["doc_id", "n", "hi", "lo", "sigs"]
+    names = ["doc_id", "h", "n", "hi", "lo", "sigs", "near"]
 
     def read(batches):
         seen: set[int] = set()
+        held, by = np.arange(1, HELD + 1), np.zeros(HELD, np.int64)  # no signature has its place there yet
         for b in batches:
-            n, hi, lo, sigs = [], [], [], []
-            for t in b.column(1):
+            n, hi, lo, sigs, near = [], [], [], [], []
+            for t in b.column(2):
                 s = shingles(t.as_py(), rule.k)
                 high, low = set_key(s)
                 n.append(len(s))
                 lo.append(low)
                 hi.append(high)
-                new = low not in seen
-                if new and len(seen) < 1_000_000:
+                if low in seen:
+                    sigs.append(None)
+                    near.append(None)
+                    continue
+                if len(seen) < 1_000_000:
                     seen.add(low)
-                sigs.append(rule.signatures(s).view(np.int64) if new else None)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(hi, pa.int64()), pa.array(lo, pa.int64()), pa.array(sigs, pa.list_(pa.int64()))], names=names)
+                sig = rule.signatures(s).view(np.int64)
+                at = sig & (HELD - 1)
+                hit = held[at] == sig
+                near.append(np.unique(by[at[hit]]))
+                sig, at = sig[~hit], at[~hit]
+                held[at], by[at] = sig, low
+                sigs.append(sig)
+            longs = [pa.array(x, pa.int64()) for x in (n, hi, lo)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *longs, pa.array(sigs, pa.list_(pa.int64())), pa.array(near, pa.list_(pa.int64()))], names=names)
+
+    return _texts(docs, doc_id, text).mapInArrow(read, f"doc_id {kind}, h long, n long, hi long, lo long, sigs array<long>, near array<long>")
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(read, f"doc_id {kind}, n long, hi long, lo long, sigs array<long>")
+
+def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    t = F.col(text).cast("string")
+    return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("h"), t.alias("text"))
 
 
 def candidate_regions(sketches: DataFrame) -> DataFrame:
@@ -223,94 +244,170 @@ def candidate_regions(sketches: DataFrame) -> DataFrame:
     # one exchange serves both sides: sums by cell, and the join of the cells back to their members
     dealt = rows.repartition("sig")
     cells = dealt.groupBy("sig").agg(F.min("lo").alias("a"), F.max("lo").alias("z")).where("a < z").select("sig", "a")
-    edges = dealt.join(cells.hint("shuffle_hash"), "sig").where("lo <> a").select(F.col("lo").alias("a"), F.col("a").alias("b")).distinct()
-    return connected_components(edges)
+    edges = dealt.join(cells.hint("shuffle_hash"), "sig").where("lo <> a").select(F.col("lo").alias("a"), F.col("a").alias("b"))
+    known = sketches.where("near is not null").select(F.col("lo").alias("a"), F.explode("near").alias("b"))
+    return connected_components(edges.union(known))
 
 
-def components(docs: DataFrame, rule: Rule, doc_id="doc_id", text="text", region_bytes: int = 24_000_000, region_docs: int = 4000) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row: component_id is the smallest doc_id reachable by links.
+#: A row of a region as it reaches a task, and what is known of it afterwards.
+_MEMBER = ["hi", "lo", "no_id", "rep", "h"]
 
-    Equal sets are one (a 128-bit key); then candidate regions; then each region is joined exactly by its documents'
-    own texts. A region of over `region_bytes` of shingles or `region_docs` sets is joined in blocks: every two blocks of it meet in one
-    task, so a task's memory and time stay bound and no pair is lost.
 
-    Documents without a word have no shingles and link with nothing, not even each other. A doc_id that several rows
-    carry stands for each of its rows' sets. Rows without an id are kept; they link only through equal texts of rows
-    with one. An empty table gives an empty table. Extra columns are ignored.
-    """
-    spark = docs.sparkSession
-    tune(spark)
-    table = Saved(sketch(docs, rule, doc_id, text), "sketches").df
-    kind = table.schema["doc_id"].dataType
-    equal = table.where("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"))
-    regions = Saved(candidate_regions(table).select(F.col("node").alias("lo"), "comp"), "regions").df
-    reps = Saved(equal.join(regions, "lo").where("rep is not null").select("rep", "hi", "lo", "n", "comp"), "reps").df
-    many = reps.count()
-    texts = docs.select(F.col(doc_id).alias("rep"), F.col(text).cast("string").alias("text"))
-    rows = within(texts, reps, "rep", "inner", many).select("rep", "hi", "lo", "comp", "text")
-
-    # a rep's id may belong to other rows too: its own text is the one with its key
-    def own(batches):
-        for b in batches:
-            keep = [set_key(shingles(t.as_py(), rule.k)) == (hi.as_py(), lo.as_py()) for hi, lo, t in zip(b.column(1), b.column(2), b.column(4))]
-            yield b.filter(pa.array(keep, pa.bool_()))
-
-    repeated = table.groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
-    if repeated:
-        rows = rows.mapInArrow(own, rows.schema).dropDuplicates(["hi", "lo"])
-    weight = reps.groupBy("comp").agg((F.sum("n") * 8).alias("bytes"), F.count("*").alias("docs"))
-    large = weight.where(((F.col("bytes") > region_bytes) & (F.col("docs") > 2)) | (F.col("docs") > region_docs))
-    n_large = large.count()
-    sized = rows.withColumn("key", F.struct(F.col("comp"), F.lit(0).alias("i"), F.lit(0).alias("j")))
-    if n_large:
-        blocks = within(reps, large.select("comp", F.greatest(F.ceil(2 * F.col("bytes") / region_bytes), F.ceil(2 * F.col("docs") / region_docs)).cast("int").alias("blocks")), "comp", "inner", n_large)
-        blocks = blocks.select("rep", "hi", "lo", F.pmod(F.xxhash64("hi", "lo"), F.col("blocks")).cast("int").alias("own"), "blocks")
-        spread = blocks.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("hi", "lo", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
-        apart = rows.join(spread, ["hi", "lo"], "left")
-        sized = apart.withColumn("key", F.struct(F.col("comp"), F.coalesce("i", F.lit(0)).alias("i"), F.coalesce("j", F.lit(0)).alias("j")))
+def _linker(rule: Rule):
+    """The task of a region or of blocks of it: (members, top), top being the `lo` of the first of a component."""
 
     def link(group: pa.Table) -> pa.Table:
         t = group.sort_by([("hi", "ascending"), ("lo", "ascending")])
-        comp = join_region([shingles(x.as_py(), rule.k) for x in t.column("text")], rule)
         lo = np.asarray(t.column("lo"))
-        top = np.arange(len(comp))[np.unique(comp, return_index=True)[1]][np.unique(comp, return_inverse=True)[1].reshape(-1)]
-        return pa.table({"a": pa.array(lo, pa.int64()), "b": pa.array(lo[top], pa.int64()), "ahi": t.column("hi"), "rep": t.column("rep")})
-
-    linked = sized.select("key", "rep", "hi", "lo", "text").groupBy("key").applyInArrow(link, f"a long, b long, ahi long, rep {kind.simpleString()}")
-    linked = Saved(linked, "links").df
-    if n_large:  # blocks of one region give links of their own; whole regions need no more rounds
-        tree = connected_components(linked.where("a <> b").select("a", "b"))
-        linked = linked.select("a", "ahi", "rep").distinct().join(tree, F.col("a") == F.col("node"), "left").select("a", "ahi", "rep", F.coalesce("comp", "a").alias("b"))
-    least = linked.groupBy("b").agg(F.min("rep").alias("component_id"))
-    tops = linked.join(least, "b").select(F.col("ahi").alias("hi"), F.col("a").alias("lo"), F.col("component_id").alias("via"))
-    known = Saved(equal.select("hi", "lo", "rep").join(tops, ["hi", "lo"], "left").select("hi", "lo", F.coalesce("via", "rep").alias("component_id")), "components").df
-    return table.join(known, (table["hi"] == known["hi"]) & (table["lo"] == known["lo"]) & (table["n"] > 0), "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
-    )
-
-
-def drop_near_copies(docs: DataFrame, rule: Rule, doc_id="doc_id", text="text") -> DataFrame:
-    """`docs` with one document of each group left, the one of the smallest doc_id.
-
-    Rows that repeat that id within the group leave one of them. Only ids are joined to the texts: the ids that go are
-    broadcast while they are few (counted), shuffled else.
+        comp = join_region([shingles(x.as_py(), rule.k) for x in t.column("text")], rule, labels=np.asarray(t.column("label")))
+        _, first, back = np.unique(comp, return_index=True, return_inverse=True)
+        return pa.table({**{c: t.column(c) for c in _MEMBER}, "top": pa.array(lo[first[back.reshape(-1)]], pa.int64())})
+
+    return link
+
+
+def _large_regions(rows: DataFrame, members: DataFrame, rule: Rule, region_bytes: int, region_docs: int, out: str) -> DataFrame:
+    """(members, top) of the regions of `members` (with comp, blocks), joined in blocks, exactly.
+
+    First each block is joined by itself, with pivots of the region that stand in all of its blocks: groups of near
+    copies then are one component already. Every pair that is left to compare has a member outside of its region's
+    largest component: those meet the blocks of all others, and pairs known to be joined are passed over.
     """
-    ids = Saved(components(docs, rule, doc_id, text), "kept").df
-    goes = ids.where("component_id <> doc_id").select(F.col("doc_id").alias(doc_id)).distinct()
-    out = within(docs, goes, doc_id, "left_anti", goes.count())
-    twice = ids.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select(F.col("doc_id").alias(doc_id))
-    n = twice.count()
-    if n:
-        again = within(docs, twice, doc_id, "left_semi", n)
-        out = within(out, twice, doc_id, "left_anti", n).unionByName(within(again, goes, doc_id, "left_anti", goes.count()).dropDuplicates([doc_id]))
-    return out
+    slot = lambda n, salt: F.pmod(F.xxhash64("hi", "lo", F.lit(salt)), n).cast("int")
+    # at most PIVOTS a region, the least by hash of each of as many parts
+    chosen = members.groupBy("comp", "blocks", slot(F.lit(PIVOTS), 1).alias("part")).agg(F.min(F.struct(F.xxhash64("hi", "lo", F.lit(2)).alias("by"), "hi", "lo")).alias("p"))
+    pivots = chosen.select("comp", "blocks", "p.hi", "p.lo").withColumn("own", slot(F.col("blocks"), 3))
+    everywhere = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own").select("hi", "lo", "comp", "block")
+    at_home = members.select("hi", "lo", "comp", slot(F.col("blocks"), 3).alias("block"))
+    placed = rows.join(at_home.unionByName(everywhere), ["hi", "lo", "comp"]).withColumn("label", F.col("lo"))
+    one = Saved(placed.select("comp", "block", *_MEMBER, "label", "text").groupBy("comp", "block").applyInArrow(_linker(rule), out), "blocks").df
+    tree = Saved(connected_components(one.where("lo <> top").select(F.col("lo").alias("a"), F.col("top").alias("b"))), "tree").df
+    labels = tree.withColumnsRenamed({"node": "lo", "comp": "label"})
+    state = Saved(members.join(labels, "lo", "left").withColumn("label", F.coalesce("label", "lo")), "state").df
+    main = state.groupBy("comp", "label").count().groupBy("comp").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
+    loose = state.join(main, "comp").where("label <> main").drop("main")
+    weight = loose.groupBy("comp").agg((F.sum("n") * 8).alias("bytes"), F.count("*").alias("docs"))
+    weight = Saved(weight.select("comp", _blocks(region_bytes, region_docs).alias("parts")), "loose").df
+    if not weight.count():
+        return state.select(*_MEMBER, F.col("label").alias("top"))
+    state = state.join(weight, "comp").withColumn("block", slot(F.col("blocks"), 3))
+    stand = state.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    visit = state.join(main, "comp").where("label <> main").drop("main").withColumn("own", F.col("block")).withColumn("part", slot(F.col("parts"), 4))
+    visit = visit.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("block <> own").drop("own")
+    meet = stand.unionByName(visit).select("hi", "lo", "comp", "block", "part", "label")
+    placed = rows.join(meet, ["hi", "lo", "comp"])
+    two = Saved(placed.select("comp", "block", "part", *_MEMBER, "label", "text").groupBy("comp", "block", "part").applyInArrow(_linker(rule), out), "meetings").df
+    edges = tree.select(F.col("node").alias("a"), F.col("comp").alias("b")).union(two.where("lo <> top").select("lo", "top"))
+    labels = connected_components(edges).withColumnsRenamed({"node": "lo", "comp": "label"})
+    return members.join(labels, "lo", "left").select(*_MEMBER, F.coalesce("label", "lo").alias("top"))
+
+
+def _blocks(region_bytes: int, region_docs: int):
+    return F.greatest(F.ceil(2 * F.col("bytes") / region_bytes), F.ceil(2 * F.col("docs") / region_docs)).cast("int")
+
+
+def joined(docs: DataFrame, rule: Rule, doc_id="doc_id", text="text", region_bytes: int = 24_000_000, region_docs: int = 512) -> tuple[DataFrame, DataFrame]:
+    """(rows, sets): rows has (doc_id, h, n, hi, lo) of each row of `docs`; sets has, for each set that is not empty,
+    (hi, lo, first_id, first_h): the row of the smallest id (null last) in its component."""
+    spark = docs.sparkSession
+    tune(spark)
+    sketches = Saved(sketch(docs, rule, doc_id, text), "sketches")
+    table = sketches.df
+    kind = table.schema["doc_id"].dataType.simpleString()
+    out = f"hi long, lo long, no_id boolean, rep {kind}, h long, top long"
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("rep"), "h")).alias("r")
+    equal = table.where("n > 0").groupBy("hi", "lo").agg(first, F.max("n").alias("n")).select("hi", "lo", "r.*", "n")
+    regions = Saved(candidate_regions(table), "regions")
+    reps = Saved(equal.join(regions.df.withColumnRenamed("node", "lo"), "lo"), "reps")
+    texts = _texts(docs, doc_id, text).withColumnRenamed("doc_id", "rep")
+    rows = within(texts, reps.df.drop("n"), ["rep", "h"])
+    if table.groupBy("doc_id", "h").count().where("count > 1").limit(1).count():  # rows that repeat id and text
+        rows = rows.dropDuplicates(["hi", "lo"])
+    weight = reps.df.groupBy("comp").agg((F.sum("n") * 8).alias("bytes"), F.count("*").alias("docs"))
+    large = Saved(weight.where(((F.col("bytes") > region_bytes) & (F.col("docs") > 2)) | (F.col("docs") > region_docs)).select("comp", _blocks(region_bytes, region_docs).alias("blocks")), "large")
+    any_large = large.df.limit(1).count() > 0
+    whole = within(rows, large.df, ["comp"], "left_anti") if any_large else rows
+    found = whole.withColumn("label", F.col("lo")).select("comp", *_MEMBER, "label", "text").groupBy("comp").applyInArrow(_linker(rule), out)
+    if any_large:
+        members = Saved(within(reps.df, large.df, ["comp"]), "members").df
+        parts = Saved(within(rows, large.df, ["comp"], "left_semi").select("comp", *_MEMBER, "text"), "texts").df
+        found = found.unionByName(_large_regions(parts, members, rule, region_bytes, region_docs, out))
+    links = Saved(found, "links")
+    least = Saved(links.df.groupBy("top").agg(F.min(F.struct("no_id", "rep", "hi", "lo", "h")).alias("r")), "least").df
+    tops = links.df.select("hi", "lo", "top").join(least, "top").select("hi", "lo", F.col("r.rep").alias("via"), F.col("r.h").alias("via_h"))
+    own = F.col("via_h").isNull()
+    sets = equal.join(tops, ["hi", "lo"], "left").select("hi", "lo", F.when(own, F.col("rep")).otherwise(F.col("via")).alias("first_id"), F.when(own, F.col("h")).otherwise(F.col("via_h")).alias("first_h"))
+    sets = Saved(sets, "sets").df
+    narrow = Saved(table.select("doc_id", "h", "n", "hi", "lo"), "rows").df
+    for used in (sketches, regions, reps, large, links):
+        used.drop()
+    return narrow, sets
+
+
+def components(docs: DataFrame, rule: Rule, doc_id="doc_id", text="text", region_bytes: int = 24_000_000, region_docs: int = 512) -> DataFrame:
+    """(doc_id, n_shingles, component_id) of every row: component_id is the smallest doc_id reachable by links.
+
+    Equal sets are one (a 128-bit key); then candidate regions; then each region is joined exactly by its documents'
+    own texts. A region of over `region_bytes` of shingles or `region_docs` sets is joined in blocks (`_large_regions`),
+    so a task's memory and time stay bound and no pair is lost.
+
+    Documents without a word have no shingles and link with nothing, not even each other: component_id is their own id.
+    Rows that share a doc_id are each joined by their own text. Rows without an id take part; a component without any
+    id has a null component_id. An empty table gives an empty table. Extra columns are ignored.
+    """
+    rows, sets = joined(docs, rule, doc_id, text, region_bytes, region_docs)
+    same = (rows["hi"] == sets["hi"]) & (rows["lo"] == sets["lo"]) & (rows["n"] > 0)
+    return rows.join(sets, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(rows["n"] > 0, F.col("first_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, rule: Rule, doc_id="doc_id", text="text", region_docs: int = 512) -> DataFrame:
+    """`docs` with one row of each group of linked texts left, that of the smallest doc_id (null last).
+
+    What goes is told by id and hash of the text, not by id alone: rows of one id with unlike texts are judged each by
+    its own. Of rows that repeat both, one stays, the least by its JSON. Rows without a word all stay. Only those keys
+    are joined to the texts: broadcast while they are few (measured), shuffled else.
+    """
+    rows, sets = joined(docs, rule, doc_id, text, region_docs=region_docs)
+    rows = rows.where("n > 0")
+    gone = rows.join(sets, ["hi", "lo"]).where(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))))
+    gone = Saved(gone.select(F.col("doc_id").alias(doc_id), F.col("h").alias("_h")).distinct(), "gone").df
+    twice = within(rows.groupBy(F.col("doc_id").alias(doc_id), F.col("h").alias("_h")).count().where("count > 1").drop("count"), gone, [doc_id, "_h"], "left_anti")
+    twice = Saved(twice, "twice").df
+    keyed = docs.withColumn("_h", F.xxhash64(F.col(text).cast("string")))
+    if twice.limit(1).count():
+        all_ = F.struct(*docs.columns)
+        again = within(keyed, twice, [doc_id, "_h"], "left_semi").groupBy(doc_id, "_h").agg(F.min_by(all_, F.to_json(all_)).alias("_r"))
+        once = within(keyed, gone.unionByName(twice), [doc_id, "_h"], "left_anti")
+        return once.drop("_h").unionByName(again.select("_r.*"))
+    return within(keyed, gone, [doc_id, "_h"], "left_anti").drop("_h")
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays (five words, similarity of 0.8 or more). The columns stay."""
+    """One document of each group of near copies stays (five words, similarity of 0.8 or more). The columns stay.
+
+    Null and empty texts stay, all of them; repeated rows leave one, unlike texts of one id each their own (see
+    `drop_near_copies`). An empty table gives an empty table; extra columns, whatever their names, are carried along.
+    """
     return drop_near_copies(docs, Rule()).select(*docs.columns)
 
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all `documents`: four words, 0.85."""
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet"), Rule(k=4, num=85))
+
+
+#: Every pair of sets, by their shared shingles: it serves small tables only.
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT row_number() OVER () AS r, doc_id,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT r, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i + 3], ' ') FOR i IN range(1, len(w) - 2)]) END AS s FROM w),
+g AS (SELECT DISTINCT r, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.r AS a, b.r AS b, count(*) AS shared, any_value(a.n) AS na, any_value(b.n) AS nb FROM g a JOIN g b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+l AS (SELECT a, b FROM p WHERE 100 * shared >= 85 * (na + nb - shared)),
+reach(a, b) AS (SELECT r, r FROM s UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a)
+SELECT any_value(me.doc_id) AS doc_id, any_value(len(me.s))::BIGINT AS n_shingles, min(s.doc_id) AS component_id
+FROM reach JOIN s ON reach.b = s.r JOIN s me ON reach.a = me.r GROUP BY reach.a
+"""
