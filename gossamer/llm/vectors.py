@@ -177,6 +177,10 @@ def _components(link: np.ndarray, left: np.ndarray, right: np.ndarray) -> tuple[
         label = new
 
 
+#: Lengths of vectors that get a grid of their own: the most common ones of which there are enough.
+GRIDS = 16
+
+
 def near_duplicates(table: DataFrame, vec_id="vec_id", embedding="embedding", at: float = 0.9, recall: float = 0.999, sample: int = 16_000, members: int = 2048, probes: int = 8192) -> DataFrame:
     """(vec_id, n_links, component_id, kept) of every row: links are pairs found with cosine `at` or more.
 
@@ -187,95 +191,99 @@ def near_duplicates(table: DataFrame, vec_id="vec_id", embedding="embedding", at
     `members` vectors, or asked by over `probes`, is dealt to several tasks, so that each holds a bounded block; from a
     block come sums and a forest of links, never pairs.
 
+    Only vectors of one length can link. The most common lengths have a grid each; vectors of a length with up to
+    `members` of them (or beyond GRIDS lengths) are compared all with all, in blocks.
+
     Vectors that are null, empty, zero or hold null or non-finite components, and rows without an id, link with nothing
-    (component_id is their own id). Vectors of another length than the most common one in the sample link with equal
-    ones only. Rows that share an id share its answer; labels and extra columns are ignored.
+    (component_id is their own id). Rows that repeat id and vector are one vector; unlike vectors of one id have an
+    answer each. Labels and extra columns are ignored. An empty table gives an empty table.
     """
     spark = table.sparkSession
     tune(spark)
-    rows = clean(table, vec_id, embedding).withColumn("key", F.xxhash64(F.col("v").cast("string"))).withColumn("key2", F.crc32(F.to_json(F.struct("v")).cast("binary")))
+    rows = clean(table, vec_id, embedding).withColumns({"key": F.xxhash64("v"), "key2": F.hash("v")})
     equal = Saved(rows.groupBy("key", "key2").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("weight"), F.first("v").alias("v")), "vectors").df
-    fitted = equal.select(F.col("rep").alias("vec_id"), "v")
-    width = fitted.groupBy(F.size("v").alias("w")).count().orderBy(F.desc("count"), "w").first()
-    dim = width["w"] if width else 0
-    centres = min(sample // 8, max(8, round((width["count"] / 64) ** 0.5))) if width else 0  # about 64 vectors a cell
-    alike = fitted.where(F.size("v") == dim)
-    grid = fit(bounded_sample(alike, sample, 2), centres)
-    if grid is not None:
-        visits = visits_for(alike, grid, at, recall, width["count"] / members + width["count"] / probes)
+    fitted = equal.select(F.col("key").alias("vec_id"), "v")
+    common = fitted.groupBy(F.size("v").alias("w")).count().where(F.col("count") > members).orderBy(F.desc("count"), "w").limit(GRIDS)
+    grids: dict[int, tuple[Grid, int | None]] = {}
+    for w, n in map(tuple, common.collect()):
+        alike = fitted.where(F.size("v") == w)
+        grid = fit(bounded_sample(alike, sample, 2), min(sample // 8, max(8, round((n / 64) ** 0.5))))  # about 64 vectors a cell
+        if grid is not None:
+            grids[w] = grid, visits_for(alike, grid, at, recall, n / members + n / probes)
     kind = equal.schema["v"].dataType.simpleString()
-    counted = "rep long, n long, a long, b long"
-    found = spark.createDataFrame([], counted)
-    if grid is not None:
-
-        def deal(batches):
-            for b in batches:
-                x = matrix(b.column(2))
-                if not len(x):
-                    continue
-                unit = _unit(x)
+
+    def deal(batches):
+        for batch in batches:
+            size = np.asarray(batch.column(2).value_lengths())
+            for w in np.unique(size).tolist():
+                b = batch.take(pa.array(np.flatnonzero(size == w)))
+                grid, visits = grids.get(w, (None, None))
                 if visits is None:  # all in one cell, which is dealt in blocks
-                    home, asks = np.zeros(len(x), np.int64), [[0]] * len(x)
+                    home, asks = np.zeros(len(b), np.int64), [[0]] * len(b)
                 else:
+                    unit = _unit(matrix(b.column(2)))
                     home = grid.own(unit)
                     asks = grid.nearest(unit, visits or len(grid.books[0]) * len(grid.books[1]), 2 - 2 * at + 1e-9)
                 n = np.array([len(a) for a in asks])
-                at_row = np.concatenate((np.arange(len(x)), np.repeat(np.arange(len(x)), n)))
+                at_row = np.concatenate((np.arange(len(b)), np.repeat(np.arange(len(b)), n)))
                 cell = np.concatenate((home, np.concatenate(asks)))
-                asking = np.concatenate((np.zeros(len(x), bool), np.ones(int(n.sum()), bool)))
+                asking = np.concatenate((np.zeros(len(b), bool), np.ones(int(n.sum()), bool)))
                 # who stands tells which cells it asks; who asks, where it stands: so each knows if the other finds it
-                there = pa.array([*([] if not visits else a for a in asks), *([h] for h in home[at_row[len(x) :]])], pa.list_(pa.int64()))
-                yield pa.RecordBatch.from_arrays([pa.array(cell, pa.int64()), pa.array(asking), there, *(b.column(k).take(pa.array(at_row)) for k in range(3))], names=["cell", "asks", "there", "rep", "weight", "v"])
-
-        dealt = equal.where(F.size("v") == dim).select("rep", "weight", "v").mapInArrow(deal, f"cell long, asks boolean, there array<long>, rep long, weight long, v {kind}")
-        dealt = Saved(dealt, "cells").df
-        sizes = dealt.groupBy("cell").agg(F.count(F.when(~F.col("asks"), 1)).alias("m"), F.count(F.when(F.col("asks"), 1)).alias("p")).where("m > 0")
-        sizes = sizes.select("cell", F.ceil(F.col("m") / members).cast("int").alias("mb"), F.ceil(F.col("p") / probes).cast("int").alias("pb"))
-        placed = dealt.join(sizes, "cell")
-        slot = F.xxhash64("rep", F.lit(8))
-        # members stand in one block for each block of probes, and probes come to each block of members
-        other = F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("mb")).otherwise(F.greatest("pb", F.lit(1))) - 1))
-        placed = placed.withColumn("o", other).select(
-            "cell", F.when(F.col("asks"), F.col("o")).otherwise(F.pmod(slot, F.col("mb"))).cast("int").alias("i"), F.when(F.col("asks"), F.pmod(slot, F.greatest("pb", F.lit(1)))).otherwise(F.col("o")).cast("int").alias("j"), "asks", "there", "rep", "weight", "v"
-        )
-
-        def compare(group: pa.Table) -> pa.Table:
-            asks = np.asarray(group.column("asks"))
-            x = matrix(group.column("v").combine_chunks())
-            x = x / np.linalg.norm(x, axis=1, keepdims=True)
-            ids, weight = np.asarray(group.column("rep")), np.asarray(group.column("weight"))
-            right, rid, rw = x[~asks], ids[~asks], weight[~asks]
-            there = group.column("there").combine_chunks()
-            home, lists = np.asarray(there.filter(pa.array(asks)).flatten()), there.filter(pa.array(~asks))
-            span = int(np.asarray(there.flatten()).max(initial=0)) + 1
-            back = np.sort(np.repeat(np.arange(len(right)), np.asarray(lists.value_lengths())) * span + np.asarray(lists.flatten()))
-            out = [np.zeros((4, 0), np.int64)]
-            if len(right):
-                for k in range(0, int(asks.sum()), 1024):
-                    left, lid, lw = (z[asks][k : k + 1024] for z in (x, ids, weight))
-                    link = left @ right.T >= at
-                    link &= lid[:, None] != rid[None]
-                    n = link @ rw
-                    hit = n > 0
-                    node, low = _components(link, lid, rid)
-                    out.append(np.stack((lid[hit], n[hit], lid[hit], lid[hit])))
-                    if visits:  # an exact visit finds each link from both ends
-                        p, q = np.nonzero(link)
-                        want = q * span + home[k + p]
-                        once = back[np.minimum(np.searchsorted(back, want), len(back) - 1)] != want
-                        more = np.bincount(q[once], lw[p[once]], len(right)).astype(np.int64)
-                        out.append(np.stack((rid, more, rid, rid))[:, more > 0])
-                    out.append(np.stack((node, np.zeros_like(node), node, low))[:, node != low])
-            a = np.concatenate(out, 1)
-            return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("rep", "n", "a", "b"), a)})
-
-        found = placed.groupBy("cell", "i", "j").applyInArrow(compare, counted)
-    found = Saved(found, "links").df
-    sums = found.where("n > 0").groupBy("rep").agg(F.sum("n").alias("n"))
-    tree = connected_components(found.where("a <> b").select("a", "b"))
-    byrep = equal.select("key", "key2", "rep", "weight").join(sums, "rep", "left").join(tree.withColumnRenamed("node", "rep"), "rep", "left")
-    byrep = Saved(byrep.select("key", "key2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("comp", "rep").alias("component_id")), "answers").df
-    mine = rows.join(byrep, ["key", "key2"]).select("vec_id", "n_links", "component_id")
+                there = pa.array([*([] if not visits else a for a in asks), *([h] for h in home[at_row[len(b) :]])], pa.list_(pa.int64()))
+                wide = pa.array(np.full(len(cell), w), pa.int32())
+                yield pa.RecordBatch.from_arrays([wide, pa.array(cell, pa.int64()), pa.array(asking), there, *(b.column(k).take(pa.array(at_row)) for k in range(3))], names=["w", "cell", "asks", "there", "key", "weight", "v"])
+
+    dealt = equal.select("key", "weight", "v").mapInArrow(deal, f"w int, cell long, asks boolean, there array<long>, key long, weight long, v {kind}")
+    dealt = Saved(dealt, "cells").df
+    sizes = dealt.groupBy("w", "cell").agg(F.count(F.when(~F.col("asks"), 1)).alias("m"), F.count(F.when(F.col("asks"), 1)).alias("p")).where("m > 0")
+    sizes = sizes.select("w", "cell", F.ceil(F.col("m") / members).cast("int").alias("mb"), F.ceil(F.col("p") / probes).cast("int").alias("pb"))
+    placed = dealt.join(sizes, ["w", "cell"])
+    slot = F.xxhash64("key", F.lit(8))
+    # members stand in one block for each block of probes, and probes come to each block of members
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("asks"), F.col("mb")).otherwise(F.greatest("pb", F.lit(1))) - 1))
+    placed = placed.withColumn("o", other).select(
+        "w", "cell", F.when(F.col("asks"), F.col("o")).otherwise(F.pmod(slot, F.col("mb"))).cast("int").alias("i"), F.when(F.col("asks"), F.pmod(slot, F.greatest("pb", F.lit(1)))).otherwise(F.col("o")).cast("int").alias("j"), "asks", "there", "key", "weight", "v"
+    )
+
+    def compare(group: pa.Table) -> pa.Table:
+        asks = np.asarray(group.column("asks"))
+        x = matrix(group.column("v").combine_chunks())
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        one_sided = bool(grids.get(x.shape[1], (None, None))[1])  # an exact visit finds each link from both ends
+        ids, weight = np.asarray(group.column("key")), np.asarray(group.column("weight"))
+        right, rid, rw = x[~asks], ids[~asks], weight[~asks]
+        there = group.column("there").combine_chunks()
+        home, lists = np.asarray(there.filter(pa.array(asks)).flatten()), there.filter(pa.array(~asks))
+        span = int(np.asarray(there.flatten()).max(initial=0)) + 1
+        back = np.sort(np.repeat(np.arange(len(right)), np.asarray(lists.value_lengths())) * span + np.asarray(lists.flatten()))
+        out = [np.zeros((4, 0), np.int64)]
+        if len(right):
+            for k in range(0, int(asks.sum()), 1024):
+                left, lid, lw = (z[asks][k : k + 1024] for z in (x, ids, weight))
+                link = left @ right.T >= at
+                link &= lid[:, None] != rid[None]
+                n = link @ rw
+                hit = n > 0
+                node, low = _components(link, lid, rid)
+                out.append(np.stack((lid[hit], n[hit], lid[hit], lid[hit])))
+                if one_sided:
+                    p, q = np.nonzero(link)
+                    want = q * span + home[k + p]
+                    once = back[np.minimum(np.searchsorted(back, want), len(back) - 1)] != want
+                    more = np.bincount(q[once], lw[p[once]], len(right)).astype(np.int64)
+                    out.append(np.stack((rid, more, rid, rid))[:, more > 0])
+                out.append(np.stack((node, np.zeros_like(node), node, low))[:, node != low])
+        a = np.concatenate(out, 1)
+        return pa.table({k: pa.array(v, pa.int64()) for k, v in zip(("key", "n", "a", "b"), a)})
+
+    found = Saved(placed.groupBy("w", "cell", "i", "j").applyInArrow(compare, "key long, n long, a long, b long"), "links").df
+    sums = found.where("n > 0").groupBy("key").agg(F.sum("n").alias("n"))
+    tree = Saved(connected_components(found.where("a <> b").select("a", "b")).withColumnRenamed("node", "key"), "tree").df
+    first = tree.join(equal.select("key", "rep"), "key").groupBy("comp").agg(F.min("rep").alias("first"))
+    tree = tree.join(first, "comp").select("key", "first")
+    answers = equal.select("key", "key2", "rep", "weight").join(sums, "key", "left").join(tree, "key", "left")
+    answers = Saved(answers.select("key", "key2", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("first", "rep").alias("component_id")), "answers").df
+    mine = rows.join(answers, ["key", "key2"]).select("vec_id", "n_links", "component_id")
     rest = table.where(~(F.col(vec_id).isNotNull() & usable(F.col(embedding)))).select(F.col(vec_id).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("n_links"), F.col(vec_id).cast("long").alias("component_id"))
     return mine.unionByName(rest).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
@@ -283,3 +291,21 @@ def near_duplicates(table: DataFrame, vec_id="vec_id", embedding="embedding", at
 def op2_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near duplicates among all `embeddings`, cosine 0.9."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+#: Every pair of vectors, by the definition: it serves small tables only.
+OP2_SQL = """
+WITH RECURSIVE v AS (
+  SELECT row_number() OVER () AS r, vec_id, embedding::DOUBLE[] AS e,
+         coalesce(list_sum([CASE WHEN x IS NULL OR NOT isfinite(x) THEN 1 ELSE 0 END FOR x IN embedding]) = 0 AND list_sum([abs(x) FOR x IN embedding]) > 0, false) AS ok
+  FROM embeddings),
+d AS (SELECT DISTINCT vec_id, e FROM v WHERE ok AND vec_id IS NOT NULL),
+n AS (SELECT row_number() OVER () AS k, vec_id, e FROM d),
+l AS (SELECT a.k AS a, b.k AS b FROM n a JOIN n b ON a.k <> b.k AND CASE WHEN len(a.e) = len(b.e) THEN list_cosine_similarity(a.e, b.e) >= 0.9 ELSE false END),
+reach(a, b) AS (SELECT k, k FROM n UNION SELECT reach.a, l.b FROM reach JOIN l ON reach.b = l.a),
+c AS (SELECT reach.a AS k, min(n.vec_id) AS component_id FROM reach JOIN n ON reach.b = n.k GROUP BY reach.a),
+s AS (SELECT n.vec_id, n.e, count(l.b) AS n_links, any_value(component_id) AS component_id FROM n JOIN c USING (k) LEFT JOIN l ON l.a = n.k GROUP BY n.k, n.vec_id, n.e)
+SELECT v.vec_id, coalesce(s.n_links, 0)::BIGINT AS n_links, coalesce(s.component_id, v.vec_id)::BIGINT AS component_id,
+       coalesce(v.vec_id = coalesce(s.component_id, v.vec_id), false) AS kept
+FROM v LEFT JOIN s ON v.ok AND v.vec_id = s.vec_id AND v.e = s.e
+"""
