@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 from .common import Saved, tune
 
 #: Both libraries agree on these characters by construction; others go to `tokenizers` itself.
-_OTHER = re.compile(r"[^\t\n\r -~¡-ɏ‐-‧€]")
+_OTHER = r"[^\t\n\r -~¡-ɏ‐-‧€]"
 
 
 @lru_cache(maxsize=2)
@@ -24,9 +24,8 @@ def _encoders(json_path: str, ranks_path: str | None):
     from tokenizers import Tokenizer
 
     plain = Tokenizer.from_file(json_path)
-    plain.encode_special_tokens = True  # strings of special tokens in a text are ordinary text
     if not ranks_path:
-        return plain, None
+        return plain, None, None
     import base64
 
     import public_tokenizers
@@ -34,15 +33,18 @@ def _encoders(json_path: str, ranks_path: str | None):
 
     with open(ranks_path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return plain, tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = [t.content for t in plain.get_added_tokens_decoder().values()]  # these strings become ids of their own
+    return plain, fast, re.compile("|".join([_OTHER, *map(re.escape, added)]))
 
 
 def token_ids(text: str | None, json_path: str, ranks_path: str | None) -> np.ndarray:
-    """The ids of a text by the tokenizer file. `ranks_path`: the same vocabulary for a faster library."""
-    plain, fast = _encoders(json_path, ranks_path)
+    """The ids of a text by the tokenizer file, its added tokens included. `ranks_path`: the same vocabulary for a faster
+    library, which serves texts of common characters without a string of an added token."""
+    plain, fast, other = _encoders(json_path, ranks_path)
     if not text:
         return np.zeros(0, "<u4")
-    if fast is not None and not _OTHER.search(text):
+    if fast is not None and not other.search(text):
         return np.asarray(fast.encode_to_numpy(text, disallowed_special=()), "<u4")
     return np.array(plain.encode(text, add_special_tokens=False).ids, "<u4")
 
@@ -51,9 +53,10 @@ def plan_bins(counts: dict[int, int], size: int) -> list[tuple[list[int], int]]:
     """Best-two-fit on a histogram of lengths: [(lengths in a bin, bins so filled)].
 
     A bin takes the longest item, then again and again the longest that fits. If a gap is left, its smallest item is
-    replaced by the two unpacked items whose sum is largest within that item plus the gap, if that is more. Items of
-    one length are alike, and a choice depends on which lengths are left, so a bin is repeated until one of its
-    lengths runs out: the same bins as one by one, in a number of steps bound by the number of lengths.
+    replaced by the two unpacked items whose sum is largest within that item plus the gap, if that is more; a bin's only
+    item is its smallest, too. Items of
+    one length are alike, and a choice depends on which lengths are left, so a bin is repeated as long as the lengths
+    that its choices took are left: the same bins as one by one, in steps that lengths, not items, bound.
     """
     left = np.zeros(size + 1, np.int64)
     for k, v in counts.items():
@@ -67,7 +70,7 @@ def plan_bins(counts: dict[int, int], size: int) -> list[tuple[list[int], int]]:
             bin_ += [n] * k
             free[n] -= k
             gap -= n * k
-        if gap and len(bin_) > 1:
+        if gap:
             least = bin_[-1]
             best, pair, room = least, None, least + gap
             have = np.flatnonzero(free[: room + 1])
@@ -80,10 +83,13 @@ def plan_bins(counts: dict[int, int], size: int) -> list[tuple[list[int], int]]:
                     if a + b > best:
                         best, pair = a + b, [b, a]
                     i += 1
+            need = Counter(bin_) + Counter(pair or ())
             if pair:
                 bin_ = [*bin_[:-1], *pair]
+        else:
+            need = Counter(bin_)
         used = Counter(bin_)
-        times = int(min(left[n] // k for n, k in used.items()))
+        times = int(min((left[n] - need[n]) // k + 1 for n, k in used.items()))
         for n, k in used.items():
             left[n] -= times * k
         out.append((bin_, times))
@@ -137,8 +143,8 @@ def pack(docs: DataFrame, doc_id="doc_id", text="text", size: int = 1024, end_id
     length, `part` rows of the input a bucket, and offset by the sums of the buckets before, so that a common length
     is spread out.
 
-    Null or empty text is one piece of length 1. Null or repeated ids are kept; rows equal in all are exchangeable.
-    An empty table gives an empty table. Extra columns are ignored.
+    Null or empty text is one piece of length 1. Null ids are kept. Rows that repeat an id are packed each; rows equal
+    in all are exchangeable. An empty table gives an empty table. Extra columns are ignored.
     """
     import public_tokenizers
 
@@ -168,10 +174,27 @@ def pack(docs: DataFrame, doc_id="doc_id", text="text", size: int = 1024, end_id
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents and their places (see `pack`)."""
+    """The pieces of all documents and their places; nulls, repeated rows, empty tables and extra columns as in `pack`."""
     return pack(docs)
 
 
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents` packed into sequences of 1024 tokens (see `pack`)."""
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of op9 whatever the ids are: documents, pieces that are no whole document's end, sequences that are
+    too long, gaps and overlaps in sequences, pieces of a document that do not follow each other."""
+    got = Saved(op9_best_two_fit(spark, sf_dir), "packed").df
+    sums = got.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.max(F.col("offset") + F.col("length")).alias("end"), F.min("offset").alias("first"), F.countDistinct("offset").alias("places"), F.count("*").alias("pieces"))
+    by_doc = got.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max(F.col("start") + F.col("length")).alias("end"), F.count("*").alias("pieces"), F.max("piece").alias("last"))
+    bad = sums.agg(F.count_if(F.col("n") > 1024).alias("too_long"), F.count_if((F.col("end") != F.col("n")) | (F.col("first") != 0) | (F.col("places") != F.col("pieces"))).alias("gaps"))
+    docs = by_doc.agg(F.count("*").alias("docs"), F.count_if((F.col("end") != F.col("n")) | (F.col("last") + 1 != F.col("pieces"))).alias("broken"))
+    short = got.agg(F.count_if((F.col("piece") > 0) & (F.col("length") != 1024)).alias("short"))
+    # three rows of a few sums each become one
+    one = bad.unionByName(docs, allowMissingColumns=True).unionByName(short, allowMissingColumns=True)
+    return one.agg(*(F.max(c).alias(c) for c in ("docs", "short", "too_long", "gaps", "broken")))
+
+
+PACKED_SQL = "SELECT count(DISTINCT doc_id) AS docs, 0::BIGINT AS short, 0::BIGINT AS too_long, 0::BIGINT AS gaps, 0::BIGINT AS broken FROM documents"
