@@ -17,8 +17,9 @@ from .common import tune
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]++(\.[A-Za-z0-9-]++)+")
-# possessive runs: the same matches as the greedy ones of the contract, in time linear in the text
-IP = re.compile(r"[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
+# possessive runs: the same matches as the greedy ones of the contract, in time linear in the text; no match can begin
+# within a run of digits, as it would go on exactly like one from the run's first digit
+IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: What every span of the model holds, in folded text; the model reads only around these.
@@ -100,72 +101,83 @@ class Tagger:
             p |= {f"W{d}": r.normal(0, 0.25, (width, 4 * hidden)), f"U{d}": r.normal(0, 0.25, (hidden, 4 * hidden)), f"c{d}": np.concatenate((np.zeros(hidden), np.ones(hidden), np.zeros(2 * hidden)))}
         return cls({k: v.astype(np.float32) for k, v in p.items()})
 
-    def _lstm(self, x: np.ndarray, d: str, keep: bool):
-        n, t, _ = x.shape
-        u = self.p[f"U{d}"]
-        z = x @ self.p[f"W{d}"] + self.p[f"c{d}"]
-        k = u.shape[0]
-        h, c, out, mem = np.zeros((n, k), np.float32), np.zeros((n, k), np.float32), np.empty((n, t, k), np.float32), []
-        for i in range(t) if d == "f" else range(t - 1, -1, -1):
+    def _states(self, x: np.ndarray, keep: bool):
+        """States of both directions, time first: (2, t, n, hidden); the second runs from the end."""
+        n, t, e = x.shape
+        u, w, c0 = (np.stack([self.p[f"{name}{d}"] for d in "fr"]) for name in "UWc")
+        k = u.shape[1]
+        two = np.stack((x.transpose(1, 0, 2), x.transpose(1, 0, 2)[::-1])).reshape(2, t * n, e)
+        z = (two @ w + c0[:, None]).reshape(2, t, n, 4 * k)
+        h, c, out, mem = np.zeros((2, n, k), z.dtype), np.zeros((2, n, k), z.dtype), np.empty((2, t, n, k), z.dtype), []
+        for i in range(t):
             a = z[:, i] + h @ u
-            g = _sig(a[:, : 3 * k])
-            i_, f_, o_, q = g[:, :k], g[:, k : 2 * k], g[:, 2 * k :], np.tanh(a[:, 3 * k :])
-            before, hb = c, h
+            g = _sig(a[..., : 3 * k])
+            i_, f_, o_, q = g[..., :k], g[..., k : 2 * k], g[..., 2 * k :], np.tanh(a[..., 3 * k :])
+            before = c
             c = f_ * c + i_ * q
             tc = np.tanh(c)
             h = o_ * tc
             out[:, i] = h
             if keep:
-                mem.append((i, i_, f_, o_, q, before, tc, hb))
-        return out, mem
+                mem.append((i_, f_, o_, q, before, tc))
+        return out, (two, mem)
 
     def emissions(self, ids: np.ndarray, keep: bool = False):
-        x = self.p["E"][ids]
-        (f, mf), (r, mr) = self._lstm(x, "f", keep), self._lstm(x, "r", keep)
-        h = np.concatenate((f, r), 2)
-        return h @ self.p["O"] + self.p["b"], (x, h, mf, mr)
+        s, mem = self._states(self.p["E"][ids], keep)
+        h = np.concatenate((s[0], s[1, ::-1]), 2).transpose(1, 0, 2)
+        return h @ self.p["O"] + self.p["b"], (h, s, *mem)
 
     def gradients(self, ids: np.ndarray, tags: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Negative log-likelihood a row and its gradients. Rows have equal lengths; padding is tagged as outside."""
-        e, (x, h, mf, mr) = self.emissions(ids, True)
+        e, (h, states, two, mem) = self.emissions(ids, True)
         n, t, _ = e.shape
-        a, s = self.p["A"], self.p["s"]
-        al, be = np.empty_like(e), np.zeros_like(e)
-        al[:, 0] = s + e[:, 0]
-        lse = lambda v: (m := v.max(1, keepdims=True))[:, 0] + np.log(np.exp(v - m).sum(1))
-        for i in range(1, t):
-            al[:, i] = e[:, i] + lse(al[:, i - 1, :, None] + a)
+        a, s = self.p["A"].astype(np.float64), self.p["s"].astype(np.float64)
+        # forward and backward sums, scaled to 1 at each place
+        top, most = e.max(2).astype(np.float64), a.max()
+        x, step = np.exp(e - top[..., None]), np.exp(a - most)
+        al, be, scale = np.empty((n, t, TAGS)), np.ones((n, t, TAGS)), np.empty((n, t))
+        v = np.exp(s - s.max()) * x[:, 0]
+        for i in range(t):
+            v = v if i == 0 else (v @ step) * x[:, i]
+            scale[:, i] = v.sum(1)
+            al[:, i] = v = v / scale[:, i, None]
         for i in range(t - 2, -1, -1):
-            be[:, i] = lse((be[:, i + 1] + e[:, i + 1])[:, :, None] + a.T)
-        z = lse(al[:, -1])
+            be[:, i] = ((x[:, i + 1] * be[:, i + 1]) @ step.T) / scale[:, i + 1, None]
+        z = np.log(scale).sum(1) + top.sum(1) + s.max() + (t - 1) * most
         rows = np.arange(n)
         gold = s[tags[:, 0]] + e[rows[:, None], np.arange(t), tags].sum(1) + a[tags[:, :-1], tags[:, 1:]].sum(1)
-        de = np.exp(al + be - z[:, None, None])
+        de = al * be
         g = {"s": de[:, 0].sum(0)}
-        two = np.exp(al[:, :-1, :, None] + a + (be[:, 1:] + e[:, 1:])[:, :, None, :] - z[:, None, None, None]).sum((0, 1))
-        np.add.at(two, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), -1)
+        pairs = step * (al[:, :-1].reshape(-1, TAGS).T @ ((x[:, 1:] * be[:, 1:]) / scale[:, 1:, None]).reshape(-1, TAGS))
+        np.add.at(pairs, (tags[:, :-1].ravel(), tags[:, 1:].ravel()), -1)
         np.add.at(g["s"], tags[:, 0], -1)
         de[rows[:, None], np.arange(t), tags] -= 1
-        g |= {"A": two, "O": np.einsum("nth,nto->ho", h, de), "b": de.sum((0, 1))}
-        dh = de @ self.p["O"].T
-        dx, k = np.zeros_like(x), h.shape[2] // 2
-        for d, mem, part in (("f", mf, dh[..., :k]), ("r", mr, dh[..., k:])):
-            u, da_all = self.p[f"U{d}"], np.empty((n, t, 4 * k), np.float32)
-            gu, nh, nc = np.zeros_like(u), np.zeros((n, k), np.float32), np.zeros((n, k), np.float32)
-            for i, i_, f_, o_, q, before, tc, hb in reversed(mem):
-                hh = part[:, i] + nh
-                nc = nc + hh * o_ * (1 - tc * tc)
-                da = np.concatenate((nc * q * i_ * (1 - i_), nc * before * f_ * (1 - f_), hh * tc * o_ * (1 - o_), nc * i_ * (1 - q * q)), 1)
-                da_all[:, i] = da
-                gu += hb.T @ da
-                nh, nc = da @ u.T, nc * f_
-            dx += da_all @ self.p[f"W{d}"].T
-            g |= {f"U{d}": gu, f"W{d}": np.einsum("nte,ntk->ek", x, da_all), f"c{d}": da_all.sum((0, 1))}
+        de = de.astype(e.dtype)
+        g |= {"A": pairs, "O": h.reshape(n * t, -1).T @ de.reshape(n * t, TAGS), "b": de.sum((0, 1))}
+        dh, k = (de @ self.p["O"].T).transpose(1, 0, 2), states.shape[3]
+        part = np.stack((dh[..., :k], dh[::-1, :, k:]))
+        u, w = (np.stack([self.p[f"{name}{d}"] for d in "fr"]) for name in "UW")
+        da_all, back = np.empty((2, t, n, 4 * k), e.dtype), u.transpose(0, 2, 1)
+        nh, nc = np.zeros((2, n, k), e.dtype), np.zeros((2, n, k), e.dtype)
+        for i in range(t - 1, -1, -1):
+            i_, f_, o_, q, before, tc = mem[i]
+            hh = part[:, i] + nh
+            nc = nc + hh * o_ * (1 - tc * tc)
+            da = da_all[:, i]
+            da[..., :k], da[..., k : 2 * k], da[..., 2 * k : 3 * k], da[..., 3 * k :] = nc * q * i_ * (1 - i_), nc * before * f_ * (1 - f_), hh * tc * o_ * (1 - o_), nc * i_ * (1 - q * q)
+            nh, nc = da @ back, nc * f_
+        flat = da_all.reshape(2, t * n, 4 * k)
+        earlier = np.concatenate((np.zeros((2, 1, n, k), e.dtype), states[:, :-1]), 1).reshape(2, t * n, k)
+        gu, gw, gc = earlier.transpose(0, 2, 1) @ flat, two.transpose(0, 2, 1) @ flat, flat.sum(1)
+        for j, d in enumerate("fr"):
+            g |= {f"U{d}": gu[j], f"W{d}": gw[j], f"c{d}": gc[j]}
+        dx = (flat @ w.transpose(0, 2, 1)).reshape(2, t, n, -1)
+        dx = (dx[0] + dx[1, ::-1]).transpose(1, 0, 2)
         g["E"] = np.zeros_like(self.p["E"])
         np.add.at(g["E"], ids.ravel(), dx.reshape(-1, dx.shape[2]))
         return float((z - gold).mean()), {k_: v / n for k_, v in g.items()}
 
-    def fit(self, ids: np.ndarray, tags: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Tagger:
+    def fit(self, ids: np.ndarray, tags: np.ndarray, epochs: int = 6, batch: int = 32, rate: float = 0.01, seed: int = 7) -> Tagger:
         """Adam with a falling rate, in a fixed order of batches."""
         r, m, v, t = np.random.default_rng(seed), {}, {}, 0
         steps = epochs * -(-len(ids) // batch)
@@ -305,29 +317,30 @@ AT_DOT = [(" [at] ", " [dot] "), ("(at)", "."), (" (at) ", " (dot) "), ("[at]",
 
 def _example(r: np.random.Generator, words: list[str]) -> tuple[str, str | None]:
     """A made-up string and its kind; None: it only looks like personal data."""
-    w = lambda: re.sub(r"[^a-z]", "", str(r.choice(words)).lower()) or "ana"
+    any_ = lambda x: x[int(r.integers(len(x)))]
+    w = lambda: re.sub(r"[^a-z]", "", any_(words).lower()) or "ana"
     d = lambda n: "".join(map(str, r.integers(0, 10, n)))
     pick = int(r.integers(0, 20))
     if pick < 2:
-        return f"{w()}.{r.integers(1, 99)}@{w()}{r.integers(1, 9)}.{r.choice(['com', 'org', 'net', 'example.com'])}", "email"
+        return f"{w()}.{r.integers(1, 99)}@{w()}{r.integers(1, 9)}.{any_(['com', 'org', 'net', 'example.com'])}", "email"
     if pick < 4 or pick > 16:
         at, dot = AT_DOT[int(r.integers(len(AT_DOT)))]
-        name = str(r.choice([w(), w(), f"{w()}.{w()}", f"{w()}{r.integers(1, 99)}", f"{w()}.{w()}{r.integers(1, 99)}"]))
-        host = str(r.choice([w(), w(), f"{w()}-{w()}", f"{w()}{dot}{w()}", f"{w()}.{w()}-{w()}" if at != " at " else w()]))
-        s = f"{name}{at}{host}{dot}{r.choice(['com', 'org', 'net', 'example'])}"
+        name = any_([w(), w(), f"{w()}.{w()}", f"{w()}{r.integers(1, 99)}", f"{w()}.{w()}{r.integers(1, 99)}"])
+        host = any_([w(), w(), f"{w()}-{w()}", f"{w()}{dot}{w()}", f"{w()}.{w()}-{w()}" if at != " at " else w()])
+        s = f"{name}{at}{host}{dot}{any_(['com', 'org', 'net', 'example'])}"
         return (s.upper() if r.random() < 0.25 else re.sub(r"\bat\b", "AT", s) if r.random() < 0.15 else s), "email"
     if pick < 6:
         return ".".join(map(str, r.integers(0, 256, 4))), "ip"
     if pick < 9:
-        n = int(r.choice([15, 16, 16, 16]))
-        s, sep = _with_luhn(r, n), str(r.choice(["", " ", "-", ".", "/"]))
+        n = any_([15, 16, 16, 16])
+        s, sep = _with_luhn(r, n), any_(["", " ", "-", ".", "/"])
         cuts = (4, 10) if n == 15 else (4, 8, 12)
         return sep.join(s[a:b] for a, b in zip((0, *cuts), (*cuts, n))), "card"
     if pick < 12:
         a, b, c = d(3), d(3), d(4)
-        return str(r.choice([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{d(2)} {d(3)} {d(3)} {d(3)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"00{d(2)} {d(3)} {d(6)}"])), "phone"
+        return any_([f"+1 ({a}) {b}-{c}", f"({a}) {b}-{c}", f"{a}-{b}-{c}", f"+{d(2)} {d(3)} {d(3)} {d(3)}", f"0{d(1)} {d(2)} {d(2)} {d(2)} {d(2)}", f"00{d(2)} {d(3)} {d(6)}"]), "phone"
     hexed = "".join(r.choice(list("0123456789abcdef"), 40))
-    return str(r.choice([f'token = "{hexed}"', f"{r.integers(1900, 2100)}-{r.integers(10, 13)}-{d(2)}", f"{d(1)}.{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(3)},{d(3)}.{d(2)}", d(16), d(8), f"{d(4)}:{d(2)}", f"page {d(3)}", f"@{w()}", f"{d(1)}.{d(1)}.{d(1)}.999", f"{d(5)}-{d(2)}"])), None
+    return any_([f'token = "{hexed}"', f"{r.integers(1900, 2100)}-{r.integers(10, 13)}-{d(2)}", f"{d(1)}.{d(2)}", f"v{d(1)}.{d(1)}.{d(2)}", f"{d(3)},{d(3)}.{d(2)}", d(16), d(8), f"{d(4)}:{d(2)}", f"page {d(3)}", f"@{w()}", f"{d(1)}.{d(1)}.{d(1)}.999", f"{d(5)}-{d(2)}"]), None
 
 
 FITTED = 128  # characters a row to learn from
@@ -359,19 +372,26 @@ def labelled(carriers: list[str], n: int = 3000, seed: int = 11) -> tuple[np.nda
     return ids, tags
 
 
-def train(docs: DataFrame, text="text", sample: int = 300) -> Tagger:
-    """A tagger from labelled spans put into about `sample` texts, chosen by a hash; equal texts count once."""
+def train(docs: DataFrame, text="text", sample: int = 300, piece: int = 2000) -> Tagger:
+    """A tagger from labelled spans put into pieces of about `sample` texts, chosen by a hash; equal texts count once.
+
+    A piece has at most `piece` characters from a place that the hash chooses, so what reaches the driver is bounded.
+    """
     n = docs.count()
     part = int(min(1.0, sample / max(1, n)) * 1_000_000)
-    slot = F.pmod(F.xxhash64(F.col(text)), F.lit(1_000_000))
-    rows = docs.where(F.col(text).isNotNull() & (slot < part)).select(slot.alias("slot"), F.col(text).cast("string").alias("text")).distinct()
+    t = F.col(text).cast("string")
+    slot = F.pmod(F.xxhash64(t), F.lit(1_000_000))
+    start = F.pmod(F.xxhash64(t, F.lit(2)), F.greatest(F.length(t) - piece, F.lit(0)) + 1).cast("int") + 1
+    rows = docs.where(t.isNotNull() & (slot < part)).select(slot.alias("slot"), F.substr(t, start, F.lit(piece)).alias("text")).distinct()
     ids, tags = labelled([t for _, t in sorted(map(tuple, rows.collect()))])
     return Tagger.new().fit(ids, tags)
 
 
 # --- queries ------------------------------------------------------------------------------------------------------------
 
-FOUND = "struct<n_email: long, n_ip: long, n_card: long, n_phone: long, base_sha256: string, spans: string>"
+COUNTS = [f"n_{k}" for k in KINDS]
+NEW = [*COUNTS, "base_sha256", "spans", "found"]
+FOUND = f"struct<{', '.join(f'{c}: long' for c in COUNTS)}, base_sha256: string, spans: string, found: boolean>"
 
 
 def finder(tagger: Tagger):
@@ -383,14 +403,14 @@ def finder(tagger: Tagger):
         bases = [base_spans(x) for x in t]
         spans = [b + a for b, a in zip(bases, added_spans(t, bases, tagger))]
         cols = [pa.array([sum(s[0] == k for s in x) for x in spans], pa.int64()) for k in KINDS]
-        cols += [pa.array([hashlib.sha256(told(b).encode()).hexdigest() for b in bases], pa.string()), pa.array([told(x) for x in spans], pa.string())]
-        return pa.StructArray.from_arrays(cols, names=["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
+        cols += [pa.array([hashlib.sha256(told(b).encode()).hexdigest() for b in bases], pa.string()), pa.array([told(x) for x in spans], pa.string()), pa.array(map(bool, spans), pa.bool_())]
+        return pa.StructArray.from_arrays(cols, names=NEW)
 
     return find.asNondeterministic()
 
 
 def find(docs: DataFrame, tagger: Tagger, text="text") -> DataFrame:
-    """`docs` with counts of spans by kind (base and added), the digest of the base spans, and all spans.
+    """`docs` with counts of spans by kind (base and added), the digest of the base spans, all spans, and if there are any.
 
     Base spans follow the patterns exactly and always stay. The tagger reads overlapping windows around every digit,
     `@`, bracketed `at` and `at` with a written `dot` of the whole text, in any case and width: what it adds must hold
@@ -399,9 +419,8 @@ def find(docs: DataFrame, tagger: Tagger, text="text") -> DataFrame:
     equal answers; very long texts cost time in proportion.
     """
     tune(docs.sparkSession)
-    names = ["n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
-    rest = [c for c in docs.columns if c not in names]
-    return docs.withColumn("_f", finder(tagger)(F.col(text).cast("string"))).select(*rest, *(f"_f.{c}" for c in names))
+    rest = [c for c in docs.columns if c not in NEW]
+    return docs.withColumn("_f", finder(tagger)(F.col(text).cast("string"))).select(*rest, *(f"_f.{c}" for c in NEW))
 
 
 def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
@@ -417,7 +436,11 @@ def redact(text: str | None, spans: list[tuple[str, int, int]]) -> str | None:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replace personal data by its kind; every document stays, n_chars follows the text."""
+    """Replace personal data by its kind; every document stays, n_chars follows the text.
+
+    Null and empty texts stay as they are; repeated rows are treated alike. An empty table gives an empty table; extra
+    columns, whatever their names, are carried along.
+    """
     tune(spark)
     tagger = train(docs)
 
@@ -435,3 +458,41 @@ def op8_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all `documents`."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return find(docs, train(docs)).drop("text")
+
+
+def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op8's base spans alone, which are patterns without a model: (doc_id, n_base, base_sha256) of all `documents`."""
+
+    @arrow_udf("struct<n_base: long, base_sha256: string>")
+    def base(texts: pa.Array) -> pa.Array:
+        found = [base_spans(t.as_py()) for t in texts]
+        return pa.StructArray.from_arrays([pa.array(map(len, found), pa.int64()), pa.array([hashlib.sha256(told(b).encode()).hexdigest() for b in found], pa.string())], names=["n_base", "base_sha256"])
+
+    tune(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return docs.select("doc_id", base.asNondeterministic()(F.col("text")).alias("b")).select("doc_id", "b.*")
+
+
+def _spans_sql(kind: int, pattern: str, ok: str) -> str:
+    """Matches of a pattern with their places: what stands between them comes from a split by the same pattern."""
+    return f"""SELECT doc_id, {kind} AS kind, m[i] AS v, (list_sum([len(x) FOR x IN s[1:i]]) + coalesce(list_sum([len(x) FOR x IN m[1:i-1]]), 0))::BIGINT AS start
+    FROM (SELECT doc_id, m, s, unnest(range(1, len(m) + 1)) AS i FROM (
+      SELECT doc_id, regexp_extract_all(text, '{pattern}') AS m, string_split_regex(text, '{pattern}') AS s FROM d)) WHERE {ok}"""
+
+
+_DIGITS = "regexp_replace(m[i], '[^0-9]', '', 'g')"
+_LUHN = f"list_sum([CASE WHEN (len({_DIGITS}) - k) % 2 = 0 THEN substr({_DIGITS}, k, 1)::INT ELSE (2 * substr({_DIGITS}, k, 1)::INT) // 10 + (2 * substr({_DIGITS}, k, 1)::INT) % 10 END FOR k IN range(1, len({_DIGITS}) + 1)]) % 10 = 0"
+BASE_SQL = (
+    "WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),\nm AS ("
+    + " UNION ALL ".join(
+        [
+            _spans_sql(1, r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "true"),
+            _spans_sql(2, r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+", "list_max([x::HUGEINT FOR x IN string_split(m[i], '.')]) <= 255"),
+            _spans_sql(3, r"[0-9](?:[\x20-]?[0-9])+", f"len({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}"),
+            _spans_sql(4, r"\+[0-9][\x20().0-9-]+[0-9]", f"len({_DIGITS}) BETWEEN 8 AND 15"),
+        ]
+    )
+    + f"""),
+t AS (SELECT doc_id, count(*) AS n, string_agg({list(KINDS)}[kind] || ':' || start::VARCHAR || ':' || (start + len(v))::VARCHAR, ',' ORDER BY kind, start) AS said FROM m GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_base, sha256(coalesce(said, '')) AS base_sha256 FROM d LEFT JOIN t USING (doc_id)"""
+)
