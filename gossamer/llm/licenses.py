@@ -62,6 +62,45 @@ STATEMENTS = {
 }
 FAMILIES = tuple(STATEMENTS)
 
+#: Sentences with the words of licences that grant none: the hard part of the unknown class. Written for this scan.
+NO_LICENCE = [
+    "He got his driving licence in 2019 and drove to the coast.",
+    "You need a licence to fish in this lake.",
+    "The waiter lost his liquor license last year.",
+    "A software licence costs more every year, says the report.",
+    "She was given permission to leave the room early.",
+    "Permission slips must be signed by a parent.",
+    "The right to speak is reserved for members.",
+    "All seats are reserved until eight.",
+    "Rights reserved for members are listed below.",
+    "We reserve the right to refuse service.",
+    "Reserved rights of way cross the farm.",
+    "The rights of the patient come first.",
+    "Copyright law differs from country to country.",
+    "The song's copyright was sold twice.",
+    "Free software is taught in the second term.",
+    "The public domain is a legal idea that few understand.",
+    "Apache helicopters flew over the valley.",
+    "The Apache people lived in the southwest.",
+    "Students at MIT built a small robot.",
+    "Mozilla released a new browser on Tuesday.",
+    "The gnu is a large animal of the plains.",
+    "The foundation gave money for a library of general interest.",
+    "No warranty was given with the used car.",
+    "The redistribution of land took ten years.",
+    "Sources say that the binary choice misled the public.",
+    "Version 2 of the plan is better than version 1.",
+    "Creative work needs common ground and a quiet room.",
+    "The attribution of the painting is in doubt.",
+    "Terms and conditions apply to the winter sale.",
+    "The international committee published its third report.",
+    "Confidential talks went on for weeks.",
+    "A proprietary recipe made the bakery famous.",
+    "The law in effect was published by the general assembly.",
+    "Under the terms of the truce both sides withdrew.",
+    "The file was copied without restriction of any kind by mistake.",
+]
+
 
 def _tokens(text: str) -> list[str]:
     return re.findall(r"[a-z0-9]+", text.lower())
@@ -95,36 +134,39 @@ class Model:
         return 1 / (1 + np.exp(-z))
 
 
-def fit(unknown: list[str], l1: float = 1e-3, rounds: int = 600, rate: float = 0.5, most: float = 0.005) -> Model:
+def fit(unknown: list[str], hard: list[str] = NO_LICENCE, l1: float = 1e-3, rounds: int = 600, rate: float = 0.5, most: float = 0.005) -> Model:
     """One sparse logistic regression a family: statements against all other families and `unknown` paragraphs.
 
     N-grams in over `most` of the unknown paragraphs tell nothing and are left out; weights shrink to zero by proximal
-    steps. The cut is calibrated on every third unknown paragraph, kept from the
-    fit: above all of their probabilities, within 0.5 and 0.95.
+    steps. `hard` are further unknown paragraphs that talk of licences, learned from at ten times the weight of others.
+    The cut is calibrated on every third unknown paragraph, kept from the fit, hard ones too: above all of their
+    probabilities, within 0.5 and 0.95.
     """
     fill = [{"n": n, "y": y, "who": who} for n, y, who in (("2.0", "2019", "The Authors"), ("3", "2021", "Example Inc"))]
     text = [(t.format(**v), k) for k, ts in enumerate(STATEMENTS.values()) for t in ts for v in fill]
     text += [(t.rstrip(".") + " " + u.split("\n")[0][:60], k) for (t, k), u in zip(text[:], unknown[1::3])]  # statements in company
     rest = [u for i, u in enumerate(unknown) if i % 3]
+    learned = [u for i, u in enumerate(hard) if i % 3]
     common = Counter(g for u in rest for g in grams_of(u))
     known = set().union(*(grams_of(t.format(**v)) for ts in STATEMENTS.values() for t in ts for v in fill))
     vocabulary = sorted(g for g in known if common[g] <= most * len(rest))
     place = {g: i for i, g in enumerate(vocabulary)}
-    rows = [t for t, _ in text] + rest
+    rows = [t for t, _ in text] + rest + learned
     x = np.zeros((len(rows), len(vocabulary)))
     for i, t in enumerate(rows):
         x[i, [place[g] for g in grams_of(t) if g in place]] = 1
     y = np.zeros((len(rows), len(FAMILIES)))
     y[range(len(text)), [k for _, k in text]] = 1
     w, b = np.zeros((len(vocabulary), len(FAMILIES))), np.full(len(FAMILIES), -2.0)
-    weight = np.where(y > 0, 1 / np.maximum(y.sum(0), 1), 1 / np.maximum((1 - y).sum(0), 1))
+    each = np.append(np.ones(len(rows) - len(learned)), np.full(len(learned), 10.0))[:, None]
+    weight = each * np.where(y > 0, 1 / np.maximum(y.sum(0), 1), 1 / np.maximum((each * (1 - y)).sum(0), 1))
     for _ in range(rounds):
         g = weight * (1 / (1 + np.exp(-(x @ w + b))) - y)
         w -= rate * (x.T @ g)
         w = np.sign(w) * np.maximum(np.abs(w) - rate * l1, 0)
         b -= rate * g.sum(0)
     model = Model({g: w[i].round(6).tolist() for g, i in place.items() if np.abs(w[i]).max() > 0}, b.round(6).tolist(), 0.5, dict(common))
-    model.cut = min(0.95, max([0.5, *(float(model.scores(u).max()) + 0.01 for u in unknown[::3])]))
+    model.cut = min(0.95, max([0.5, *(float(model.scores(u).max()) + 0.01 for u in [*unknown[::3], *hard[::3]])]))
     return model
 
 
@@ -167,12 +209,13 @@ def scan(docs: DataFrame, doc_id="doc_id", text="text", sample: int = 1500, conf
 
     A paragraph is a line that is not blank, or a run of lines between blank ones, white space in it being one blank: its
     number is that of its (first) line. A run has a row for each family that is named and confirmed in it and not
-    confirmed in one of its lines; lines of that family in it, themselves not confirmed, then have none. Its n-grams meet the weights in a join, and the sums of what met give each
+    explained by a line confirmed by itself, of that family or of one that shares as many n-grams; lines of that family in it, themselves not confirmed, then have none. Its n-grams meet the weights in a join, and the sums of what met give each
     family's probability. Below the calibrated cut it is of the unknown class and has no row. The prediction is
     confirmed if a statement of the family has at least `confirm` of its n-grams in the paragraph (`similarity`: the
     largest such share; `template`: that statement's number, the first of equals).
 
-    Lines without any word of a positive weight cannot reach the cut and are passed over before n-grams are made.
+    Lines without any word of a positive weight cannot reach the cut and are passed over before n-grams are made; a
+    text without one is passed over whole, so most texts are searched once and not split.
     Null and empty texts have no paragraphs. Repeated lines of a document have a row each, rows that repeat an id are
     told apart by a hash of their text (equal ones count as one). An empty table gives an empty table; extra columns
     are ignored.
@@ -184,10 +227,12 @@ def scan(docs: DataFrame, doc_id="doc_id", text="text", sample: int = 1500, conf
     all_ = sorted(set(model.weights).union(*(g for *_, g in plain)))  # templates also hold n-grams without a weight
     weights = _table(spark, [{"gram": g, "w": model.weights.get(g, [0.0] * len(FAMILIES))} for g in all_], "gram: string, w: array<double>")
     needed = sorted({t for g, w in model.weights.items() if max(w) > 0 for t in g.split(" ")} & _necessary(model))
-    body = paragraphs(docs, doc_id, text)
     # the key of a line: its document, place and a hash of the words, as ids may repeat
-    holds = F.lower("text").rlike("(?<![a-z0-9])(" + "|".join(needed) + ")(?![a-z0-9])") if needed else F.lit(False)
-    body = body.where(holds).withColumn("lines", F.lit(1)).unionByName(blocks(docs, holds, doc_id, text))
+    words_ = f"(?<![a-z0-9])(?=[{''.join(sorted({t[0] for t in needed}))}])(?:{'|'.join(needed)})(?![a-z0-9])"
+    holds = F.lower("text").rlike(words_) if needed else F.lit(False)
+    chosen = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).cast("string").alias("text")).where(holds)
+    chosen = Saved(chosen, "texts").df  # read twice: for lines and for runs of lines
+    body = paragraphs(chosen).where(holds).withColumn("lines", F.lit(1)).unionByName(blocks(chosen, holds))
     made = body.select("doc_id", "d", "paragraph", "lines", F.xxhash64("text").alias("h"), grams(words(F.col("text"))).alias("g"))
     key = ["doc_id", "d", "paragraph", "lines", "h"]
     met = made.select(*key, F.explode("g").alias("gram")).join(F.broadcast(weights), "gram")  # some hundred rows: the statements' n-grams
@@ -211,7 +256,11 @@ def scan(docs: DataFrame, doc_id="doc_id", text="text", sample: int = 1500, conf
     out = Saved(out, "named").df
     line, run = out.where("lines = 1").alias("l"), out.where("lines > 1 and confirmed").alias("r")
     inside = [F.expr(f"l.{c} <=> r.{c}") for c in ("doc_id", "d", "family")] + [F.expr("l.paragraph between r.paragraph and r.paragraph + r.lines - 1")]
-    runs = Saved(run.join(out.where("lines = 1 and confirmed").alias("l"), inside, "left_anti"), "runs").df
+    # a run's statement that a confirmed line of it explains, as its own or as a relative's that shares most n-grams
+    shared = lambda f, g: max(len(a & b) / len(a) for x, _, a in plain if x == f for y, _, b in plain if y == g)
+    covers = _table(spark, [{"family": f, "other": g, "cover": shared(f, g) + 1e-5} for f in FAMILIES for g in FAMILIES], "family: string, other: string, cover: double")
+    sure = out.where("lines = 1 and confirmed").withColumnRenamed("family", "other").join(F.broadcast(covers), "other").alias("l")
+    runs = Saved(run.join(sure, [*inside, F.expr("r.similarity <= l.cover")], "left_anti"), "runs").df
     lines = line.join(runs.alias("r"), [F.expr("not l.confirmed"), *inside], "left_anti")
     return lines.unionByName(runs).select("doc_id", "paragraph", "family", "score", "template", "similarity", "confirmed")
 
