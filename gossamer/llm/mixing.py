@@ -70,8 +70,8 @@ def cuts(sizes: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
 def times(h: Column) -> Column:
     """How often a document of hash `h` is taken, beside its source's row of `cuts`."""
     # without an edge the budget is the whole source (rounding only): all are taken
-    once_more = F.when(F.col("edge").isNull(), F.col("need") > 0).otherwise((h < F.col("edge")) | ((h == F.col("edge")) & F.col("on")))
-    return F.col("copies") + F.when(once_more, 1).otherwise(0)
+    below = F.when(F.col("edge").isNull(), True).otherwise((h < F.col("edge")) | ((h == F.col("edge")) & F.col("on")))
+    return F.col("copies") + F.when((F.col("need") > 0) & below, 1).otherwise(0)
 
 
 def sized(docs: DataFrame, doc_id: str, text: str, source: str) -> DataFrame:
@@ -98,7 +98,11 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Take each document as often as the mix does: rows repeat, or go. The columns stay; an empty text counts as any."""
+    """Take each document as often as the mix does, three times at most: rows repeat, or go. The columns stay.
+
+    Null and empty texts are taken by their hash as any. Rows that share an id are taken alike, each as often; a null
+    source is a source. An empty table gives an empty table; extra columns, whatever their names, are carried along.
+    """
     cut = cuts(Saved(sized(docs, "doc_id", "text", "source"), "sizes").df)
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # apart from the names of the cuts
     rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()))
