@@ -15,5 +15,16 @@ QUERIES = {
     "op8_bilstm_crf": pii.op8_bilstm_crf,
     "op9_best_two_fit": packing.op9_best_two_fit,
     "op10_mix": mixing.op10_mix,
+    # what of an operator SQL can say, where it cannot say all
+    "urls_by_rule": urls.urls_by_rule,
+    "base_personal_data": pii.base_personal_data,
+    "packed_sequences": packing.packed_sequences,
+}
+ORACLES = {
+    "op2_multi_index": vectors.OP2_SQL,
+    "op7_jaccard_join": jaccard.OP7_SQL,
+    "op10_mix": mixing.OP10_SQL,
+    "urls_by_rule": urls.URLS_BY_RULE_SQL,
+    "base_personal_data": pii.BASE_SQL,
+    "packed_sequences": packing.PACKED_SQL,
 }
-ORACLES = {"op10_mix": mixing.OP10_SQL}

@@ -180,8 +180,8 @@ def _matrix(col: pa.Array) -> np.ndarray:
 def classify(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label="quality", sample: int = 40_000, at: float = 0.7) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of `docs`.
 
-    The model is fitted on about `sample` labelled rows that are not held out, chosen by a hash of the id; only they
-    reach the driver. Null labels are left out; several labels of one id count by their mean (0.5 and more is 1).
+    The model is fitted on about `sample` labelled ids that are not held out, chosen by a hash of the id; only a row of
+    each reaches the driver (of unlike rows of one id, that of the least features). Null labels are left out; several labels of one id count by their mean (0.5 and more is 1).
     Null and empty texts are scored as what they are, texts without a byte. Without labels of both kinds the score is
     the smoothed share of label 1. Repeated rows and ids are each scored; an empty table gives an empty table.
     """
@@ -192,7 +192,9 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", l
     n = known.count()
     part = int(min(1.0, sample / max(1, n)) * 1_000_000)
     chosen = known.where(F.pmod(F.xxhash64("id", F.lit(5)), F.lit(1_000_000)) < part)
-    train = table.join(F.broadcast(chosen), table["doc_id"] == F.col("id")).orderBy("doc_id").select("f", "y").toArrow()
+    # one row an id, whatever rows repeat it
+    rows = table.join(F.broadcast(chosen), table["doc_id"] == F.col("id")).groupBy("id", "y").agg(F.min("f").alias("f"))
+    train = rows.orderBy("id").select("f", "y").toArrow()
     model = AdditiveModel().fit(_matrix(train.column("f").combine_chunks()) if len(train) else np.zeros((0, len(FEATURES))), np.asarray(train.column("y")))
 
     def judge(batches):
