@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,10 +14,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def tune(spark: SparkSession) -> None:
-    """Keep Arrow batches small enough for very long texts (rows and bytes a batch)."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1024:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    """Keep batches small enough for very long texts: rows of a scan, rows and bytes on the way to Python."""
+    for name, most in (("spark.sql.parquet.columnarReaderBatchSize", 512), ("spark.sql.execution.arrow.maxRecordsPerBatch", 1024)):
+        if int(spark.conf.get(name)) > most:
+            spark.conf.set(name, str(most))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -52,6 +54,18 @@ class Saved:
         where.getFileSystem(self._conf).delete(where, True)
 
 
+def kept(df: DataFrame, small: bool = False) -> DataFrame:
+    """A table that is read several times, on the executors' disks. Its lineage stays: what is lost with an executor is
+    worked out again. For what is cheap to repeat; what is not, or would lengthen the lineage, is `Saved`.
+
+    `small`: fill it now, so that its size is known where joins are planned.
+    """
+    out = df.persist(StorageLevel.DISK_ONLY)
+    if small:
+        out.count()
+    return out
+
+
 def held_out(doc_id="doc_id"):
     """True for rows that no model may learn labels from: crc32 of the id as text, mod 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -75,7 +89,7 @@ def within(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, comp): the smallest node that each node of `edges` (a, b: long) can reach.
 
-    Alternating large-star and small-star rounds; their number grows with the logarithm of the graph. Each round is
+    Alternating large-star and small-star rounds; their number grows with the logarithm of the graph. Each round ends in
     a shared table, so a lost executor repeats one round at most. Hot nodes only meet in partial sums and joins that
     adaptive execution can split. Nodes without edges to others have no row.
     """
@@ -84,13 +98,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     while True:
         both = now.df.union(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # the minima are tables of their own: a join to an aggregate could not be split where a node is hot
-        least = Saved(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
-        large = Saved(both.join(least.df, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = Saved(large.df.groupBy("u").agg(F.min("v").alias("m")), "low")
-        small = large.df.join(low.df, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = Saved(small.union(low.df).distinct(), "edges")
-        for old in (now, least, large, low):
-            old.drop()
+        least = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        large = kept(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        low = kept(large.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = Saved(small.union(low).distinct(), "edges")
+        for used in (least, large, low):
+            used.unpersist()
+        now.drop()
         now = new
         got = tuple(now.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if got == mark or not got[0]:

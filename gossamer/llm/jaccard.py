@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Saved, connected_components, tune, within
+from .common import Saved, connected_components, kept, tune, within
 
 U = np.uint64
 #: Dealings of shingles to classes that a set may need; nearly all need one.
@@ -281,13 +281,13 @@ def _large_regions(rows: DataFrame, members: DataFrame, rule: Rule, region_bytes
     at_home = members.select("hi", "lo", "comp", slot(F.col("blocks"), 3).alias("block"))
     placed = rows.join(at_home.unionByName(everywhere), ["hi", "lo", "comp"]).withColumn("label", F.col("lo"))
     one = Saved(placed.select("comp", "block", *_MEMBER, "label", "text").groupBy("comp", "block").applyInArrow(_linker(rule), out), "blocks").df
-    tree = Saved(connected_components(one.where("lo <> top").select(F.col("lo").alias("a"), F.col("top").alias("b"))), "tree").df
+    tree = kept(connected_components(one.where("lo <> top").select(F.col("lo").alias("a"), F.col("top").alias("b"))))
     labels = tree.withColumnsRenamed({"node": "lo", "comp": "label"})
-    state = Saved(members.join(labels, "lo", "left").withColumn("label", F.coalesce("label", "lo")), "state").df
+    state = kept(members.join(labels, "lo", "left").withColumn("label", F.coalesce("label", "lo")))
     main = state.groupBy("comp", "label").count().groupBy("comp").agg(F.max_by("label", F.struct("count", "label")).alias("main"))
     loose = state.join(main, "comp").where("label <> main").drop("main")
     weight = loose.groupBy("comp").agg((F.sum("n") * 8).alias("bytes"), F.count("*").alias("docs"))
-    weight = Saved(weight.select("comp", _blocks(region_bytes, region_docs).alias("parts")), "loose").df
+    weight = kept(weight.select("comp", _blocks(region_bytes, region_docs).alias("parts")))
     if not weight.count():
         return state.select(*_MEMBER, F.col("label").alias("top"))
     state = state.join(weight, "comp").withColumn("block", slot(F.col("blocks"), 3))
@@ -306,7 +306,7 @@ def _blocks(region_bytes: int, region_docs: int):
     return F.greatest(F.ceil(2 * F.col("bytes") / region_bytes), F.ceil(2 * F.col("docs") / region_docs)).cast("int")
 
 
-def joined(docs: DataFrame, rule: Rule, doc_id="doc_id", text="text", region_bytes: int = 24_000_000, region_docs: int = 512) -> tuple[DataFrame, DataFrame]:
+def joined(docs: DataFrame, rule: Rule, doc_id="doc_id", text="text", region_bytes: int = 24_000_000, region_docs: int = 4000) -> tuple[DataFrame, DataFrame]:
     """(rows, sets): rows has (doc_id, h, n, hi, lo) of each row of `docs`; sets has, for each set that is not empty,
     (hi, lo, first_id, first_h): the row of the smallest id (null last) in its component."""
     spark = docs.sparkSession
@@ -317,34 +317,35 @@ def joined(docs: DataFrame, rule: Rule, doc_id="doc_id", text="text", region_byt
     out = f"hi long, lo long, no_id boolean, rep {kind}, h long, top long"
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("rep"), "h")).alias("r")
     equal = table.where("n > 0").groupBy("hi", "lo").agg(first, F.max("n").alias("n")).select("hi", "lo", "r.*", "n")
-    regions = Saved(candidate_regions(table), "regions")
-    reps = Saved(equal.join(regions.df.withColumnRenamed("node", "lo"), "lo"), "reps")
+    reps = kept(equal.join(candidate_regions(table).withColumnRenamed("node", "lo"), "lo"))
     texts = _texts(docs, doc_id, text).withColumnRenamed("doc_id", "rep")
-    rows = within(texts, reps.df.drop("n"), ["rep", "h"])
+    rows = within(texts, reps.drop("n"), ["rep", "h"])
     if table.groupBy("doc_id", "h").count().where("count > 1").limit(1).count():  # rows that repeat id and text
         rows = rows.dropDuplicates(["hi", "lo"])
-    weight = reps.df.groupBy("comp").agg((F.sum("n") * 8).alias("bytes"), F.count("*").alias("docs"))
-    large = Saved(weight.where(((F.col("bytes") > region_bytes) & (F.col("docs") > 2)) | (F.col("docs") > region_docs)).select("comp", _blocks(region_bytes, region_docs).alias("blocks")), "large")
-    any_large = large.df.limit(1).count() > 0
-    whole = within(rows, large.df, ["comp"], "left_anti") if any_large else rows
+    weight = reps.groupBy("comp").agg((F.sum("n") * 8).alias("bytes"), F.count("*").alias("docs"))
+    large = kept(weight.where(((F.col("bytes") > region_bytes) & (F.col("docs") > 2)) | (F.col("docs") > region_docs)).select("comp", _blocks(region_bytes, region_docs).alias("blocks")))
+    any_large = large.limit(1).count() > 0
+    whole = within(rows, large, ["comp"], "left_anti") if any_large else rows
     found = whole.withColumn("label", F.col("lo")).select("comp", *_MEMBER, "label", "text").groupBy("comp").applyInArrow(_linker(rule), out)
     if any_large:
-        members = Saved(within(reps.df, large.df, ["comp"]), "members").df
-        parts = Saved(within(rows, large.df, ["comp"], "left_semi").select("comp", *_MEMBER, "text"), "texts").df
+        members = kept(within(reps, large, ["comp"]))
+        parts = Saved(within(rows, large, ["comp"], "left_semi").select("comp", *_MEMBER, "text"), "texts").df
         found = found.unionByName(_large_regions(parts, members, rule, region_bytes, region_docs, out))
     links = Saved(found, "links")
-    least = Saved(links.df.groupBy("top").agg(F.min(F.struct("no_id", "rep", "hi", "lo", "h")).alias("r")), "least").df
+    least = kept(links.df.groupBy("top").agg(F.min(F.struct("no_id", "rep", "hi", "lo", "h")).alias("r")))
     tops = links.df.select("hi", "lo", "top").join(least, "top").select("hi", "lo", F.col("r.rep").alias("via"), F.col("r.h").alias("via_h"))
     own = F.col("via_h").isNull()
     sets = equal.join(tops, ["hi", "lo"], "left").select("hi", "lo", F.when(own, F.col("rep")).otherwise(F.col("via")).alias("first_id"), F.when(own, F.col("h")).otherwise(F.col("via_h")).alias("first_h"))
     sets = Saved(sets, "sets").df
     narrow = Saved(table.select("doc_id", "h", "n", "hi", "lo"), "rows").df
-    for used in (sketches, regions, reps, large, links):
+    for used in (reps, large, least):
+        used.unpersist()
+    for used in (sketches, links):
         used.drop()
     return narrow, sets
 
 
-def components(docs: DataFrame, rule: Rule, doc_id="doc_id", text="text", region_bytes: int = 24_000_000, region_docs: int = 512) -> DataFrame:
+def components(docs: DataFrame, rule: Rule, doc_id="doc_id", text="text", region_bytes: int = 24_000_000, region_docs: int = 4000) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row: component_id is the smallest doc_id reachable by links.
 
     Equal sets are one (a 128-bit key); then candidate regions; then each region is joined exactly by its documents'
@@ -360,7 +361,7 @@ def components(docs: DataFrame, rule: Rule, doc_id="doc_id", text="text", region
     return rows.join(sets, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(rows["n"] > 0, F.col("first_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def drop_near_copies(docs: DataFrame, rule: Rule, doc_id="doc_id", text="text", region_docs: int = 512) -> DataFrame:
+def drop_near_copies(docs: DataFrame, rule: Rule, doc_id="doc_id", text="text", region_docs: int = 4000) -> DataFrame:
     """`docs` with one row of each group of linked texts left, that of the smallest doc_id (null last).
 
     What goes is told by id and hash of the text, not by id alone: rows of one id with unlike texts are judged each by
@@ -370,9 +371,9 @@ def drop_near_copies(docs: DataFrame, rule: Rule, doc_id="doc_id", text="text",
     rows, sets = joined(docs, rule, doc_id, text, region_docs=region_docs)
     rows = rows.where("n > 0")
     gone = rows.join(sets, ["hi", "lo"]).where(~(F.col("doc_id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h"))))
-    gone = Saved(gone.select(F.col("doc_id").alias(doc_id), F.col("h").alias("_h")).distinct(), "gone").df
+    gone = kept(gone.select(F.col("doc_id").alias(doc_id), F.col("h").alias("_h")).distinct())
     twice = within(rows.groupBy(F.col("doc_id").alias(doc_id), F.col("h").alias("_h")).count().where("count > 1").drop("count"), gone, [doc_id, "_h"], "left_anti")
-    twice = Saved(twice, "twice").df
+    twice = kept(twice)
     keyed = docs.withColumn("_h", F.xxhash64(F.col(text).cast("string")))
     if twice.limit(1).count():
         all_ = F.struct(*docs.columns)

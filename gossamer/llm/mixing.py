@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Saved
+from .common import WORD, kept, tune
 
 #: The hash has 60 bits; each refinement reads 12 of them.
 BITS, STEP = 60, 12
@@ -46,14 +46,14 @@ def cuts(sizes: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
     `copies` times every document is taken; once more those with a hash below `edge`, and at it if `on`.
     """
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = Saved(targets(sums, weights, most), "targets").df
+    plan = kept(targets(sums, weights, most), small=True)
     bound = plan.select("source", "need", F.lit(0).cast("long").alias("prefix"))
     rows = sizes.select("source", "size", "h")
     for shift in range(BITS - STEP, -1, -STEP):
         b = bound.select(F.col("source").alias("src"), "need", "prefix")
         inside = rows.join(b, rows["source"].eqNullSafe(b["src"]) & (F.shiftright("h", shift + STEP) == F.col("prefix")))
         if shift == BITS - 2 * STEP:  # from here on only the boundary buckets are read
-            rows = Saved(inside.select(rows.columns), "boundary").df
+            rows = kept(inside.select(rows.columns))
             inside = rows.join(b, rows["source"].eqNullSafe(b["src"]))
         sums = inside.groupBy("source", "need", F.shiftright("h", shift).alias("prefix")).agg(F.sum("size").alias("n"))
         upto = Window.partitionBy("source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
@@ -61,10 +61,10 @@ def cuts(sizes: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
         hit = run.where((F.col("before") <= F.col("need")) & (F.col("before") + F.col("n") > F.col("need")))
         bound = hit.select("source", (F.col("need") - F.col("before")).alias("need"), "prefix", "n")
         if shift:
-            bound = Saved(bound.drop("n"), "bounds").df
+            bound = kept(bound.drop("n"), small=True)
     edge = bound.select(F.col("source").alias("src"), F.col("prefix").alias("edge"), (F.col("n") - F.col("need") < F.col("need")).alias("on"))
     p = plan.select(F.col("source").alias("of"), "source_size", "target", "copies", "need")
-    return Saved(p.join(edge, p["of"].eqNullSafe(edge["src"]), "left").drop("src"), "cuts").df  # small: a row a source
+    return kept(p.join(edge, p["of"].eqNullSafe(edge["src"]), "left").drop("src"), small=True)  # a row a source
 
 
 def times(h: Column) -> Column:
@@ -91,7 +91,8 @@ def mix(docs: DataFrame, doc_id="doc_id", text="text", source="source", weights=
     Null text has size 0; rows of size 0 take 0. A null source is a source, the last. Rows that share a doc_id share
     a hash: they are taken together. An empty table gives an empty table. Extra columns are ignored.
     """
-    table = Saved(sized(docs, doc_id, text, source), "sizes").df
+    tune(docs.sparkSession)
+    table = kept(sized(docs, doc_id, text, source))
     cut = cuts(table, weights, most)
     out = table.join(cut, table["source"].eqNullSafe(cut["of"]))
     return out.select("doc_id", "source", "size", "source_size", "target", (F.col("size") * times(F.col("h"))).alias("taken"))
@@ -103,7 +104,8 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are taken by their hash as any. Rows that share an id are taken alike, each as often; a null
     source is a source. An empty table gives an empty table; extra columns, whatever their names, are carried along.
     """
-    cut = cuts(Saved(sized(docs, "doc_id", "text", "source"), "sizes").df)
+    tune(spark)
+    cut = cuts(kept(sized(docs, "doc_id", "text", "source")))
     names = {c: f"_c{i}" for i, c in enumerate(docs.columns)}  # apart from the names of the cuts
     rows = docs.select(*(F.col(c).alias(n) for c, n in names.items()))
     out = rows.join(cut, rows[names["source"]].eqNullSafe(cut["of"])).withColumn("_times", times(_hash(names["doc_id"])).cast("int"))
