@@ -50,10 +50,6 @@ def scope_tweak(key: bytes, scope: Column) -> Column:
     return F.substring(hmac_sha256(key, F.concat(scope.cast("binary"), _bytes(b"\0\0\0\0"))), 1, 14)
 
 
-def tweak_of(key: bytes, scope: str) -> bytes:
-    return hmac.new(key, scope.encode() + b"\0\0\0\0", hashlib.sha256).digest()[:7]
-
-
 _POW = [10**k for k in range(19)]
 
 
@@ -62,10 +58,23 @@ def _swap(hex_: Column) -> Column:
     return F.regexp_replace(F.reverse(hex_), "(.)(.)", "$2$1")
 
 
+#: FF3-1 needs a million values; two halves of 18 digits are what 64-bit numbers hold.
+LEAST_DIGITS, MOST_DIGITS = 6, 36
+
+
+def domain_guard(digits: int) -> None:
+    """Refuse numbers that FF3-1 cannot permute safely; `ff3` applies the same rule to each value."""
+    if digits < LEAST_DIGITS:
+        raise DomainTooSmallError(f"{digits} digits are too few")
+    if digits > MOST_DIGITS:
+        raise ValueError(f"{digits} digits are too many")
+
+
 def ff3(digits: Column, key: bytes, tweak: Column, decrypt: bool = False) -> Column:
-    """FF3 (tweak of 16 hex digits) or FF3-1 (14) on strings of 2 to 36 digits, in eight folded rounds.
+    """FF3 (tweak of 16 hex digits) or FF3-1 (14) on strings of 6 to 36 digits, in eight folded rounds.
 
-    The halves stay reversed, as numbers read them, so a round is one AES block and one addition.
+    The halves stay reversed, as numbers read them, so a round is one AES block and one addition. Null for anything but
+    digits; numbers that are too short or too long raise an error when the plan runs (see `domain_guard`).
     """
     check_key(key)
     cipher_key = bytes(reversed(key))
@@ -95,20 +104,14 @@ def ff3(digits: Column, key: bytes, tweak: Column, decrypt: bool = False) -> Col
         rounds = F.sequence(F.lit(7), F.lit(0), F.lit(-1)) if decrypt else F.sequence(F.lit(0), F.lit(7))
         return F.aggregate(rounds, start, round_, lambda acc: F.concat(F.reverse(acc["a"]), F.reverse(acc["b"])))
 
-    return F.when(digits.rlike("^[0-9]{2,36}$"), let(whole, rounds_of))
-
-
-def domain_guard(digits: int) -> None:
-    """FF3-1 needs a million values; more than 56 digits are no number of any type."""
-    if digits < 6:
-        raise DomainTooSmallError(f"{digits} digits are too few")
-    if digits > 56:
-        raise ValueError(f"{digits} digits are too many")
+    size = F.length(digits)
+    wrong = F.when(size < LEAST_DIGITS, F.raise_error(F.lit("too few digits for FF3-1"))).otherwise(F.raise_error(F.lit("too many digits for FF3-1")))
+    return F.when(digits.rlike("^[0-9]+$"), F.when(size.between(LEAST_DIGITS, MOST_DIGITS), let(whole, rounds_of)).otherwise(wrong.cast("string")))
 
 
-def keystream(key: bytes, scope: Column, kind: str, size: Column) -> Column:
-    """Hex of `size` bytes: HMACs of scope, kind and a 64-bit counter."""
-    block = lambda i: hmac_sha256(key, F.concat(joined(scope, kind, by=b"|"), _bytes(b"|"), F.unhex(F.lpad(F.hex(i.cast("long")), 16, "0"))))
+def keystream(key: bytes, scope: Column, kind: str, nonce: Column, size: Column) -> Column:
+    """Hex of `size` bytes: HMACs of scope, kind, nonce and a 64-bit counter. One nonce serves one value only."""
+    block = lambda i: hmac_sha256(key, F.concat(joined(scope, kind, nonce, by=b"|"), _bytes(b"|"), F.unhex(F.lpad(F.hex(i.cast("long")), 16, "0"))))
     return F.substr(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(size / 32).cast("int") - 1, F.lit(0))), block), ""), F.lit(1), size * 2)
 
 

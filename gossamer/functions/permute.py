@@ -6,7 +6,6 @@ import hashlib
 import hmac
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,7 +22,7 @@ class Feistel:
         self.key, self.head, self.size = key, f"{scope}|{kind}|".encode(), (self.half + 7) // 8
 
     def _mix(self, r: int, x: int) -> int:
-        said = self.head + r.to_bytes(4, "big") + b"|" + x.to_bytes(self.size, "big")
+        said = self.head + x.to_bytes(self.size, "little") + bytes([r])
         return int.from_bytes(hmac.digest(self.key, said, hashlib.sha256), "big") & ((1 << self.half) - 1)
 
     def _walk(self, x: int, back: bool) -> int:
@@ -46,6 +45,11 @@ class Feistel:
     def back(self, x: int) -> int:
         return self._walk(x, True)
 
+    def moved(self, x: int, back: bool = False) -> int:
+        """A permutation without fixed points (but for n = 1): the place of x in a keyed order, one step on, and back
+        again. Each value is found by itself, whatever n is."""
+        return self.back((self.forward(x) + (-1 if back else 1)) % self.n)
+
 
 def permutation_table(spark: SparkSession, key: bytes, scope: str, kind: str, n: int) -> DataFrame:
     """(idx, perm) for every idx below n, made where the rows are."""
@@ -56,15 +60,3 @@ def permutation_table(spark: SparkSession, key: bytes, scope: str, kind: str, n:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([f.forward(x) for x in b.column(0).to_pylist()], pa.int64())], names=["idx", "perm"])
 
     return spark.range(n).withColumnRenamed("id", "idx").mapInArrow(fill, "idx long, perm long")
-
-
-def derange(perm: np.ndarray) -> np.ndarray:
-    """The permutation without fixed points: two and more are rotated among themselves, a single one trades with its
-    neighbour. One value alone stays."""
-    out, at = perm.copy(), np.flatnonzero(perm == np.arange(len(perm)))
-    if len(at) > 1:
-        out[at] = perm[np.roll(at, -1)]
-    elif len(at) == 1 and len(perm) > 1:
-        i, j = int(at[0]), (int(at[0]) + 1) % len(perm)
-        out[i], out[j] = perm[j], perm[i]
-    return out

@@ -21,13 +21,14 @@ def projection(run: Column) -> Column:
 
 def offsets(run: Column) -> Column:
     """For each character of the projection its place in the run."""
-    kept = F.filter(F.sequence(F.lit(0), F.length(run) - 1), lambda i: F.substr(run, i + 1, F.lit(1)).rlike(r"[0-9A-Za-z+]"))
+    each = F.transform(F.split(run, ""), lambda c, i: F.struct(c.alias("c"), i.alias("i")))
+    kept = F.transform(F.filter(each, lambda x: x["c"].rlike(r"[0-9A-Za-z+]")), lambda x: x["i"])
     trunk = F.upper(F.regexp_replace(run, r"(?U)[\s.\-]", "")).rlike(r"^\+330[0-9]")
     return F.when(trunk, F.concat(F.slice(kept, F.lit(1), F.lit(3)), F.slice(kept, F.lit(5), F.size(kept)))).otherwise(kept)
 
 
-def digit_runs(text: Column) -> Column:
-    """array<struct<start, end, value, projection, offsets>> of the runs with two digits and more."""
+def digit_runs(text: Column, least: int = 2) -> Column:
+    """array<struct<start, end, value, projection, offsets>> of the runs with `least` digits and more."""
 
     def one(m: Column) -> Column:
         trimmed = F.regexp_replace(m["value"], r"[^0-9]+$", "")
@@ -36,7 +37,7 @@ def digit_runs(text: Column) -> Column:
     def full(r: Column) -> Column:
         return F.struct(r["start"], r["end"], r["value"], projection(r["value"]).alias("projection"), offsets(r["value"]).alias("offsets"))
 
-    runs = F.filter(F.transform(matches(text, RUN), one), lambda r: F.length(F.regexp_replace(r["value"], "[^0-9]", "")) >= 2)
+    runs = F.filter(F.transform(matches(text, RUN), one), lambda r: F.length(F.regexp_replace(r["value"], "[^0-9]", "")) >= least)
     return F.transform(runs, full)
 
 

@@ -72,3 +72,35 @@ def fold_key(name: Column) -> Column:
 def drop_inner_spaces(text: Column) -> Column:
     """A single blank between two digits goes."""
     return F.regexp_replace(text, r"(?<=[0-9]) (?=[0-9])", "")
+
+
+#: Between the cases of a written name and its gaps, and between the gaps.
+GAPS, GAP = "|", "\x1f"
+
+
+def one_case(text: Column) -> Column:
+    """`U`, `l` or `T` if all words are in that case; else null."""
+    cases = F.array_distinct(F.transform(F.split(text, " "), case_of))
+    return F.when(F.size(cases) == 1, F.get(cases, F.lit(0)))
+
+
+def in_case(text: Column, case: Column) -> Column:
+    """The text with all words in one case; as it is without one."""
+    return F.when(case == "U", F.upper(text)).when(case == "l", F.lower(text)).when(case == "T", F.array_join(F.transform(F.split(text, " "), title), " ")).otherwise(text)
+
+
+def written(value: Column, raw: Column, word: str) -> Column:
+    """The written form of a name of words joined by single blanks: its cases, and what stood between its words (the
+    matches of `word` in `raw`) where that is not always one blank. Null for a name in one case with single blanks."""
+    between = F.split(raw, word, -1)
+    gaps = F.slice(between, F.lit(2), F.greatest(F.size(between) - 2, F.lit(0)))
+    odd = F.exists(gaps, lambda g: g != " ")
+    return F.when(odd, F.concat(case_pattern(value), F.lit(GAPS), F.array_join(gaps, GAP))).when(one_case(value).isNull(), case_pattern(value))
+
+
+def rewritten(name: Column, form: Column) -> Column:
+    """The name in a written form (see `written`); gaps of another number of words are left out."""
+    cased = apply_case(name, F.split_part(form, F.lit(GAPS), F.lit(1)))
+    words, gaps = F.split(cased, " "), F.split(F.split_part(form, F.lit(GAPS), F.lit(2)), GAP)
+    spaced = F.array_join(F.zip_with(words, gaps, lambda w, g: F.concat(w, F.coalesce(g, F.lit("")))), "")
+    return F.when(F.contains(form, F.lit(GAPS)) & (F.size(words) == F.size(gaps) + 1), spaced).otherwise(cased)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from functools import cached_property, reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,16 +12,16 @@ from pyspark.sql import types as T
 from ..errors import UnresolvedSpanError
 from ..functions.crypto import check_key, hmac_sha256, joined
 from ..functions.runs import fill, template
-from ..functions.text import apply_case, case_pattern
+from ..functions.text import in_case, one_case, rewritten, written
 from ..schemas import LABELS, SCHEMA_VERSION
-from ..sources import gazetteers, registry
+from ..sources import gazetteers, paths, registry
 from .arbitrate import resolve, rewrite
 from .detect import NO_SPANS, references, dates, emails, plates, structured, text_dates
 from .match import HITS, believe, choose, find
-from .names import TRIGGERS, WINDOW, detect_names
-from .places import detect_places
+from .names import TRIGGERS, WINDOW, name_spans
+from .places import PLACE_TOKEN, leftmost_longest, place_candidates, with_postcodes
 from .postcodes import coherent
-from .surrogates import GAZETTEER_KIND, NUMBERS, canonical, clear_hmac, with_surrogates
+from .surrogates import GAZETTEER_KIND, NUMBERS, STREAM, apply_capitals, asked, built, canonical, clear_hmac, email_capitals, nonce, permuted_all, with_surrogates
 
 WEAK = 0.8
 
@@ -31,7 +31,11 @@ class Engine:
 
     `key`: 16, 24 or 32 bytes. `gazetteer`: a table as of `sources.gazetteers`, or None to leave names and places out.
     `coherent_postcodes` puts postcodes into the department of the surrogate of the commune beside them; they then depend
-    on the values of one call, as places are given out. `policy`: "permissive", or "strict" to refuse texts with resolved spans of a confidence below 0.8.
+    on the values of one call, as places are given out. `policy`: "permissive", or "strict" to refuse texts with resolved
+    spans of a confidence below 0.8.
+
+    Spans and values that are used several times are persisted; `close`, or leaving the engine's `with` block, frees
+    them. `calls` counts the calls of observe and mask.
     """
 
     def __init__(self, spark: SparkSession, key: bytes, gazetteer: DataFrame | None = None, reference_patterns: list[str] | None = None, policy: str = "permissive", triggers=TRIGGERS, window: int = WINDOW, priority: dict[str, int] | None = None, coherent_postcodes: bool = False):
@@ -42,24 +46,48 @@ class Engine:
         self.spark, self.key, self.gazetteer, self.patterns, self.policy = spark, check_key(key), gazetteer, reference_patterns or [], policy
         self.triggers, self.window, self.priority = triggers, window, priority
         self.coherent = coherent_postcodes and gazetteer is not None
-        self.version = gazetteers.version(gazetteer) if gazetteer is not None else None
+        self.calls, self._kept = 0, []
+
+    @cached_property
+    def version(self) -> str | None:
+        """The gazetteers' version, worked out when it is first asked for."""
+        return gazetteers.version(self.gazetteer) if self.gazetteer is not None else None
+
+    def _keep(self, df: DataFrame) -> DataFrame:
+        self._kept.append(df.persist())
+        return self._kept[-1]
+
+    def close(self) -> None:
+        """Free what was persisted; tables that were returned can still be read, and are worked out again then."""
+        while self._kept:
+            self._kept.pop().unpersist()
+
+    def __enter__(self) -> Engine:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def detect(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-        """`docs` with `spans`, resolved. Without a gazetteer all is done within the row."""
+        """`docs` with `spans`, resolved. Without a gazetteer all is done within the row; else spans of names and places
+        are gathered in one aggregation, and the texts are joined to them once."""
         t, none = F.col(text), F.array().cast(NO_SPANS)
+        docs_, names_ = _keyed(docs, doc_id, text), docs.columns
         inside = F.struct(structured(t).alias("numbers"), F.concat(dates(t), text_dates(t), emails(t), plates(t), references(t, self.patterns)).alias("rest"))
-        rows = docs.withColumn("_in", inside)
+        rows = docs_.withColumn("_in", inside)
         parts = [F.coalesce("_in.numbers", none)]
         if self.gazetteer is not None:
-            names = detect_names(docs, self.gazetteer, doc_id, text, self.triggers, self.window).select(F.col("doc_id").alias(doc_id), F.col("spans").alias("_names"))
-            places = detect_places(docs, self.gazetteer, doc_id, text, self.triggers, self.window).select(F.col("doc_id").alias(doc_id), F.col("spans").alias("_places"))
-            rows = rows.join(names, doc_id, "left").join(places, doc_id, "left")
-            parts += [F.coalesce("_names", none), F.coalesce("_places", none)]
+            names = name_spans(docs_, self.gazetteer, "_key", text, self.triggers, self.window)
+            places = place_candidates(docs_, self.gazetteer, "_key", text, self.triggers, self.window)
+            found = names.unionByName(places, allowMissingColumns=True).groupBy(F.col("doc_id").alias("_key")).agg(F.array_sort(F.collect_list("s")).alias("_names"), leftmost_longest(F.collect_list("cand")).alias("_places"))
+            rows = rows.join(found, "_key", "left")
+            parts += [F.coalesce("_names", none), with_postcodes(t, F.col("_places"))]
         parts.append(F.coalesce("_in.rest", none))
-        return rows.select(*docs.columns, resolve(reduce(F.concat, parts), self.priority).alias("spans"))
+        return rows.select(*names_, resolve(reduce(F.concat, parts), self.priority).alias("spans"))
 
     def observe(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
         """(doc_id, entities): what would be masked. Nothing is changed or issued."""
+        self.calls += 1
         return self.detect(docs, doc_id, text).select(doc_id, F.col("spans").alias("entities"))
 
     def check_policy(self, found: DataFrame) -> None:
@@ -74,64 +102,96 @@ class Engine:
         """(scope, entity_type, value, clear_hmac, format_pattern): distinct values of the spans, one row each."""
         s = F.col("z.spans")
         rows = found.select(F.col(scope).cast("string").alias("scope"), F.explode(F.arrays_zip("spans", "raws")).alias("z"))
-        pattern = F.when(s["type"].isin(*GAZETTEER_KIND), case_pattern(s["value"])).when(s["type"].isin(*NUMBERS), template(F.col("z.raws")))
+        raw = F.col("z.raws")
+        pattern = F.when(s["type"].isin(*GAZETTEER_KIND), written(s["value"], raw, PLACE_TOKEN)).when(s["type"].isin(*NUMBERS), template(raw)).when(s["type"] == "EMAIL", email_capitals(raw))
         rows = rows.select("scope", s["type"].alias("entity_type"), canonical(s["type"], s["value"]).alias("value"), pattern.alias("format_pattern"))
         rows = rows.groupBy("scope", "entity_type", "value").agg(F.min("format_pattern").alias("format_pattern"))
         return rows.withColumn("clear_hmac", clear_hmac(self.key, F.col("scope"), F.col("entity_type"), F.col("value")))
 
     def issue(self, values: DataFrame) -> DataFrame:
-        """Values with their surrogates: each distinct value is encrypted once. Fixed points are left to `report`."""
-        out = with_surrogates(values.withColumn("mode", F.lit(None).cast("string")), self.key, self.gazetteer)
-        return out.where("out is not null").withColumnRenamed("out", "surrogate")
+        """Values with their surrogates: each distinct value is encrypted once. See `residue` for those that have none."""
+        return with_surrogates(values, self.key, self.gazetteer).where("out is not null").withColumnRenamed("out", "surrogate")
+
+    def residue(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: str = "scope") -> DataFrame:
+        """(entity_type, values, in_clear, fixed_points): distinct values that `mask` leaves in clear as they have no
+        surrogate, and those whose surrogate equals them. Counts only; permutations have no fixed point, FF3-1 may."""
+        out = with_surrogates(self.values(self._spans(docs, doc_id, text, scope), scope), self.key, self.gazetteer)
+        same = F.when(F.col("entity_type").isin(*GAZETTEER_KIND), canonical(F.col("entity_type"), F.col("out"))).otherwise(F.col("out")) == F.col("value")
+        return out.groupBy("entity_type").agg(F.count("*").alias("values"), F.count_if(F.col("out").isNull()).alias("in_clear"), F.count_if(F.coalesce(same, F.lit(False))).alias("fixed_points"))
+
+    def _spans(self, docs: DataFrame, doc_id: str, text: str, scope: str) -> DataFrame:
+        """(_key, doc_id, scope, spans, raws): the spans and what is written there."""
+        raws = F.transform("spans", lambda s: F.substr(F.col(text), s["start"] + 1, s["end"] - s["start"]))
+        return _keyed(self.detect(docs, doc_id, text), doc_id, text, scope).select("_key", doc_id, scope, "spans", raws.alias("raws"))
 
     def mask(self, docs: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: str = "scope") -> tuple[DataFrame, DataFrame]:
         """(`docs` with masked text and `entities`, registry rows of all issued surrogates).
 
-        Offsets of entities are those of the masked text. `doc_id` must tell rows apart. Spans and issued values are
-        used several times, so both are persisted (without the texts); `spark.catalog.clearCache()` frees them.
+        Offsets of entities are those of the masked text. A name all in capitals, small letters or title case lends its
+        surrogate that case, so that each writing comes back as it was. Rows are told apart by id, scope and a hash of the text: ids may repeat
+        or be null. Spans and issued values are persisted, without the texts (see `close`).
         """
-        raws = F.transform("spans", lambda s: F.substr(F.col(text), s["start"] + 1, s["end"] - s["start"]))
-        found = self.detect(docs, doc_id, text).select(doc_id, scope, "spans", raws.alias("raws")).persist()
+        self.calls += 1
+        found = self._keep(self._spans(docs, doc_id, text, scope))
         self.check_policy(found)
-        issued = self.issue(self.values(found, scope)).persist()
+        issued = self._keep(self.issue(self.values(found, scope)))
         if self.coherent:
-            issued = coherent(found, issued, self.gazetteer, self.key, scope).persist()
+            issued = self._keep(coherent(found, issued, self.gazetteer, self.key, scope))
         s = F.col("s")
-        spans = found.select(doc_id, F.col(scope).cast("string").alias("scope"), F.posexplode("spans").alias("i", "s")).withColumns({"entity_type": s["type"], "value": canonical(s["type"], s["value"])})
+        spans = found.select("_key", F.col(scope).cast("string").alias("scope"), F.explode("spans").alias("s")).withColumns({"entity_type": s["type"], "value": canonical(s["type"], s["value"])})
         joined_ = spans.join(issued.select("scope", "entity_type", "value", "surrogate"), ["scope", "entity_type", "value"], "left")
-        put = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), F.col("surrogate"))
-        by_doc = joined_.groupBy(doc_id).agg(F.array_sort(F.collect_list(put)).alias("_put"))
-        rows = docs.join(by_doc, doc_id, "left").withColumn("_r", rewrite(F.col(text), F.col("_put")))
+        shown = F.when(F.col("entity_type").isin(*GAZETTEER_KIND), in_case(F.col("surrogate"), one_case(s["value"]))).otherwise(F.col("surrogate"))
+        put = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), shown.alias("surrogate"))
+        by_doc = joined_.groupBy("_key").agg(F.array_sort(F.collect_set(put)).alias("_put"))
+        rows = _keyed(docs, doc_id, text, scope).join(by_doc, "_key", "left").withColumn("_r", rewrite(F.col(text), F.col("_put")))
         masked = rows.select(*(F.col("_r.text").alias(text) if c == text else F.col(c) for c in docs.columns), F.col("_r.entities").alias("entities"))
-        rows_ = issued.select("scope", "entity_type", "clear_hmac", "surrogate", "format_pattern", "mode", F.lit(self.version).alias("gazetteer_version"), F.lit(SCHEMA_VERSION).alias("schema_version"))
+        rows_ = issued.select("scope", "entity_type", "clear_hmac", "surrogate", "format_pattern", "mode", F.lit(self.version).cast("string").alias("gazetteer_version"), F.lit(SCHEMA_VERSION).alias("schema_version"))
         return masked, rows_
 
     def restore(self, issued: DataFrame) -> DataFrame:
-        """(scope, surrogate, clear) of registry rows, in the written form of the clear value."""
+        """(scope, surrogate, clear, name, odd) of registry rows: the clear value in its written form; the bare name that
+        takes the case of a hit, null for other types; whether some writing of the name was not in one case."""
         # a coherent postcode is restored by the index in `mode`
         coded = (F.col("entity_type") == "CODE_POSTAL") & F.col("mode").isNotNull()
         rows = issued.select("scope", "entity_type", F.when(coded, F.col("mode")).otherwise(F.col("surrogate")).alias("value"), "mode", "format_pattern", F.col("surrogate").alias("shown"))
         back = with_surrogates(rows, self.key, self.gazetteer, back=True).where("out is not null")
-        kind = F.col("entity_type")
-        clear = F.when(kind.isin(*GAZETTEER_KIND) & F.col("format_pattern").isNotNull(), apply_case(F.col("out"), F.col("format_pattern"))).when(kind.isin(*NUMBERS), fill(F.col("format_pattern"), F.col("out"))).otherwise(F.col("out"))
-        return back.select("scope", F.col("shown").alias("surrogate"), clear.alias("clear"))
+        kind, form, out = F.col("entity_type"), F.col("format_pattern"), F.col("out")
+        name = kind.isin(*GAZETTEER_KIND)
+        clear = F.when(name & form.isNotNull(), rewritten(out, form)).when(kind.isin(*NUMBERS), fill(form, out)).when(kind == "EMAIL", apply_capitals(out, form)).otherwise(out)
+        return back.select("scope", F.col("shown").alias("surrogate"), clear.alias("clear"), F.when(name, out).alias("name"), (name & form.isNotNull()).alias("odd"))
+
+    def located(self, docs: DataFrame, clear: DataFrame, doc_id: str, text: str, scope: str) -> DataFrame:
+        """(doc_id, scope, h, said): the hits of `clear` (scope, surrogate) in each text that are believed, and what is
+        written there."""
+        hits = find(docs, clear.select("scope", "surrogate"), doc_id, text, scope)
+        full = docs.select(F.col(doc_id).alias("doc_id"), F.col(scope).cast("string").alias("scope"), F.col(text).alias("_t")).join(hits, ["doc_id", "scope"])
+        kept = full.select("doc_id", "scope", "_t", F.explode(choose(believe(F.col("_t"), F.col("hits").cast(HITS)))).alias("h"))
+        return kept.select("doc_id", "scope", "h", F.substr("_t", F.col("h.start") + 1, F.col("h.end") - F.col("h.start")).alias("said"))
 
     def unmask(self, docs: DataFrame, issued: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: str = "scope") -> DataFrame:
         """`docs` with every issued surrogate of its scope, in any of its writings, replaced by the clear value.
 
-        Only surrogates in the registry are restored. Each is decrypted once, not once a hit.
+        Only surrogates in the registry are restored. Each is decrypted once, not once a hit. A name takes the case in
+        which its surrogate is written; one that was not in one case, or not with single blanks, comes back for the
+        surrogate as it was issued, in the first of such forms.
         """
-        clear = self.restore(issued).groupBy("scope", "surrogate").agg(F.min("clear").alias("clear"))
-        hits = find(docs, clear.select("scope", "surrogate"), doc_id, text, scope)
-        full = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("_t")).join(hits, "doc_id")
-        kept = full.select("doc_id", "scope", F.explode(choose(believe(F.col("_t"), F.col("hits").cast(HITS)))).alias("h"))
-        put = kept.withColumn("surrogate", F.col("h.surrogate")).join(clear, ["scope", "surrogate"])
-        span = F.struct(F.col("h.start").alias("start"), F.col("h.end").alias("end"), F.lit("CLEAR").alias("type"), F.col("clear").alias("surrogate"))
-        by_doc = put.groupBy(F.col("doc_id").alias(doc_id)).agg(F.array_sort(F.collect_list(span)).alias("_put"))
-        rows = docs.join(by_doc, doc_id, "left").withColumn("_r", rewrite(F.col(text), F.col("_put")))
+        clear = self._keep(self.restore(issued).groupBy("scope", "surrogate").agg(F.min(F.struct("clear", "name", "odd")).alias("c")).select("scope", "surrogate", "c.*"))
+        docs_ = _keyed(docs, doc_id, text, scope)
+        put = self.located(docs_, clear, "_key", text, scope).withColumn("surrogate", F.col("h.surrogate")).join(clear, ["scope", "surrogate"])
+        as_said = F.col("name").isNotNull() & (F.lower("said") == F.lower("surrogate")) & ~(F.col("odd") & (F.col("said") == F.col("surrogate"))) & one_case(F.col("said")).isNotNull()
+        back = F.when(F.coalesce(as_said, F.lit(False)), in_case(F.col("name"), one_case(F.col("said")))).otherwise(F.col("clear"))
+        span = F.struct(F.col("h.start").alias("start"), F.col("h.end").alias("end"), F.lit("CLEAR").alias("type"), back.alias("surrogate"))
+        by_doc = put.groupBy(F.col("doc_id").alias("_key")).agg(F.array_sort(F.collect_set(span)).alias("_put"))
+        rows = docs_.join(by_doc, "_key", "left").withColumn("_r", rewrite(F.col(text), F.col("_put")))
         return rows.select(*(F.col("_r.text").alias(text) if c == text else F.col(c) for c in docs.columns))
 
 
+def _keyed(docs: DataFrame, doc_id: str, text: str, scope: str | None = None) -> DataFrame:
+    """`docs` with `_key`, which tells rows apart as far as their answers may differ: id, scope and a hash of the text."""
+    more = [] if scope is None else [F.col(scope).cast("string").alias("scope")]
+    return docs.withColumn("_key", F.struct(F.col(doc_id).alias("id"), *more, F.xxhash64(text).alias("h")))
+
+
 def audit(found: DataFrame, key: bytes, text: str, scope: str, at: Column | None = None, spans: str = "spans") -> DataFrame:
     """One line a document: timestamp, scope, digest, span_count_by_type, rule_ids, weak_spans. No value is in it."""
     s = F.col(spans)
@@ -159,46 +219,64 @@ def report(found: DataFrame, version: str | None = None, spans: str = "spans") -
 # --- trees ----------------------------------------------------------------------------------------------------------------
 
 
-def _exempt(path: str, patterns: list[str]) -> bool:
-    simple = lambda p: re.sub(r"\[[^\]]*\]", "[*]", p.removeprefix("$").lstrip("."))
-    for p in patterns:
-        if ".." in p or "?" in p or re.search(r"\[[^\]*0-9]*:", p):
-            raise ValueError(f"exempt paths are plain: {p}")
-    return simple(path) in {simple(p) for p in patterns}
-
-
-def leaves(schema: T.DataType, path: str = "", exempt: list[str] | None = None) -> list[str]:
-    """Paths of the string leaves of a type that are not exempt: `a.b`, `a[*].b`."""
-    exempt = exempt or []
+def leaves(schema: T.DataType, path: str = "", exempt: list[str] | None = None, live: list | None = None) -> list[str]:
+    """Paths of the string leaves of a type that are not exempt (see `sources.paths`): `a.b`, `a[*].b`."""
+    live = paths.parse(exempt) if live is None else live
     if isinstance(schema, T.StringType):
-        return [] if _exempt(path, exempt) else [path]
+        return [] if paths.ends(live) else [path]
     if isinstance(schema, T.StructType):
-        return [x for f in schema.fields for x in leaves(f.dataType, f"{path}.{f.name}".lstrip("."), exempt)]
+        return [x for f in schema.fields for x in leaves(f.dataType, f"{path}.{f.name}".lstrip("."), None, paths.step(live, f.name))]
     if isinstance(schema, T.ArrayType):
-        return leaves(schema.elementType, f"{path}[*]", exempt)
+        return leaves(schema.elementType, f"{path}[*]", None, paths.step(live, paths.ANY))
     if isinstance(schema, T.MapType):
-        return leaves(schema.valueType, f"{path}[*]", exempt)
+        return leaves(schema.valueType, f"{path}[*]", None, paths.step(live, paths.ANY))
     return []
 
 
-def map_leaves(column: Column, schema: T.DataType, fn, path: str = "", exempt: list[str] | None = None) -> Column:
+def map_leaves(column: Column, schema: T.DataType, fn, exempt: list[str] | None = None, live: list | None = None) -> Column:
     """The same tree with `fn` on each string leaf that is not exempt. Keys and other values stay."""
-    exempt = exempt or []
+    live = paths.parse(exempt) if live is None else live
     if isinstance(schema, T.StringType):
-        return column if _exempt(path, exempt) else fn(column)
+        return column if paths.ends(live) else fn(column)
     if isinstance(schema, T.StructType):
-        return F.when(column.isNotNull(), F.struct(*(map_leaves(column[f.name], f.dataType, fn, f"{path}.{f.name}".lstrip("."), exempt).alias(f.name) for f in schema.fields)))
-    if isinstance(schema, T.ArrayType):
-        return F.transform(column, lambda x: map_leaves(x, schema.elementType, fn, f"{path}[*]", exempt))
-    if isinstance(schema, T.MapType):
-        return F.transform_values(column, lambda _, x: map_leaves(x, schema.valueType, fn, f"{path}[*]", exempt))
+        return F.when(column.isNotNull(), F.struct(*(map_leaves(column[f.name], f.dataType, fn, None, paths.step(live, f.name)).alias(f.name) for f in schema.fields)))
+    if isinstance(schema, (T.ArrayType, T.MapType)):
+        inner = schema.elementType if isinstance(schema, T.ArrayType) else schema.valueType
+
+        def each(at: Column, x: Column) -> Column:
+            out = map_leaves(x, inner, fn, None, paths.step(live, paths.ANY))
+            for k in paths.named(live, int if isinstance(schema, T.ArrayType) else str):
+                out = F.when(at == k, map_leaves(x, inner, fn, None, paths.step(live, k))).otherwise(out)
+            return out
+
+        return F.transform(column, lambda x, i: each(i, x)) if isinstance(schema, T.ArrayType) else F.transform_values(column, each)
     return column
 
 
 def mask_numbers(text: Column, scope: Column, key: bytes) -> Column:
-    """Numbers and phones of a text masked within the row: pure expressions, for trees and for streams."""
+    """Numbers and phones of a text masked within the row: pure expressions, for trees."""
     from ..functions.crypto import scope_tweak
     from .surrogates import number_surrogate
 
     put = F.transform(resolve(structured(text)), lambda s: F.struct(s["start"], s["end"], s["type"], number_surrogate(s["type"], s["value"], key, scope_tweak(key, scope)).alias("surrogate")))
     return rewrite(text, put)["text"]
+
+
+def mask_rows(texts: DataFrame, key: bytes, text: str = "text", scope: str = "scope", reference_patterns: list[str] | None = None) -> DataFrame:
+    """`texts` with every type masked that needs no gazetteer, each row by itself: numbers, dates, e-mails, plates and
+    references. No shuffle and no state, so it serves streams; the surrogates are those of `Engine.mask`."""
+    from ..functions.crypto import scope_tweak
+    from .detect import formats
+
+    of, none = F.col(scope).cast("string"), F.lit(None)
+    rows = texts.withColumns({"_s": resolve(formats(F.col(text), reference_patterns)), "_tweak": scope_tweak(key, of)})
+    ask = F.transform("_s", lambda s: asked(s["type"], canonical(s["type"], s["value"]), none.cast("string"), none.cast("long"), none.cast("long"), none.cast("string")))
+    rows = rows.withColumn("_p", permuted_all(key)(of, ask))
+
+    def put(s: Column, p: Column) -> Column:
+        v = canonical(s["type"], s["value"])
+        stream = F.concat(F.lit(STREAM), nonce(key, of, s["type"], v))
+        return F.struct(s["start"], s["end"], s["type"], built(s["type"], v, p, stream, key, of, F.col("_tweak")).alias("surrogate"))
+
+    masked = rewrite(F.col(text), F.zip_with("_s", "_p", put))["text"]
+    return rows.select(*(masked.alias(c) if c == text else F.col(c) for c in texts.columns))

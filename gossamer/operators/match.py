@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import let, matches, overlaps
+from ..functions.text import drop_inner_spaces, let, matches, overlaps, title
 
 HITS = "array<struct<start: int, end: int, surrogate: string, exact: boolean>>"
 
 
 def variants(surrogate: Column) -> Column:
-    """The ways a surrogate may be written: itself, lower, upper, digits by three, initials, blanks closed up."""
+    """The ways a surrogate may be written: itself, lower, upper, capitals, digits by three, initials, blanks closed up."""
     words = F.split(F.trim(surrogate), r"\s+")
     last = F.get(words, F.size(words) - 1)
     digits = F.regexp_replace(surrogate, "[^0-9]", "")
@@ -19,7 +19,7 @@ def variants(surrogate: Column) -> Column:
     fore = F.when((F.length(digits) >= 3) & (digits == surrogate), F.trim(F.regexp_replace(digits, "([0-9]{3})(?=[0-9])", "$1 ")))
     several = (F.size(words) >= 2) & ~surrogate.rlike("[0-9]")
     out = F.array(
-        surrogate, F.lower(surrogate), F.upper(surrogate), fore, grouped,
+        surrogate, F.lower(surrogate), F.upper(surrogate), F.when(~surrogate.rlike("[0-9@]"), F.array_join(F.transform(words, title), " ")), fore, grouped,
         F.when(several, F.concat(F.lit("M. "), last)), F.when(several, F.concat(F.lit("M "), last)), F.when(several, F.concat(F.lit("M."), last)),
         F.when(several, F.array_join(words, " ")), F.when(several, F.array_join(words, "")),
     )
@@ -80,21 +80,20 @@ def find(texts: DataFrame, surrogates: DataFrame, doc_id: str, text: str, scope:
     before the search. Single blanks between digits count for nothing, in texts and in variants; hits have their
     offsets in the text as written.
     """
-    closed = lambda c: F.regexp_replace(c, r"(?<=[0-9]) (?=[0-9])", "")
     word = F.lit(r"\p{L}+|[0-9]+")
     v = surrogates.select(F.col("scope").alias("v_scope"), "surrogate", F.explode(variants(F.col("surrogate"))).alias("variant"))
     # digits are one word whether apart or not, so grouped forms need no anchor of their own
-    v = v.select("v_scope", "surrogate", "variant", closed(F.col("variant")).alias("plain"))
+    v = v.select("v_scope", "surrogate", "variant", drop_inner_spaces(F.col("variant")).alias("plain"))
     held = v.select("v_scope", "plain", F.explode(F.array_distinct(F.regexp_extract_all("plain", word, F.lit(0)))).alias("w")).distinct()
     often = held.groupBy("v_scope", "w").agg(F.count("*").alias("n"))
     rare = held.join(often, ["v_scope", "w"]).groupBy("v_scope", "plain").agg(F.min_by("w", F.struct("n", -F.length("w"), "w")).alias("anchor"))
     v = v.join(rare, ["v_scope", "plain"])
-    rows = texts.select(F.col(doc_id).alias("doc_id"), F.col(scope).alias("t_scope"), F.col(text).alias("text")).where("text is not null")
-    there = F.array_union(F.regexp_extract_all("text", word, F.lit(0)), F.regexp_extract_all(closed(F.col("text")), F.lit("[0-9]+"), F.lit(0)))
+    rows = texts.select(F.col(doc_id).alias("doc_id"), F.col(scope).cast("string").alias("t_scope"), F.col(text).alias("text")).where("text is not null")
+    there = F.array_union(F.regexp_extract_all("text", word, F.lit(0)), F.regexp_extract_all(drop_inner_spaces(F.col("text")), F.lit("[0-9]+"), F.lit(0)))
     near = rows.select("doc_id", "t_scope", F.explode(F.array_distinct(there)).alias("anchor"))
     pairs = near.join(v, (near["t_scope"] == v["v_scope"]) & (near["anchor"] == v["anchor"])).groupBy("doc_id", "t_scope").agg(F.collect_set(F.struct("surrogate", "variant", "plain")).alias("all"))
     found = rows.join(pairs, ["doc_id", "t_scope"])
-    wanted = let(F.struct(closed(F.col("text")).alias("c"), F.col("all").alias("a")), lambda t: F.filter(t["a"], lambda x: F.contains(t["c"], x["plain"])))
+    wanted = let(F.struct(drop_inner_spaces(F.col("text")).alias("c"), F.col("all").alias("a")), lambda t: F.filter(t["a"], lambda x: F.contains(t["c"], x["plain"])))
     found = found.withColumn("wanted", wanted).where(F.size("wanted") > 0)
     # digits of a variant may stand apart by single blanks in the text
     spaced = lambda x: F.regexp_replace(quote(x["variant"]), r"(?<=[0-9])(?=[0-9])", r"\\E ?\\Q")

@@ -39,8 +39,8 @@ def name_tokens(text: Column, words=TRIGGERS, window: int = WINDOW) -> Column:
     return bound
 
 
-def detect_names(docs: DataFrame, gazetteer: DataFrame, doc_id: str, text: str, words=TRIGGERS, window: int = WINDOW) -> DataFrame:
-    """(doc_id, spans): first names and surnames of the gazetteer, and unknown tokens near a trigger.
+def name_spans(docs: DataFrame, gazetteer: DataFrame, doc_id: str, text: str, words=TRIGGERS, window: int = WINDOW) -> DataFrame:
+    """(doc_id, s), a row a span: first names and surnames of the gazetteer, and unknown tokens near a trigger.
 
     Tokens are joined to one row a key that says in which lists it is; Spark broadcasts it while it is small.
     """
@@ -54,5 +54,9 @@ def detect_names(docs: DataFrame, gazetteer: DataFrame, doc_id: str, text: str,
         F.when(F.col("last"), F.array(one("PATRONYME", "gazetteer-nom", sure))).otherwise(none),
         F.when(F.col("first").isNull() & F.col("t.near"), F.array(one("PATRONYME", "context-capture", F.lit(CAPTURED)))).otherwise(none),
     )
-    rows = tokens.join(known, "key", "left").select("doc_id", F.explode(made).alias("s"))
-    return rows.groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("spans"))
+    return tokens.join(known, "key", "left").select("doc_id", F.explode(made).alias("s"))
+
+
+def detect_names(docs: DataFrame, gazetteer: DataFrame, doc_id: str, text: str, words=TRIGGERS, window: int = WINDOW) -> DataFrame:
+    """(doc_id, spans) of `name_spans`."""
+    return name_spans(docs, gazetteer, doc_id, text, words, window).groupBy("doc_id").agg(F.array_sort(F.collect_list("s")).alias("spans"))

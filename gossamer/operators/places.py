@@ -40,43 +40,60 @@ def coupled_postcodes(text: Column, communes: Column, window: int = COMMUNE_WIND
     return F.filter(F.transform(matches(text, POSTCODE), emit), lambda s: s["rule_id"].isNotNull())
 
 
-def place_phrases(docs: DataFrame, gazetteer: DataFrame, doc_id: str, text: str, words=TRIGGERS, window: int = WINDOW) -> DataFrame:
-    """(doc_id, spans) of communes and streets.
+def tokens(text: Column) -> Column:
+    """array<struct<start, end, value, glued>> of place tokens; glued: only white space stands before it."""
+    between = F.split(text, PLACE_TOKEN, -1)
+    return F.zip_with(matches(text, PLACE_TOKEN), F.slice(between, F.lit(1), F.size(between) - 1), lambda t, gap: F.struct(t["start"], t["end"], t["value"], F.coalesce(gap.rlike(r"(?U)^\s+$"), F.lit(False)).alias("glued")))
 
-    Only tokens that begin some entry are extended (a semi-join on the first word); their phrases of up to eight tokens
-    meet the gazetteer in one join. A fold over a document's candidates takes the longest at each token, streets before
-    communes of equal length, and goes on behind it. Between tokens of a phrase only blanks, hyphens or apostrophes may
-    stand.
+
+def place_candidates(docs: DataFrame, gazetteer: DataFrame, doc_id: str, text: str, words=TRIGGERS, window: int = WINDOW) -> DataFrame:
+    """(doc_id, cand): every phrase of a gazetteer at every token, for `leftmost_longest`.
+
+    A token's row carries the next tokens only, as many as a phrase may have, and the triggers near them. Tokens that
+    begin no entry go in a semi-join on the first word; the phrases of the others meet the gazetteer in one join.
+    Between tokens of a phrase only white space may stand, besides the hyphens and apostrophes that tokens hold.
     """
     entries = gazetteer.where(F.col("kind").isin("commune", "voie")).select("key", F.col("kind").alias("of")).distinct()
     starts = entries.select(F.substring_index("key", " ", 1).alias("head")).distinct()
-    tokens = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), matches(F.col(text), PLACE_TOKEN).alias("toks"), triggers(F.col(text), words).alias("trig"))
-    at = tokens.select("doc_id", F.posexplode("toks").alias("i", "t"), "toks", "trig").withColumn("head", fold_key(F.col("t.value")))
-    at = at.join(starts, "head", "left_semi")
-    size = F.least(F.lit(MAX_WORDS), F.size("toks") - F.col("i"))
-    grown = at.select("doc_id", "i", "trig", F.explode(F.transform(F.sequence(F.lit(1), size), lambda n: F.struct(n.alias("n"), F.slice(F.col("toks"), F.col("i") + 1, n).alias("w")))).alias("p"))
-    w = F.col("p.w")
-    tight = F.forall(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w)), lambda a, b: b["start"] - a["end"]), lambda g: g.isNull() | (g == 1))
-    phrase = F.array_join(F.transform(w, lambda x: x["value"]), " ")
-    grown = grown.where(tight).select("doc_id", "i", F.col("p.n").alias("n"), fold_key(phrase).alias("key"), phrase.alias("value"), F.get(w, F.lit(0))["start"].alias("start"), F.get(w, F.size(w) - 1)["end"].alias("end"), "trig")
+    rows = docs.select(F.col(doc_id).alias("doc_id"), tokens(F.col(text)).alias("toks"), triggers(F.col(text), words).alias("trig"))
+
+    def ahead(t: Column, i: Column) -> Column:
+        next_ = F.slice(F.col("toks"), i + 1, F.lit(MAX_WORDS))
+        last = F.element_at(next_, -1)["end"]
+        return F.struct(i.alias("i"), next_.alias("w"), F.filter("trig", lambda g: (g["end"] > t["start"] - window) & (g["start"] <= last + window)).alias("trig"))
+
+    at = rows.select("doc_id", F.explode(F.transform("toks", ahead)).alias("a")).withColumn("head", fold_key(F.col("a.w")[0]["value"])).join(starts, "head", "left_semi")
+    grow = F.transform(F.sequence(F.lit(1), F.size("a.w")), lambda n: F.slice(F.col("a.w"), F.lit(1), n))
+    tight = F.filter(grow, lambda w: F.forall(F.slice(w, F.lit(2), F.greatest(F.size(w) - 1, F.lit(0))), lambda t: t["glued"]))
+    grown = at.select("doc_id", F.col("a.i").alias("i"), F.col("a.trig").alias("trig"), F.explode(tight).alias("w"))
+    phrase = F.array_join(F.transform("w", lambda t: t["value"]), " ")
+    grown = grown.select("doc_id", "i", F.size("w").alias("n"), fold_key(phrase).alias("key"), phrase.alias("value"), F.get("w", F.lit(0))["start"].alias("start"), F.element_at("w", -1)["end"].alias("end"), "trig")
     hits = grown.join(entries, "key")
     kind = F.when(F.col("of") == "voie", "VOIE").otherwise("COMMUNE")
     sure = F.when(near(F.struct("start", "end"), F.col("trig"), window), BOOSTED).otherwise(BASE)
     s = span(F.col("start"), F.col("end"), kind, F.col("value"), F.concat(F.lit("gazetteer-"), F.col("of")), sure)
     # by first token; then the longest, streets first
-    cand = F.struct("i", (-(F.col("end") - F.col("start"))).alias("len"), F.when(F.col("of") == "voie", 0).otherwise(1).alias("rank"), "n", s.alias("s"))
+    return hits.select("doc_id", F.struct("i", (-(F.col("end") - F.col("start"))).alias("len"), F.when(F.col("of") == "voie", 0).otherwise(1).alias("rank"), "n", s.alias("s")).alias("cand"))
+
+
+def leftmost_longest(candidates: Column) -> Column:
+    """Spans of the longest candidate at each token, streets before communes of equal length, going on behind it."""
     step = lambda acc, c: F.when(c["i"] < acc["next"], acc).otherwise(F.struct((c["i"] + c["n"]).alias("next"), F.concat(acc["out"], F.array(c["s"])).alias("out")))
-    fold = F.aggregate(F.array_sort(F.collect_list(cand)), F.struct(F.lit(0).alias("next"), F.array().cast(NO_SPANS).alias("out")), step, lambda acc: acc["out"])
-    return hits.groupBy("doc_id").agg(fold.alias("spans"))
+    return F.aggregate(F.array_sort(candidates), F.struct(F.lit(0).alias("next"), F.array().cast(NO_SPANS).alias("out")), step, lambda acc: acc["out"])
+
+
+def with_postcodes(text: Column, places: Column) -> Column:
+    """Spans of places (null: none), and of the postcodes that are coupled to them."""
+    found = F.coalesce(places, F.array().cast(NO_SPANS))
+    communes = F.filter(found, lambda s: s["type"] == "COMMUNE")
+    return F.concat(found, F.coalesce(coupled_postcodes(text, communes), F.array().cast(NO_SPANS)))
 
 
 def detect_places(docs: DataFrame, gazetteer: DataFrame, doc_id: str, text: str, words=TRIGGERS, window: int = WINDOW) -> DataFrame:
     """(doc_id, spans) of communes, streets and coupled postcodes, for every document."""
-    found = place_phrases(docs, gazetteer, doc_id, text, words, window).withColumnRenamed("spans", "p")
+    found = place_candidates(docs, gazetteer, doc_id, text, words, window).groupBy("doc_id").agg(leftmost_longest(F.collect_list("cand")).alias("p"))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(found, "doc_id", "left")
-    places = F.coalesce("p", F.array().cast(NO_SPANS))
-    communes = F.filter(places, lambda s: s["type"] == "COMMUNE")
-    return rows.select("doc_id", F.concat(places, F.coalesce(coupled_postcodes(F.col("text"), communes), F.array().cast(NO_SPANS))).alias("spans"))
+    return rows.select("doc_id", with_postcodes(F.col("text"), F.col("p")).alias("spans"))
 
 
 def detect_communes(*args, **kwargs) -> DataFrame:

@@ -8,9 +8,7 @@ from __future__ import annotations
 
 import datetime
 import unicodedata
-from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,21 +16,38 @@ from pyspark.sql.functions import arrow_udf
 
 from ..functions import digits as D
 from ..functions.crypto import ff3, hmac_sha256, joined, keystream, scope_tweak, xor_hex
-from ..functions.permute import Feistel, derange
+from ..functions.permute import Feistel
 from ..functions.text import fold_key, let
-from ..sources.gazetteers import indexed
+from ..sources.gazetteers import indexed, pooled
 from .detect import MONTHS, to_date_slash, to_date_text
 
 NUMBERS = ("SIREN", "SIRET", "CARTE_BANCAIRE", "NIR", "IBAN", "TVA", "TELEPHONE")
 GAZETTEER_KIND = {"PRENOM": "prenom", "PATRONYME": "nom", "COMMUNE": "commune", "VOIE": "voie"}
-#: Fixed value: the alphabet of local parts that are permuted as numbers.
+#: What local parts that are permuted as numbers consist of: what the detector of e-mails takes, but for capitals,
+#: accents and underscores.
 ALPHABET = "abcdefghijklmnopqrstuvwxyz0123456789.+-'"
 EPOCH, DAYS = datetime.date(1900, 1, 1), (datetime.date(2101, 1, 1) - datetime.date(1900, 1, 1)).days
 
 
 def canonical(kind: Column, value: Column) -> Column:
-    """The form that makes two writings one value: names by key, e-mails in lower case, the rest as it is."""
-    return F.when(kind.isin(*GAZETTEER_KIND), fold_key(value)).when(kind == "EMAIL", F.lower(value)).otherwise(value)
+    """The form that makes two writings one value: names by key, e-mails by the lower case of their local part, the rest
+    as it is."""
+    local = F.substring_index(value, "@", 1)
+    email = F.concat(F.lower(local), F.substr(value, F.length(local) + 1, F.length(value)))
+    return F.when(kind.isin(*GAZETTEER_KIND), fold_key(value)).when(kind == "EMAIL", email).otherwise(value)
+
+
+def email_capitals(value: Column) -> Column:
+    """`U` and `l` for each character of a local part that has capitals; else null."""
+    local = F.substring_index(value, "@", 1)
+    return F.when(local != F.lower(local), F.array_join(F.transform(F.split(local, ""), lambda c: F.when(c != F.lower(c), "U").otherwise("l")), ""))
+
+
+def apply_capitals(value: Column, pattern: Column) -> Column:
+    """The e-mail with its local part's capitals; as it is where the pattern is of another length."""
+    local = F.substring_index(value, "@", 1)
+    put = F.array_join(F.zip_with(F.split(local, ""), F.split(pattern, ""), lambda c, u: F.when(u == "U", F.upper(c)).otherwise(c)), "")
+    return F.when(pattern.isNotNull() & (F.length(pattern) == F.length(local)), F.concat(put, F.substr(value, F.length(local) + 1, F.length(value)))).otherwise(value)
 
 
 def clear_hmac(key: bytes, scope: Column, kind: Column, value: Column) -> Column:
@@ -78,15 +93,6 @@ def number_surrogate(kind: Column, value: Column, key: bytes, tweak: Column, dec
 # --- permutations -------------------------------------------------------------------------------------------------------
 
 
-@lru_cache(maxsize=64)
-def _deranged(key: bytes, scope: str, kind: str, n: int) -> tuple[np.ndarray, np.ndarray]:
-    f = Feistel(key, scope, kind, n)
-    p = derange(np.array([f.forward(i) for i in range(n)], np.int64))
-    back = np.empty_like(p)
-    back[p] = np.arange(n)
-    return p, back
-
-
 def email_local(key: bytes, scope: str, local: str, back: bool = False) -> str | None:
     """The permuted local part; null for one outside of the alphabet or too short (those take the keystream)."""
     norm = local if back else unicodedata.normalize("NFKC", local).casefold()
@@ -96,34 +102,42 @@ def email_local(key: bytes, scope: str, local: str, back: bool = False) -> str |
     for c in norm:
         x = x * len(ALPHABET) + ALPHABET.index(c)
     f, out = Feistel(key, scope, "email", n), []
-    x = f.back(x) if back else f.forward(x)
+    x = f.moved(x, back)
     for _ in norm:
         x, r = divmod(x, len(ALPHABET))
         out.append(ALPHABET[r])
     return "".join(reversed(out))
 
 
+def _draw(key: bytes, scope: str, what: str | None, i: int | None, n: int | None, local: str | None, back: bool) -> str | None:
+    """The permuted index of a value, or its local part, as text."""
+    if what == "email":
+        return None if local is None else email_local(key, scope, local, back)
+    if what is None or i is None or n is None or not 0 <= i < n:
+        return None
+    return str(Feistel(key, scope, what, n).moved(i, back))
+
+
 def permuted(key: bytes, back: bool = False):
-    """A column function of (scope, what, index, n, local): the permuted index, or local part, as text."""
+    """A column function of (scope, struct<what, i, n, local>): `_draw` of each row."""
 
     @arrow_udf("string")
-    def run(scope: pa.Array, what: pa.Array, idx: pa.Array, n: pa.Array, local: pa.Array) -> pa.Array:
-        out = []
-        for s, w, i, size, loc in zip(*(a.to_pylist() for a in (scope, what, idx, n, local))):
-            if w == "email":
-                out.append(None if loc is None else email_local(key, s, loc, back))
-            elif i is None or size is None or not 0 <= i < size:
-                out.append(None)
-            elif w in GAZETTEER_KIND.values():
-                out.append(str(int(_deranged(key, s, w, size)[back][i])))
-            else:
-                f = Feistel(key, s, w, size)
-                out.append(str(f.back(i) if back else f.forward(i)))
-        return pa.array(out, pa.string())
+    def run(scope: pa.Array, asked: pa.Array) -> pa.Array:
+        return pa.array([_draw(key, s, x["what"], x["i"], x["n"], x["local"], back) for s, x in zip(scope.to_pylist(), asked.to_pylist())], pa.string())
 
     return run.asNondeterministic()  # so that Catalyst never moves it into a lambda, where it cannot run
 
 
+def permuted_all(key: bytes):
+    """A column function of (scope, array of such structs), as Python cannot run in a lambda."""
+
+    @arrow_udf("array<string>")
+    def run(scope: pa.Array, asked: pa.Array) -> pa.Array:
+        return pa.array([None if xs is None else [_draw(key, s, x["what"], x["i"], x["n"], x["local"], False) for x in xs] for s, xs in zip(scope.to_pylist(), asked.to_pylist())], pa.list_(pa.string()))
+
+    return run.asNondeterministic()
+
+
 def _date(v: Column) -> Column:
     return F.when(v.contains("/"), to_date_slash(v)).otherwise(to_date_text(v))
 
@@ -141,52 +155,75 @@ def _write_date(day: Column, like: Column) -> Column:
     return F.when(like.contains("/"), F.date_format(day, "dd/MM/yyyy")).otherwise(text)
 
 
-def with_surrogates(values: DataFrame, key: bytes, gazetteer: DataFrame | None, back: bool = False) -> DataFrame:
-    """`values` (scope, entity_type, value, mode) with `out`: the surrogate, or with `back` the value of a surrogate.
+def asked(kind: Column, v: Column, pool: Column, idx: Column, n: Column, mode: Column) -> Column:
+    """struct<what, i, n, local>: what is to be permuted for a value, nulls where its type needs no permutation."""
+    what = F.when(kind == "PLAQUE_SIV", "plate").when(kind == "DATE", "date").when(kind == "EMAIL", "email").when(kind == "CODE_POSTAL", "code_postal").otherwise(pool)
+    i = F.when(kind == "PLAQUE_SIV", F.substring(v, 4, 3).try_cast("long")).when(kind == "DATE", F.date_diff(_date(v), F.lit(EPOCH)).cast("long")).when(kind == "CODE_POSTAL", v.try_cast("long")).otherwise(idx)
+    size = F.when(kind == "PLAQUE_SIV", 1000).when(kind == "DATE", DAYS).when(kind == "CODE_POSTAL", 100_000).otherwise(n)
+    local = F.when((kind == "EMAIL") & ~F.coalesce(mode, F.lit("")).startswith(STREAM), F.substring_index(v, "@", 1))
+    return F.struct(what.alias("what"), i.cast("long").alias("i"), size.cast("long").alias("n"), local.alias("local"))
 
-    `out` is null where none can be made (a date out of range, a name of no gazetteer): such spans stay in clear, and
-    reports count them. `mode` says how an e-mail was made.
-    """
-    kind, v, scope = F.col("entity_type"), F.col("value"), F.col("scope")
-    rows = values
-    if gazetteer is not None:
-        g = indexed(gazetteer).select(F.col("kind").alias("g_kind"), F.col("key").alias("g_key"), "idx", "n", "name")
-        of = F.create_map(*[F.lit(x) for kv in GAZETTEER_KIND.items() for x in kv])
-        rows = rows.withColumn("g_kind", F.try_element_at(of, kind)).withColumn("g_key", fold_key(v)).join(g.drop("name"), ["g_kind", "g_key"], "left")
-    else:
-        rows = rows.withColumns({"g_kind": F.lit(None).cast("string"), "idx": F.lit(None).cast("long"), "n": F.lit(None).cast("long")})
-    what = F.when(kind == "PLAQUE_SIV", "plate").when(kind == "DATE", "date").when(kind == "EMAIL", "email").when(kind == "CODE_POSTAL", "code_postal").otherwise(F.col("g_kind"))
-    i = F.when(kind == "PLAQUE_SIV", F.substring(v, 4, 3).try_cast("long")).when(kind == "DATE", F.date_diff(_date(v), F.lit(EPOCH)).cast("long")).when(kind == "CODE_POSTAL", v.try_cast("long")).otherwise(F.col("idx"))
-    n = F.when(kind == "PLAQUE_SIV", 1000).when(kind == "DATE", DAYS).when(kind == "CODE_POSTAL", 100_000).otherwise(F.col("n"))
-    local = F.substring_index(v, "@", 1)
-    by_number = F.when((kind == "EMAIL") & (F.coalesce(F.col("mode"), F.lit("")) != "keystream"), local)
-    rows = rows.withColumns({"_what": what, "_i": i.cast("long"), "_n": n.cast("long"), "_local": by_number, "_tweak": scope_tweak(key, scope)})
-    rows = rows.withColumn("_p", F.when(F.col("_what").isNotNull(), permuted(key, back)(scope, F.col("_what"), F.col("_i"), F.col("_n"), F.col("_local"))))
-    p = F.col("_p")
-    xor = lambda hex_, name: xor_hex(hex_, keystream(key, scope, name, F.length(hex_) / 2))
+
+#: How the mode of a value begins whose bytes were XORed with a keystream; its nonce follows.
+STREAM = "keystream:"
+
+
+def nonce(key: bytes, scope: Column, kind: Column, value: Column) -> Column:
+    """A nonce of its own for each value, so that no two values share a keystream."""
+    return F.substring(clear_hmac(key, F.concat(F.lit("nonce|"), scope), kind, value), 1, 16)
+
+
+def built(kind: Column, v: Column, p: Column, mode: Column, key: bytes, scope: Column, tweak: Column, back: bool = False) -> Column:
+    """The surrogate of a value of any type but names, `p` being its permuted index or local part; `back`: the value."""
+    n = F.substr(mode, F.lit(len(STREAM) + 1), F.lit(16))
+    xor = lambda hex_, name: xor_hex(hex_, keystream(key, scope, name, n, F.length(hex_) / 2))
     bytes_ = lambda h: F.decode(F.unhex(h), "UTF-8")
+    local = F.substring_index(v, "@", 1)
     domain = F.substr(v, F.length(local) + 1, F.length(v))
     if back:
-        email = F.when(F.col("mode") == "keystream", F.concat(bytes_(xor(local, "email")), domain)).otherwise(F.concat(p, domain))
+        email = F.when(mode.startswith(STREAM), F.concat(bytes_(xor(local, "email")), domain)).otherwise(F.concat(p, domain))
         reference = bytes_(xor(v, "reference"))
     else:
         email = F.when(p.isNull(), F.concat(xor(F.hex(F.lower(local).cast("binary")), "email"), domain)).otherwise(F.concat(p, domain))
         reference = xor(F.hex(v.cast("binary")), "reference")
     day = F.date_add(F.lit(EPOCH), p.try_cast("int"))
-    out = (
-        F.when(kind.isin(*NUMBERS), number_surrogate(kind, v, key, F.col("_tweak"), back))
+    return (
+        F.when(kind.isin(*NUMBERS), number_surrogate(kind, v, key, tweak, back))
         .when(kind == "PLAQUE_SIV", F.concat(F.substring(v, 1, 3), F.lpad(p, 3, "0"), F.substr(v, F.lit(7), F.length(v))))
         .when(kind == "DATE", F.when(p.isNotNull(), _write_date(day, v)))
         .when(kind == "EMAIL", email)
         .when(kind == "REFERENCE_DOSSIER", reference)
         .when(kind == "CODE_POSTAL", F.lpad(p, 5, "0"))
     )
-    rows = rows.withColumn("out", out)
+
+
+def with_surrogates(values: DataFrame, key: bytes, gazetteer: DataFrame | None, back: bool = False) -> DataFrame:
+    """`values` (scope, entity_type, value, mode) with `out`: the surrogate, or with `back` the value of a surrogate.
+
+    `out` is null where none can be made (a date out of range, a name of no gazetteer): such spans stay in clear, and
+    `Engine.residue` counts them. `mode` says how an e-mail or a reference was made, with the nonce of its keystream.
+    """
+    kind, v, scope = F.col("entity_type"), F.col("value"), F.col("scope")
+    rows = values
+    if gazetteer is not None:
+        g = pooled(gazetteer).withColumn("pool", F.concat(F.lit("name|"), "pool"))
+        rows = rows.withColumn("g_key", F.when(kind.isin(*GAZETTEER_KIND), fold_key(v))).join(g.select(F.col("key").alias("g_key"), "pool", "idx", "n"), "g_key", "left")
+    else:
+        rows = rows.withColumns({"pool": F.lit(None).cast("string"), "idx": F.lit(None).cast("long"), "n": F.lit(None).cast("long")})
+    if "mode" not in rows.columns:
+        rows = rows.withColumn("mode", F.lit(None).cast("string"))
+    a = asked(kind, v, F.col("pool"), F.col("idx"), F.col("n"), F.col("mode"))
+    rows = rows.withColumns({"_a": a, "_tweak": scope_tweak(key, scope)})
+    rows = rows.withColumn("_p", F.when(F.col("_a.what").isNotNull(), permuted(key, back)(scope, F.col("_a"))))
     if not back:
-        rows = rows.withColumn("mode", F.when(kind == "EMAIL", F.when(p.isNull(), "keystream").otherwise("perm")))
+        stream = F.concat(F.lit(STREAM), nonce(key, scope, kind, v))
+        rows = rows.withColumn("mode", F.when(kind == "EMAIL", F.when(F.col("_p").isNull(), stream).otherwise("perm")).when(kind == "REFERENCE_DOSSIER", stream))
+    rows = rows.withColumn("out", built(kind, v, F.col("_p"), F.col("mode"), key, scope, F.col("_tweak"), back))
     if gazetteer is not None:
-        names = g.select(F.col("g_kind").alias("s_kind"), F.col("idx").alias("s_idx"), F.col("name").alias("s_name"))
-        rows = rows.join(names, (F.col("g_kind") == F.col("s_kind")) & (p.try_cast("long") == F.col("s_idx")), "left").withColumn("out", F.coalesce("out", "s_name"))
+        of = F.create_map(*[F.lit(x) for kv in GAZETTEER_KIND.items() for x in kv])
+        names = g.select(F.col("pool").alias("s_pool"), F.col("idx").alias("s_idx"), F.col("names").alias("s_names"), F.col("name").alias("s_name"))
+        rows = rows.join(names, (F.col("pool") == F.col("s_pool")) & (F.col("_p").try_cast("long") == F.col("s_idx")), "left")
+        rows = rows.withColumn("out", F.coalesce("out", F.try_element_at("s_names", F.try_element_at(of, kind)), "s_name"))
     return rows.select(*values.columns if "mode" in values.columns else [*values.columns, "mode"], "out")
 
 

@@ -43,25 +43,47 @@ def seed(spark: SparkSession) -> DataFrame:
 
 
 def load(spark: SparkSession, folder: str) -> DataFrame:
-    """The four gzip CSV files of a folder as one table; of equal keys the first row of a file wins."""
+    """The four gzip CSV files of a folder as one table; of equal keys the first row of a file wins. A file may also be a
+    folder of such files, as `write` makes them, in the order of their names. ValueError if one is empty."""
     out = spark.createDataFrame([], GAZETTEER_DDL)
     for kind, (file, name, more) in FILES.items():
-        raw = spark.read.option("header", True).csv(f"{folder.rstrip('/')}/{file}")
+        raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(f"{folder.rstrip('/')}/{file}")
+        if name not in raw.columns:
+            raise ValueError(f"{file} is empty or lacks the column {name}")
         cols = dict.fromkeys(("genre", "departement"), F.lit(""))
         if more:
             cols[more] = F.coalesce(F.trim(more), F.lit(""))
         cnt = F.coalesce(F.expr("try_cast(count AS long)"), F.lit(0)) if "count" in raw.columns else F.lit(0)
-        rows = raw.select(F.lit(kind).alias("kind"), F.trim(name).alias("name"), fold_key(F.col(name)).alias("key"), cols["genre"].alias("genre"), cols["departement"].alias("departement"), cnt.cast("long").alias("cnt"), F.monotonically_increasing_id().alias("at"))
+        rows = raw.select(F.lit(kind).alias("kind"), F.trim(name).alias("name"), fold_key(F.col(name)).alias("key"), cols["genre"].alias("genre"), cols["departement"].alias("departement"), cnt.cast("long").alias("cnt"), F.struct(F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("at"))
         first = rows.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy("at"))).where("n = 1 and name <> ''")
         out = out.unionByName(first.drop("at", "n"))
     return out
 
 
 def build(gazetteer: DataFrame) -> DataFrame:
-    """A row a gazetteer: kind, cnt and the SHA-256 of its lines sorted by key."""
+    """A row a gazetteer: kind, cnt and a SHA-256 over the digests of its parts, in order. A part is the lines, sorted by
+    key, of the keys with the same first two characters, so that no task holds a whole gazetteer."""
     line = F.concat_ws(",", "name", "genre", "departement", F.col("cnt").cast("string"))
     lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("key", line.alias("line")))), lambda s: s["line"]), "\n")
-    return gazetteer.groupBy("kind").agg(F.count("*").alias("cnt"), F.sha2(F.concat(lines, F.lit("\n")), 256).alias("sha256"))
+    parts = gazetteer.groupBy("kind", F.substring("key", 1, 2).alias("part")).agg(F.count("*").alias("n"), F.sha2(lines, 256).alias("sha"))
+    said = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "sha"))), lambda p: F.concat(p["part"], F.lit(":"), p["sha"])), "|")
+    return parts.groupBy("kind").agg(F.sum("n").alias("cnt"), F.sha2(said, 256).alias("sha256"))
+
+
+def write(gazetteer: DataFrame, folder: str) -> None:
+    """Each kind as gzip CSV sorted by key, and a manifest of `build`: what `load` reads and `check` holds it against."""
+    folder = folder.rstrip("/")
+    for kind, (file, name, more) in FILES.items():
+        rows = gazetteer.where(F.col("kind") == kind).orderBy("key").select(F.col("name").alias(name), *([more] if more else []), F.col("cnt").alias("count"))
+        rows.write.mode("overwrite").option("header", True).option("compression", "gzip").csv(f"{folder}/{file}")
+    build(gazetteer).write.mode("overwrite").json(f"{folder}/manifest.json")
+
+
+def check(spark: SparkSession, folder: str) -> bool:
+    """Whether the files of a folder give the digests of its manifest."""
+    said = spark.read.schema("kind string, cnt long, sha256 string").json(f"{folder.rstrip('/')}/manifest.json")
+    there = build(load(spark, folder))
+    return said.exceptAll(there).isEmpty() and there.exceptAll(said).isEmpty()
 
 
 def version(gazetteer: DataFrame) -> str:
@@ -86,3 +108,22 @@ def indexed(gazetteer: DataFrame) -> DataFrame:
     sizes = rows.groupBy("kind", "part").count().select("kind", "part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("before"), F.sum("count").over(Window.partitionBy("kind")).alias("n"))
     rank = F.row_number().over(Window.partitionBy("kind", "part").orderBy("key"))
     return rows.withColumn("rank", rank).join(sizes, ["kind", "part"]).select("kind", "name", "key", "genre", "departement", "cnt", (F.col("before") + F.col("rank") - 1).alias("idx"), "n")
+
+
+#: Fewer names than this would hardly hide one another.
+LEAST_POOL = 8
+
+
+def pooled(gazetteer: DataFrame) -> DataFrame:
+    """(key, pool, idx, n, names, name): each key's place in its pool; its names by kind, and one for other kinds.
+
+    A name may be of several kinds. Keys of the same kinds are one pool, so that what stands for a first name is one,
+    and no surrogate of one kind is that of another value of another kind. Pools of few names join the largest.
+    """
+    keys = gazetteer.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("kinds"), F.map_from_entries(F.array_sort(F.collect_set(F.struct("kind", "name")))).alias("names"), F.min("name").alias("name"))
+    sizes = keys.groupBy("kinds").agg(F.count("*").alias("size"))
+    largest = sizes.agg(F.max_by("kinds", F.struct("size", "kinds")).alias("largest"))
+    pools = sizes.withColumn("one", F.lit(1)).join(F.broadcast(largest.withColumn("one", F.lit(1))), "one").select("kinds", F.when(F.col("size") >= LEAST_POOL, F.col("kinds")).otherwise(F.col("largest")).alias("pool"))
+    rows = keys.join(F.broadcast(pools), "kinds")  # a row for each combination of four kinds: 15 at most
+    placed = indexed(rows.select(F.col("pool").alias("kind"), "name", "key", F.lit("").alias("genre"), F.lit("").alias("departement"), F.lit(1).cast("long").alias("cnt")))
+    return placed.select("key", F.col("kind").alias("pool"), "idx", "n").join(keys.select("key", "names", "name"), "key")

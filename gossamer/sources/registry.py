@@ -12,6 +12,10 @@ from ..schemas import REGISTRY_DDL, SCHEMA_VERSION
 from .gazetteers import check_version
 
 
+#: Up to so many scopes of a batch, their partitions are picked by name.
+MANY_SCOPES = 1000
+
+
 def default_path(root: str, scope: str) -> str:
     return f"{root.rstrip('/')}/registries/{re.sub(r'[^A-Za-z0-9_.-]', '_', scope)}"
 
@@ -44,13 +48,29 @@ class Registry:
         return rows if scope is None else rows.where(F.col("scope") == scope)
 
     def append(self, issued: DataFrame) -> None:
-        """Add rows whose (scope, entity_type, clear_hmac) is new; RegistryError if a surrogate is taken by another."""
-        known = self.read()
-        new = issued.join(known.select("scope", "entity_type", "clear_hmac"), ["scope", "entity_type", "clear_hmac"], "left_anti")
-        clash = new.join(known.select("scope", "entity_type", "surrogate"), ["scope", "entity_type", "surrogate"], "left_semi").count()
-        if clash:
-            raise RegistryError(f"{clash} surrogates are taken by other values")
-        new.select(known.columns).repartition("scope").write.mode("append").partitionBy("scope").parquet(self.path)
+        """Add rows whose (scope, entity_type, clear_hmac) is new; RegistryError if a surrogate is taken by another.
+
+        Only the partitions of the batch's scopes are read. A registry has one writer at a time: two that append the same
+        scope at once do not see each other's rows.
+        """
+        issued = issued.persist()
+        try:
+            scopes = [r[0] for r in issued.select("scope").distinct().limit(MANY_SCOPES + 1).collect()]
+            known = self.read()
+            if len(scopes) <= MANY_SCOPES:
+                known = known.where(F.col("scope").isin(scopes))
+            else:
+                known = known.join(issued.select("scope").distinct(), "scope", "left_semi")
+            new = issued.join(known.select("scope", "entity_type", "clear_hmac"), ["scope", "entity_type", "clear_hmac"], "left_anti").persist()
+            try:
+                clash = new.join(known.select("scope", "entity_type", "surrogate"), ["scope", "entity_type", "surrogate"], "left_semi").count()
+                if clash:
+                    raise RegistryError(f"{clash} surrogates are taken by other values")
+                new.select(known.columns).repartition("scope").write.mode("append").partitionBy("scope").parquet(self.path)
+            finally:
+                new.unpersist()
+        finally:
+            issued.unpersist()
 
 
 def contains(texts: DataFrame, registry: DataFrame, surrogate: str = "surrogate") -> DataFrame:

@@ -19,7 +19,8 @@ TEXTS = [
     (3, "b", "SIRET 73282932000033 et NIR 975032917028057, le 31 août 2020"),
     (4, "b", None),
     (5, "b", ""),
-    (6, "b", "M. Jean Dupont encore, SIREN 732829320"),
+    (6, "b", "M. Jean Dupont encore, SIREN 732829320, rue de la   Paix"),
+    (7, "a", "Mme DUPONT, dite Dupont, Jean.Petit@Mail.FR"),
 ]
 CLEAR = ["Dupont", "rue de la Paix", "Angoulême", "732 829 320", "06 12 34 56 78", "Durand", "12 février 1980", "3000 6000", "jean.dupont", "x@y", "DOS-1234", "AB-123-CD", "03/04/2019", "73282932000033"]
 
@@ -72,10 +73,10 @@ def test_policy_audit_report(spark, engine, docs):
     with pytest.raises(ValueError):
         Engine(spark, KEY, policy="other")
     lines = [json.dumps(r.asDict(recursive=True), default=str) for r in audit(found, KEY, "text", "scope").collect()]
-    assert len(lines) == 6 and not [c for line in lines for c in CLEAR if c in line]
+    assert len(lines) == 7 and not [c for line in lines for c in CLEAR if c in line]
     text = report(found, engine.version).first()["markdown"]
     assert "| SIREN | 2 |" in text and "| CODE_POSTAL | 1 |" in text and engine.version in text
-    assert [r.doc_id for r in engine.observe(docs).orderBy("doc_id").collect()] == [1, 2, 3, 4, 5, 6]
+    assert [r.doc_id for r in engine.observe(docs).orderBy("doc_id").collect()] == [1, 2, 3, 4, 5, 6, 7]
 
 
 def test_registry(spark, done, engine, tmp_path):
@@ -98,14 +99,37 @@ def test_registry(spark, done, engine, tmp_path):
     assert registry.contains(asked, r.read()).count() == 2
 
 
+def test_repeated_ids(spark, engine):
+    """Rows that share an id are masked and restored each by its own text and scope; ids may be null."""
+    rows = [(1, "a", "M. Dupont"), (1, "a", "M. Durand est là"), (1, "b", "M. Dupont"), (1, "a", "rien"), (1, "a", "M. Dupont"), (None, "a", "M. Leroy")]
+    docs = spark.createDataFrame(rows, "doc_id long, scope string, text string")
+    masked, issued = engine.mask(docs)
+    assert masked.count() == 6 and masked.where("text rlike 'Dupont|Durand|Leroy'").count() == 0
+    back = engine.unmask(masked.drop("entities"), issued)
+    assert sorted(map(str, back.collect())) == sorted(map(str, docs.collect()))
+
+
+def test_residue_and_close(spark, docs):
+    with Engine(spark, KEY, gazetteers.seed(spark)) as e:
+        got = {r.entity_type: r for r in e.residue(spark.createDataFrame([(1, "s", "M. Zzyx, vu le 01/01/1850 et le 01/01/1950")], "doc_id long, scope string, text string")).collect()}
+        assert (got["PATRONYME"].in_clear, got["DATE"].values, got["DATE"].in_clear, got["DATE"].fixed_points) == (1, 2, 1, 0)
+        e.mask(docs)[0].count()
+        assert e.calls == 1 and e._kept
+    assert not e._kept
+
+
 def test_trees(spark):
     df = spark.createDataFrame([(1, ("m", [("n", {"k": "v"})], None))], "id int, t struct<model: string, tools: array<struct<name: string, args: map<string, string>>>, none: string>")
     schema = df.schema["t"].dataType
     assert leaves(schema, exempt=["tools[*].name"]) == ["model", "tools[*].args[*]", "none"]
     got = df.select(map_leaves(F.col("t"), schema, F.upper, exempt=["$.tools[*].name"]).alias("t")).first()["t"]
     assert (got.model, got.tools[0].name, got.tools[0].args, got.none) == ("M", "n", {"k": "V"}, None)
-    with pytest.raises(ValueError):
-        leaves(schema, exempt=["a..b"])
+    for wrong in ("a..b", "a[1:2]", "a[?(x)]", "a.*"):
+        with pytest.raises(ValueError):
+            leaves(schema, exempt=[wrong])
+    named = df.select(map_leaves(F.col("t"), schema, F.upper, exempt=["tools[0].name", "$.tools[*].args.k"]).alias("t")).first()["t"]
+    assert (named.tools[0].name, named.tools[0].args) == ("n", {"k": "v"})
+    assert df.select(map_leaves(F.col("t"), schema, F.upper, exempt=["tools[1].name"]).alias("t")).first()["t"].tools[0].name == "N"
 
 
 def test_gazetteer_files(spark, tmp_path):
@@ -118,13 +142,28 @@ def test_gazetteer_files(spark, tmp_path):
     assert got == {("prenom", "Jean", "M", "", 3), ("nom", "Dupont", "", "", 0), ("commune", "Angoulême", "", "16", 0), ("voie", "rue de la Paix", "", "", 0)}
 
 
+def test_gazetteers_written_and_checked(spark, tmp_path):
+    at = str(tmp_path / "g")
+    gazetteers.write(gazetteers.seed(spark), at)
+    assert gazetteers.check(spark, at)
+    spark.createDataFrame([("Autre", 1)], "patronyme string, count long").write.mode("append").option("header", True).option("compression", "gzip").csv(f"{at}/noms.csv.gz")
+    assert not gazetteers.check(spark, at)
+    (tmp_path / "e").mkdir()
+    for file, *_ in gazetteers.FILES.values():
+        (tmp_path / "e" / file).write_bytes(b"")
+    with pytest.raises(ValueError, match="empty"):
+        gazetteers.load(spark, str(tmp_path / "e"))
+
+
 def test_stream(spark, docs, engine, tmp_path):
     src, out = str(tmp_path / "src"), str(tmp_path / "out")
     docs.repartition(2).write.parquet(src)
     texts = streams.read_texts(spark, src, docs.schema)
     q = streams.mask_stream(texts, KEY).writeStream.format("memory").queryName("masked").trigger(availableNow=True).start()
     q.awaitTermination()
-    assert spark.table("masked").where("text like '%732 829 320%' or text like '%732829320%'").count() == 0 and spark.table("masked").count() == 6
+    assert spark.table("masked").where("text like '%732 829 320%' or text like '%732829320%'").count() == 0 and spark.table("masked").count() == 7
+    left = spark.table("masked").where("text rlike 'jean.dupont|x@y|AB-123-CD|03/04/2019|12 février 1980|Jean.Petit'").count()
+    assert left == 0  # e-mails, plates and dates, too
     r = registry.Registry(spark, str(tmp_path / "reg"), engine.version)
     streams.mask_to(texts, engine, r, out, str(tmp_path / "ckpt")).awaitTermination()
     masked = spark.read.parquet(out)
@@ -141,8 +180,9 @@ def test_cli(spark, tmp_path, monkeypatch, capsys):
     assert cli.main(["scan", *args], spark) == 1
     os.chmod(key, 0o600)
     assert cli.main(["scan", *args], spark) == 0 and "| SIREN | 1 |" in capsys.readouterr().out
-    assert cli.main(["mask", *args, "--out", str(tmp_path / "m")], spark) == 0
-    masked = spark.read.parquet(str(tmp_path / "m"))
-    assert "Dupont" not in masked.first()["text"]
-    assert cli.main(["unmask", str(tmp_path / "m" / "*.parquet"), *args[1:], "--out", str(tmp_path / "u")], spark) == 0
-    assert spark.read.parquet(str(tmp_path / "u")).first()["text"] == TEXTS[0][2]
+    assert cli.main(["mask", *args, "--out", str(tmp_path / "m"), "--audit", str(tmp_path / "audit")], spark) == 0
+    assert spark.read.json(str(tmp_path / "audit")).count() == 1
+    files = list((tmp_path / "m").rglob("part-*.txt"))
+    assert len(files) == 1 and "Dupont" not in files[0].read_text(encoding="utf-8")
+    assert cli.main(["unmask", str(tmp_path / "m"), *args[1:], "--out", str(tmp_path / "u.parquet")], spark) == 0
+    assert spark.read.parquet(str(tmp_path / "u.parquet")).first()["text"] == TEXTS[0][2] + "\n"

@@ -8,15 +8,19 @@ SF = "/root/testdata/sf0.001"
 #: Permutations of names, dates and plates need numbers beyond 64 bits or walks of unknown length: one Arrow function.
 ARROW = {
     "permutation_bijection", "derangement_no_fixed_point", "plate_cipher_roundtrip", "date_cipher_roundtrip", "email_cipher_roundtrip", "reference_cipher_roundtrip",
-    "mask_unmask_roundtrip", "no_clear_leak", "registry_injective", "unmask_ignores_unissued", "unmask_reformatted", "mask_documents",
+    "mask_unmask_roundtrip", "no_clear_leak", "registry_injective", "unmask_ignores_unissued", "unmask_reformatted", "mask_documents", "mask_names_roundtrip", "mask_odd_blanks_roundtrip",
+    "mask_all_types_no_leak", "residue_counts", "unknown_names_stay", "email_case_roundtrip", "determinism_repeats", "surnames_no_collision", "nir_corsica", "json_text_roundtrip", "coherent_postcodes",
+    "mask_rows_as_engine",
 }
+#: Queries that write first and read again: their plan is that of the last read.
+WRITING = {"gazetteer_files", "gazetteer_first_wins", "text_files", "audit_sink", "registry_replay", "unmask_chunks"}
 
 
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(set(C.QUERIES) - {"mask_documents"}))
+@pytest.mark.parametrize("name", sorted(set(C.QUERIES) - WRITING - {"mask_documents"}))
 def test_plan(spark, name):
     p = plan(C.QUERIES[name](spark, SF))
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
