@@ -54,16 +54,11 @@ class Saved:
         where.getFileSystem(self._conf).delete(where, True)
 
 
-def kept(df: DataFrame, small: bool = False) -> DataFrame:
+def kept(df: DataFrame) -> DataFrame:
     """A table that is read several times, on the executors' disks. Its lineage stays: what is lost with an executor is
-    worked out again. For what is cheap to repeat; what is not, or would lengthen the lineage, is `Saved`.
-
-    `small`: fill it now, so that its size is known where joins are planned.
-    """
-    out = df.persist(StorageLevel.DISK_ONLY)
-    if small:
-        out.count()
-    return out
+    worked out again. For what is cheap to repeat and comes from saved tables; what is not, or would make plans grow
+    from one to the next, is `Saved`."""
+    return df.persist(StorageLevel.DISK_ONLY)
 
 
 def held_out(doc_id="doc_id"):
@@ -99,13 +94,12 @@ def connected_components(edges: DataFrame) -> DataFrame:
         both = now.df.union(now.df.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # the minima are tables of their own: a join to an aggregate could not be split where a node is hot
         least = kept(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = kept(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = kept(large.groupBy("u").agg(F.min("v").alias("m")))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = Saved(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        low = kept(large.df.groupBy("u").agg(F.min("v").alias("m")))
+        small = large.df.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         new = Saved(small.union(low).distinct(), "edges")
-        for used in (least, large, low):
-            used.unpersist()
-        now.drop()
+        least.unpersist(), low.unpersist()
+        now.drop(), large.drop()
         now = new
         got = tuple(now.df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if got == mark or not got[0]:

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import kept, tune
+from .common import Saved, kept, tune
 
 #: Statements by family, written for this scan; {n} stands for a version, {y} for a year, {who} for a holder.
 STATEMENTS = {
@@ -236,7 +236,7 @@ def scan(docs: DataFrame, doc_id="doc_id", text="text", sample: int = 1500, conf
     made = body.select("doc_id", "d", "paragraph", "lines", F.xxhash64("text").alias("h"), grams(words(F.col("text"))).alias("g"))
     key = ["doc_id", "d", "paragraph", "lines", "h"]
     met = made.select(*key, F.explode("g").alias("gram")).join(F.broadcast(weights), "gram")  # some hundred rows: the statements' n-grams
-    hits = kept(met.distinct())  # texts are read once; what follows reads this small table
+    hits = Saved(met.distinct(), "hits").df  # texts are read once; what follows reads this small table
     sums = hits.groupBy(*key).agg(*(F.sum(F.round(F.col("w")[k] * 1_000_000).cast("long")).alias(f"z{k}") for k in range(len(FAMILIES))))
     odds = [1 / (1 + F.exp(-(F.lit(model.bias[k]) + F.col(f"z{k}") / 1_000_000))) for k in range(len(FAMILIES))]
     each = F.array(*(F.struct(o.alias("score"), F.lit(-k).alias("k")) for k, o in enumerate(odds)))
@@ -253,7 +253,7 @@ def scan(docs: DataFrame, doc_id="doc_id", text="text", sample: int = 1500, conf
     # ids may be null
     out = named.join(top, [F.col(c).eqNullSafe(F.col(f"t_{c}")) for c in (*key, "family")], "left")
     out = out.select(*key, "family", F.round("score", 6).alias("score"), (-F.col("s.t")).alias("template"), similarity.alias("similarity"), (similarity >= confirm).alias("confirmed"))
-    out = kept(out)
+    out = Saved(out, "named").df
     line, run = out.where("lines = 1").alias("l"), out.where("lines > 1 and confirmed").alias("r")
     inside = [F.expr(f"l.{c} <=> r.{c}") for c in ("doc_id", "d", "family")] + [F.expr("l.paragraph between r.paragraph and r.paragraph + r.lines - 1")]
     # a run's statement that a confirmed line of it explains, as its own or as a relative's that shares most n-grams

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, kept, tune
+from .common import WORD, Saved, kept, tune
 
 #: The hash has 60 bits; each refinement reads 12 of them.
 BITS, STEP = 60, 12
@@ -46,14 +46,14 @@ def cuts(sizes: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
     `copies` times every document is taken; once more those with a hash below `edge`, and at it if `on`.
     """
     sums = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
-    plan = kept(targets(sums, weights, most), small=True)
+    plan = Saved(targets(sums, weights, most), "targets").df
     bound = plan.select("source", "need", F.lit(0).cast("long").alias("prefix"))
     rows = sizes.select("source", "size", "h")
     for shift in range(BITS - STEP, -1, -STEP):
         b = bound.select(F.col("source").alias("src"), "need", "prefix")
         inside = rows.join(b, rows["source"].eqNullSafe(b["src"]) & (F.shiftright("h", shift + STEP) == F.col("prefix")))
         if shift == BITS - 2 * STEP:  # from here on only the boundary buckets are read
-            rows = kept(inside.select(rows.columns))
+            rows = Saved(inside.select(rows.columns), "boundary").df
             inside = rows.join(b, rows["source"].eqNullSafe(b["src"]))
         sums = inside.groupBy("source", "need", F.shiftright("h", shift).alias("prefix")).agg(F.sum("size").alias("n"))
         upto = Window.partitionBy("source").orderBy("prefix").rowsBetween(Window.unboundedPreceding, -1)
@@ -61,10 +61,10 @@ def cuts(sizes: DataFrame, weights=(1, 2, 3), most: int = 3) -> DataFrame:
         hit = run.where((F.col("before") <= F.col("need")) & (F.col("before") + F.col("n") > F.col("need")))
         bound = hit.select("source", (F.col("need") - F.col("before")).alias("need"), "prefix", "n")
         if shift:
-            bound = kept(bound.drop("n"), small=True)
+            bound = Saved(bound.drop("n"), "bounds").df
     edge = bound.select(F.col("source").alias("src"), F.col("prefix").alias("edge"), (F.col("n") - F.col("need") < F.col("need")).alias("on"))
     p = plan.select(F.col("source").alias("of"), "source_size", "target", "copies", "need")
-    return kept(p.join(edge, p["of"].eqNullSafe(edge["src"]), "left").drop("src"), small=True)  # a row a source
+    return Saved(p.join(edge, p["of"].eqNullSafe(edge["src"]), "left").drop("src"), "cuts").df  # small: a row a source
 
 
 def times(h: Column) -> Column:
