@@ -122,8 +122,8 @@ def pooled(gazetteer: DataFrame) -> DataFrame:
     """
     keys = gazetteer.groupBy("key").agg(F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("kinds"), F.map_from_entries(F.array_sort(F.collect_set(F.struct("kind", "name")))).alias("names"), F.min("name").alias("name"))
     sizes = keys.groupBy("kinds").agg(F.count("*").alias("size"))
-    largest = sizes.agg(F.max_by("kinds", F.struct("size", "kinds")).alias("largest"))
-    pools = sizes.withColumn("one", F.lit(1)).join(F.broadcast(largest.withColumn("one", F.lit(1))), "one").select("kinds", F.when(F.col("size") >= LEAST_POOL, F.col("kinds")).otherwise(F.col("largest")).alias("pool"))
-    rows = keys.join(F.broadcast(pools), "kinds")  # a row for each combination of four kinds: 15 at most
+    one = sizes.agg(F.collect_list(F.struct("size", "kinds")).alias("all"))  # a row for each combination of four kinds: 15 at most
+    pools = one.select(F.explode("all").alias("x"), F.array_max("all")["kinds"].alias("largest")).select("x.kinds", F.when(F.col("x.size") >= LEAST_POOL, F.col("x.kinds")).otherwise(F.col("largest")).alias("pool"))
+    rows = keys.join(F.broadcast(pools), "kinds")
     placed = indexed(rows.select(F.col("pool").alias("kind"), "name", "key", F.lit("").alias("genre"), F.lit("").alias("departement"), F.lit(1).cast("long").alias("cnt")))
     return placed.select("key", F.col("kind").alias("pool"), "idx", "n").join(keys.select("key", "names", "name"), "key")
