@@ -9,6 +9,8 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import spread
+
 #: The words of the contracts: runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -21,6 +23,11 @@ def tune(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table `documents`; a small one, which may be a single row group, is dealt to all cores."""
+    return spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

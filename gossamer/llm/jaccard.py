@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Saved, connected_components, kept, tune, within
+from .common import Saved, connected_components, documents, kept, tune, within
 
 U = np.uint64
 #: Dealings of shingles to classes that a set may need; nearly all need one.
@@ -394,7 +394,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all `documents`: four words, 0.85."""
-    return components(spark.read.parquet(f"{sf_dir}/documents.parquet"), Rule(k=4, num=85))
+    return components(documents(spark, sf_dir), Rule(k=4, num=85))
 
 
 #: Every pair of sets, by their shared shingles: it serves small tables only.

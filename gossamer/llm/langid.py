@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import held_out, tune
+from .common import documents, held_out, tune
 
 #: N-grams kept of a language and of a document.
 PROFILE, TOP = 400, 300
@@ -131,7 +131,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def op3_rank_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The language of all `documents`, learned from the rows that are not held out."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    docs = documents(spark, sf_dir).select("doc_id", "text", "lang")
     tune(spark)
     found = learn(docs.where(~held_out()))
     return identify(docs.select("doc_id", held_out().alias("held_out"), "text"), found).drop("text")

@@ -15,7 +15,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Saved, kept, tune
+from .common import Saved, documents, kept, tune
 
 #: Statements by family, written for this scan; {n} stands for a version, {y} for a year, {who} for a holder.
 STATEMENTS = {
@@ -285,4 +285,4 @@ def _necessary(model: Model) -> set[str]:
 
 def op6_license_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence statements in all `documents`."""
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return scan(documents(spark, sf_dir))

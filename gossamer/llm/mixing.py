@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, Saved, kept, tune
+from .common import WORD, Saved, documents, kept, tune
 
 #: The hash has 60 bits; each refinement reads 12 of them.
 BITS, STEP = 60, 12
@@ -115,7 +115,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix of all `documents` (see `mix`)."""
-    return mix(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("source")
+    return mix(documents(spark, sf_dir)).drop("source")
 
 
 OP10_SQL = r"""

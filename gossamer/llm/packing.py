@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Saved, tune
+from .common import Saved, documents, tune
 
 #: Both libraries agree on these characters by construction; others go to `tokenizers` itself.
 _OTHER = r"[^\t\n\r -~¡-ɏ‐-‧€]"
@@ -180,7 +180,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def op9_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents` packed into sequences of 1024 tokens (see `pack`)."""
-    return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return pack(documents(spark, sf_dir))
 
 
 def packed_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:

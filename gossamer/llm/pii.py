@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from .common import tune
+from .common import documents, tune
 
 KINDS = ("email", "ip", "card", "phone")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -456,7 +456,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def op8_bilstm_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data in all `documents`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    docs = documents(spark, sf_dir).select("doc_id", "text")
     return find(docs, train(docs)).drop("text")
 
 
@@ -469,7 +469,7 @@ def base_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
         return pa.StructArray.from_arrays([pa.array(map(len, found), pa.int64()), pa.array([hashlib.sha256(told(b).encode()).hexdigest() for b in found], pa.string())], names=["n_base", "base_sha256"])
 
     tune(spark)
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = documents(spark, sf_dir)
     return docs.select("doc_id", base.asNondeterministic()(F.col("text")).alias("b")).select("doc_id", "b.*")
 
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Saved, held_out, tune
+from .common import Saved, documents, held_out, tune
 
 FEATURES = [
     "log_bytes", "lower", "upper", "digit", "space", "newline", "stops", "shouts", "symbols", "brackets", "non_ascii", "byte_entropy",
@@ -208,4 +208,4 @@ def classify(docs: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", l
 
 def op1_additive_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality of all `documents`, learned from `labels.quality`."""
-    return classify(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return classify(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
