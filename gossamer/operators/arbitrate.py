@@ -21,14 +21,36 @@ def captured_surnames(spans: Column) -> Column:
     return let(spans, rule)
 
 
+#: From so many spans on, those that overlap no other are set apart before any are compared.
+MANY = 48
+
+
 def resolve(spans: Column, priority: dict[str, int] | None = None) -> Column:
-    """Non-overlapping spans by start. Ties keep the order of detection; losers are never cut short."""
+    """Non-overlapping spans by start. Ties keep the order of detection; losers are never cut short.
+
+    Where there are many, a pass by start with the running end finds those that overlap none; only the others are
+    compared with what is kept.
+    """
     ranks = F.create_map(*[F.lit(x) for kv in (priority or PRIORITY).items() for x in kv])
     rank = lambda s: F.coalesce(F.try_element_at(ranks, s["type"]), F.lit(0))
-    # the key sorts as a struct: confidence, length and priority fall, the ordinal rises
-    keyed = F.transform(captured_surnames(spans), lambda s, i: F.struct((-s["confidence"]).alias("c"), (s["start"] - s["end"]).alias("l"), (-rank(s)).alias("p"), i.alias("i"), s.alias("s")))
-    keep = lambda kept, x: F.when(F.exists(kept, lambda k: overlaps(k, x["s"])), kept).otherwise(F.concat(kept, F.array(x["s"])))
-    return F.array_sort(F.aggregate(F.array_sort(keyed), F.array().cast(NO_SPANS), keep))
+    placed = F.array_sort(F.transform(captured_surnames(spans), lambda s, i: F.struct(s["start"].alias("a"), s["end"].alias("b"), i.alias("i"), s.alias("s"))))
+
+    def run(x: Column) -> Column:
+        step = lambda acc, e: F.struct(F.greatest(acc["m"], e["b"]).alias("m"), F.concat(acc["out"], F.array(acc["m"])).alias("out"))
+        reach = F.aggregate(x, F.struct(F.lit(-1).alias("m"), F.array().cast("array<int>").alias("out")), step, lambda acc: acc["out"])
+        marked = F.zip_with(x, reach, lambda e, m: F.struct(e["a"], e["b"], e["i"], e["s"], m.alias("m")))
+        alone = F.transform(marked, lambda e, k: F.struct(((e["m"] <= e["a"]) & F.coalesce(F.get(x, k + 1)["a"] >= e["b"], F.lit(True))).alias("alone"), e["i"].alias("i"), e["s"].alias("s")))
+        parted = F.when(F.size(x) >= MANY, alone).otherwise(F.transform(x, lambda e: F.struct(F.lit(False).alias("alone"), e["i"].alias("i"), e["s"].alias("s"))))
+        return let(parted, pick)
+
+    def pick(all_: Column) -> Column:
+        # the key sorts as a struct: confidence, length and priority fall, the ordinal rises
+        keyed = F.transform(F.filter(all_, lambda e: ~e["alone"]), lambda e: F.struct((-e["s"]["confidence"]).alias("c"), (e["s"]["start"] - e["s"]["end"]).alias("l"), (-rank(e["s"])).alias("p"), e["i"].alias("i"), e["s"].alias("s")))
+        keep = lambda kept, x: F.when(F.exists(kept, lambda k: overlaps(k, x["s"])), kept).otherwise(F.concat(kept, F.array(x["s"])))
+        free = F.transform(F.filter(all_, lambda e: e["alone"]), lambda e: e["s"])
+        return F.array_sort(F.concat(free, F.aggregate(F.array_sort(keyed), F.array().cast(NO_SPANS), keep)))
+
+    return let(placed, run)
 
 
 def rewrite(text: Column, replaced: Column) -> Column:

@@ -137,6 +137,29 @@ def test_resolution_is_stable(spark):
     assert [(x.start, x.type) for x in got] == [(0, "SIRET"), (20, "DATE")]
 
 
+def test_resolution_of_many(spark):
+    """Many spans, with and without overlaps, against the rule as it is said."""
+    import random
+
+    from gossamer.schemas import PRIORITY
+
+    r = random.Random(4)
+    rows = []
+    for n in (3, 47, 48, 49, 400):
+        for width in (60, 4000):
+            kinds = ["SIRET", "SIREN", "EMAIL", "DATE"]
+            starts = [r.randrange(width) for _ in range(n)]
+            rows.append([(a, a + r.randrange(1, 15), kind := r.choice(kinds), "v", kind, r.choice([0.9, 1.0])) for a in starts])
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], f"i int, spans array<{SPAN_DDL}>")
+    got = {x.i: [tuple(s) for s in x.s] for x in df.select("i", resolve(F.col("spans")).alias("s")).collect()}
+    for i, spans in enumerate(rows):
+        kept = []
+        for s in sorted(spans, key=lambda s: (-s[5], s[0] - s[1], -PRIORITY[s[2]])):
+            if all(s[1] <= k[0] or s[0] >= k[1] for k in kept):
+                kept.append(s)
+        assert got[i] == sorted(kept), i
+
+
 def test_case(spark):
     assert one(spark, text.case_pattern(F.lit("rue de la Paix"))) == "l:l:l:T"
     assert one(spark, text.apply_case(F.lit("jean-marc d'arc"), F.lit("T"))) == "Jean-Marc D'Arc"
