@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -68,6 +69,13 @@ def kept(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.DISK_ONLY)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Delete the shuffle files of tables that nothing refers to any more; else they stay until the driver happens to
+    collect its garbage, which on large tables is after the disk is full."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def held_out(doc_id="doc_id"):
     """True for rows that no model may learn labels from: crc32 of the id as text, mod 4, is 2."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
@@ -79,12 +87,13 @@ BROADCAST_BYTES = 64 << 20
 
 def within(df: DataFrame, small: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
     """Join to a narrow table on columns of equal names, nulls being equal: broadcast while its measured bytes are few,
-    shuffled beyond. `small` is read for that, so it should be a saved table. The keys are those of `df`."""
+    shuffled beyond, without a sort, so that the wide side is on disk once. `small` is read for that, so it should be a
+    saved table; it has few rows a key. The keys are those of `df`."""
     long_ = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in small.dtypes if kind == "string"]
     size = small.agg(F.count("*").alias("n"), F.sum(sum(long_, F.lit(0))).alias("b")).first()
     few = size["n"] * (48 + 8 * len(small.columns)) + (size["b"] or 0) <= BROADCAST_BYTES
     other = small.withColumnsRenamed({c: f"_on_{c}" for c in on})
-    joined = df.join(F.broadcast(other) if few else other, [df[c].eqNullSafe(other[f"_on_{c}"]) for c in on], how)
+    joined = df.join(F.broadcast(other) if few else other.hint("shuffle_hash"), [df[c].eqNullSafe(other[f"_on_{c}"]) for c in on], how)
     return joined.drop(*(f"_on_{c}" for c in on))
 
 

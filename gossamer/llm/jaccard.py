@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import Saved, connected_components, documents, kept, tune, within
+from .common import Saved, connected_components, documents, free_shuffles, kept, tune, within
 
 U = np.uint64
 #: Dealings of shingles to classes that a set may need; nearly all need one.
@@ -238,15 +238,25 @@ def _texts(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
     return docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(t).alias("h"), t.alias("text"))
 
 
-def candidate_regions(sketches: DataFrame) -> DataFrame:
-    """(node, comp) over `lo`: documents that share signatures, directly or through others."""
-    rows = sketches.where("sigs is not null").select("lo", F.explode("sigs").alias("sig"))
+def candidate_edges(sketches: DataFrame) -> DataFrame:
+    """(a, b) over `lo`: each holder of a signature with the least holder, and what the tasks knew."""
+    # what the join would infer is said before the exchange, or else its two sides differ and each has an exchange
+    rows = sketches.where("sigs is not null and lo is not null").select("lo", F.explode("sigs").alias("sig")).where("sig is not null")
     # one exchange serves both sides: sums by cell, and the join of the cells back to their members
     dealt = rows.repartition("sig")
     cells = dealt.groupBy("sig").agg(F.min("lo").alias("a"), F.max("lo").alias("z")).where("a < z").select("sig", "a")
     edges = dealt.join(cells.hint("shuffle_hash"), "sig").where("lo <> a").select(F.col("lo").alias("a"), F.col("a").alias("b"))
     known = sketches.where("near is not null").select(F.col("lo").alias("a"), F.explode("near").alias("b"))
-    return connected_components(edges.union(known))
+    return edges.union(known)
+
+
+def candidate_regions(sketches: DataFrame) -> DataFrame:
+    """(node, comp) over `lo`: documents that share signatures, directly or through others."""
+    edges = Saved(candidate_edges(sketches), "candidates")
+    free_shuffles(sketches.sparkSession)  # that of the signatures is the largest of all
+    found = connected_components(edges.df)
+    edges.drop()
+    return found
 
 
 #: A row of a region as it reaches a task, and what is known of it afterwards.

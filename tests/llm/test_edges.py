@@ -5,7 +5,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from gossamer.llm import hamming, jaccard, langid, licenses, mixing, packing, pii, quality, urls, vectors
+from gossamer.llm import common, hamming, jaccard, langid, licenses, mixing, packing, pii, quality, urls, vectors
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, score double, held_out string, lang_pred int, n int, h string, rep int, comp int, key string, size string, target string, h_ string, lo int, hi int, spans int, n_email string, sigs int, length int, piece string, bucket int, need int, source_size string"
 LONG = " ".join(f"word{i % 977} thing{i % 613}" for i in range(60_000))
@@ -152,3 +152,24 @@ def test_pipeline(spark, docs, empty, tmp_path):
 def test_urls_with_clashing_columns(spark):
     pages = spark.createDataFrame([(1, "h://a.org/x", "y", 1), (2, None, "z", 2)], "page_id long, url string, _said string, _by_model int")
     assert urls.judge(pages).count() == 2
+
+
+def test_signatures_are_dealt_once(spark, docs):
+    """Sums by cell and the join back to their members share one exchange of all signatures."""
+    edges = jaccard.candidate_edges(common.Saved(jaccard.sketch(docs, jaccard.Rule(), "doc_id", "text"), "sketches").df)
+    edges.collect()
+    plan = edges._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 1 and plan.count("REPARTITION_BY_COL") == 2
+
+
+@pytest.mark.parametrize("how", ["inner", "left_anti", "left_semi"])
+def test_wide_rows_are_not_sorted(spark, monkeypatch, how):
+    """Beyond the limit of a broadcast the wide side is shuffled, but not sorted, and the rows are the same."""
+    wide = spark.range(1000).select(F.when(F.col("id") % 9 > 0, F.col("id") % 300).alias("k"), F.col("id").cast("string").alias("t"))
+    small = spark.range(0, 300, 2).select(F.col("id").alias("k")).union(spark.sql("select cast(null as long)"))
+    want = sorted(map(str, common.within(wide, small, ["k"], how).collect()))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 0)
+    got = common.within(wide, small, ["k"], how)
+    assert sorted(map(str, got.collect())) == want and want
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "Sort" not in plan
