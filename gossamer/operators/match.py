@@ -72,26 +72,50 @@ def choose(hits: Column) -> Column:
     return F.array_sort(F.aggregate(F.array_sort(keyed), F.array().cast(HITS), keep))
 
 
-def find(texts: DataFrame, surrogates: DataFrame, doc_id: str, text: str, scope: str) -> DataFrame:
-    """(doc_id, hits) of the surrogates (scope, surrogate) that each text may hold, before `believe`.
+WORD = r"(?:\p{L}++|[0-9]++)"
+_APART = r"[^\p{L}0-9\s]*+"
 
-    Texts meet variants by words: a variant's anchor is its word that the fewest variants of the scope hold, the longest
-    of equals, and only texts with that word, of the same scope, are searched for it; a plain substring test comes
-    before the search. Single blanks between digits count for nothing, in texts and in variants; hits have their
-    offsets in the text as written.
-    """
+
+def runs_of_three(text: Column) -> Column:
+    """Three words each, with what is between them, where no white space is; they overlap."""
+    begin = r"(?:(?<!\p{L})(?=\p{L})|(?<![0-9])(?=[0-9]))"
+    return F.regexp_extract_all(text, F.lit(f"{begin}(?=({WORD}{_APART}{WORD}{_APART}{WORD}))"), F.lit(1))
+
+
+def inside(plain: Column) -> Column:
+    """What is between the first and the last word: its words are whole wherever a text holds `plain`."""
+    return F.regexp_replace(F.regexp_replace(plain, rf"^[^\p{{L}}0-9]*{WORD}", ""), rf"{WORD}[^\p{{L}}0-9]*$", "")
+
+
+def meetings(rows: DataFrame, surrogates: DataFrame) -> DataFrame:
+    """(doc_id, t_scope, surrogate, variant, plain): the variants whose anchor a text of `rows` (doc_id, t_scope, text)
+    holds."""
     word = F.lit(r"\p{L}+|[0-9]+")
     v = surrogates.select(F.col("scope").alias("v_scope"), "surrogate", F.explode(variants(F.col("surrogate"))).alias("variant"))
     # digits are one word whether apart or not, so grouped forms need no anchor of their own
     v = v.select("v_scope", "surrogate", "variant", drop_inner_spaces(F.col("variant")).alias("plain"))
-    held = v.select("v_scope", "plain", F.explode(F.array_distinct(F.regexp_extract_all("plain", word, F.lit(0)))).alias("w")).distinct()
+    own = F.array_union(F.regexp_extract_all("plain", word, F.lit(0)), runs_of_three(inside(F.col("plain"))))
+    held = v.select("v_scope", "plain", F.explode(own).alias("w")).distinct()
     often = held.groupBy("v_scope", "w").agg(F.count("*").alias("n"))
     rare = held.join(often, ["v_scope", "w"]).groupBy("v_scope", "plain").agg(F.min_by("w", F.struct("n", -F.length("w"), "w")).alias("anchor"))
     v = v.join(rare, ["v_scope", "plain"])
+    closed = let(drop_inner_spaces(F.col("text")), lambda c: F.concat(F.regexp_extract_all(c, F.lit("[0-9]+"), F.lit(0)), runs_of_three(c)))
+    there = F.array_union(F.regexp_extract_all("text", word, F.lit(0)), closed)
+    near = rows.select("doc_id", "t_scope", F.explode(there).alias("anchor"))
+    return near.join(v, (near["t_scope"] == v["v_scope"]) & (near["anchor"] == v["anchor"])).select("doc_id", "t_scope", "surrogate", "variant", "plain")
+
+
+def find(texts: DataFrame, surrogates: DataFrame, doc_id: str, text: str, scope: str) -> DataFrame:
+    """(doc_id, hits) of the surrogates (scope, surrogate) that each text may hold, before `believe`.
+
+    Texts meet variants by words: a variant's anchor is its word, or run of three inner words, that the fewest variants
+    of the scope hold, the longest of equals, and only texts with that anchor, of the same scope, are searched for it; a
+    plain substring test comes before the search. Words alone would not do for digests and permuted local parts, whose
+    words of one or two characters are in most texts. Single blanks between digits count for nothing, in texts and in
+    variants; hits have their offsets in the text as written.
+    """
     rows = texts.select(F.col(doc_id).alias("doc_id"), F.col(scope).cast("string").alias("t_scope"), F.col(text).alias("text")).where("text is not null")
-    there = F.array_union(F.regexp_extract_all("text", word, F.lit(0)), F.regexp_extract_all(drop_inner_spaces(F.col("text")), F.lit("[0-9]+"), F.lit(0)))
-    near = rows.select("doc_id", "t_scope", F.explode(F.array_distinct(there)).alias("anchor"))
-    pairs = near.join(v, (near["t_scope"] == v["v_scope"]) & (near["anchor"] == v["anchor"])).groupBy("doc_id", "t_scope").agg(F.collect_set(F.struct("surrogate", "variant", "plain")).alias("all"))
+    pairs = meetings(rows, surrogates).groupBy("doc_id", "t_scope").agg(F.collect_set(F.struct("surrogate", "variant", "plain")).alias("all"))
     found = rows.join(pairs, ["doc_id", "t_scope"])
     wanted = let(F.struct(drop_inner_spaces(F.col("text")).alias("c"), F.col("all").alias("a")), lambda t: F.filter(t["a"], lambda x: F.contains(t["c"], x["plain"])))
     found = found.withColumn("wanted", wanted).where(F.size("wanted") > 0)

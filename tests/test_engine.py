@@ -186,3 +186,25 @@ def test_cli(spark, tmp_path, monkeypatch, capsys):
     assert len(files) == 1 and "Dupont" not in files[0].read_text(encoding="utf-8")
     assert cli.main(["unmask", str(tmp_path / "m"), *args[1:], "--out", str(tmp_path / "u.parquet")], spark) == 0
     assert spark.read.parquet(str(tmp_path / "u.parquet")).first()["text"] == TEXTS[0][2] + "\n"
+
+
+def test_digests_meet_few_texts(spark):
+    """Values whose words are short, as digests' are, meet the texts that hold them, not all that share a digit."""
+    from gossamer.operators import match
+
+    rows = spark.range(1500).select(F.col("id").alias("doc_id"), F.lit("s").alias("t_scope"), F.concat(F.substring(F.md5(F.col("id").cast("string")), 1, 18), F.lit("@x.fr")).alias("v"))
+    texts = rows.select("doc_id", "t_scope", F.concat(F.lit("à "), "v", F.lit(" !")).alias("text"))
+    given = rows.select(F.col("t_scope").alias("scope"), F.col("v").alias("surrogate"))
+    assert match.meetings(texts, given).count() < 3 * 1500
+    found = match.find(texts, given, "doc_id", "text", "t_scope").select("doc_id", F.explode("hits").alias("h")).join(rows, "doc_id")
+    assert found.where("h.surrogate = v and h.start = 2 and h.exact").count() == 1500
+
+
+def test_glued_and_spaced_values_are_met(spark):
+    """A value is met inside of longer words, between brackets, and with its digits apart."""
+    from gossamer.operators import match
+
+    given = spark.createDataFrame([("s", v) for v in ("a1b2c3d@x.fr", "k-9.z+4", "12345678", "Jean Petit")], "scope string, surrogate string")
+    texts = spark.createDataFrame([(1, "s", "(a1b2c3d@x.fr)"), (2, "s", "xa1b2c3d@x.frz"), (3, "s", "k-9.z+4,"), (4, "s", "n 123 456 78"), (5, "s", "M. Petit"), (6, "t", "k-9.z+4")], "d long, s string, t string")
+    got = {(r.doc_id, h.surrogate) for r in match.find(texts, given, "d", "t", "s").collect() for h in r.hits}
+    assert got == {(1, "a1b2c3d@x.fr"), (2, "a1b2c3d@x.fr"), (3, "k-9.z+4"), (4, "12345678"), (5, "Jean Petit")}
