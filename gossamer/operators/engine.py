@@ -12,12 +12,12 @@ from pyspark.sql import types as T
 from ..errors import UnresolvedSpanError
 from ..functions.crypto import check_key, hmac_sha256, joined
 from ..functions.runs import fill, template
-from ..functions.text import in_case, one_case, rewritten, written
+from ..functions.text import in_case, let, one_case, rewritten, written
 from ..schemas import LABELS, SCHEMA_VERSION
 from ..sources import gazetteers, paths, registry
 from .arbitrate import resolve, rewrite
 from .detect import NO_SPANS, references, dates, emails, plates, structured, text_dates
-from .match import HITS, believe, choose, find
+from .match import HITS, believe, choose, search
 from .names import TRIGGERS, WINDOW, name_spans
 from .places import PLACE_TOKEN, leftmost_longest, place_candidates, with_postcodes
 from .postcodes import coherent
@@ -34,8 +34,8 @@ class Engine:
     on the values of one call, as places are given out. `policy`: "permissive", or "strict" to refuse texts with resolved
     spans of a confidence below 0.8.
 
-    Spans and values that are used several times are persisted; `close`, or leaving the engine's `with` block, frees
-    them. `calls` counts the calls of observe and mask.
+    Spans, values and texts to be restored, which are used several times, are persisted; `close`, or leaving the
+    engine's `with` block, frees them. `calls` counts the calls of observe and mask.
     """
 
     def __init__(self, spark: SparkSession, key: bytes, gazetteer: DataFrame | None = None, reference_patterns: list[str] | None = None, policy: str = "permissive", triggers=TRIGGERS, window: int = WINDOW, priority: dict[str, int] | None = None, coherent_postcodes: bool = False):
@@ -138,10 +138,12 @@ class Engine:
         if self.coherent:
             issued = self._keep(coherent(found, issued, self.gazetteer, self.key, scope))
         s = F.col("s")
-        spans = found.select("_key", F.col(scope).cast("string").alias("scope"), F.explode("spans").alias("s")).withColumns({"entity_type": s["type"], "value": canonical(s["type"], s["value"])})
+        # what is shuffled to meet the surrogates is not the span, only where it is and the case it is in
+        case = F.when(s["type"].isin(*GAZETTEER_KIND), one_case(s["value"]))
+        spans = found.select("_key", F.col(scope).cast("string").alias("scope"), F.explode("spans").alias("s")).select("_key", "scope", s["type"].alias("entity_type"), canonical(s["type"], s["value"]).alias("value"), s["start"].alias("start"), s["end"].alias("end"), case.alias("case"))
         joined_ = spans.join(issued.select("scope", "entity_type", "value", "surrogate"), ["scope", "entity_type", "value"], "left")
-        shown = F.when(F.col("entity_type").isin(*GAZETTEER_KIND), in_case(F.col("surrogate"), one_case(s["value"]))).otherwise(F.col("surrogate"))
-        put = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["type"].alias("type"), shown.alias("surrogate"))
+        shown = F.when(F.col("entity_type").isin(*GAZETTEER_KIND), in_case(F.col("surrogate"), F.col("case"))).otherwise(F.col("surrogate"))
+        put = F.struct("start", "end", F.col("entity_type").alias("type"), shown.alias("surrogate"))
         by_doc = joined_.groupBy("_key").agg(F.array_sort(F.collect_set(put)).alias("_put"))
         rows = _keyed(docs, doc_id, text, scope).join(by_doc, "_key", "left").withColumn("_r", rewrite(F.col(text), F.col("_put")))
         masked = rows.select(*(F.col("_r.text").alias(text) if c == text else F.col(c) for c in docs.columns), F.col("_r.entities").alias("entities"))
@@ -163,10 +165,10 @@ class Engine:
     def located(self, docs: DataFrame, clear: DataFrame, doc_id: str, text: str, scope: str) -> DataFrame:
         """(doc_id, scope, h, said): the hits of `clear` (scope, surrogate) in each text that are believed, and what is
         written there."""
-        hits = find(docs, clear.select("scope", "surrogate"), doc_id, text, scope)
-        full = docs.select(F.col(doc_id).alias("doc_id"), F.col(scope).cast("string").alias("scope"), F.col(text).alias("_t")).join(hits, ["doc_id", "scope"])
-        kept = full.select("doc_id", "scope", "_t", F.explode(choose(believe(F.col("_t"), F.col("hits").cast(HITS)))).alias("h"))
-        return kept.select("doc_id", "scope", "h", F.substr("_t", F.col("h.start") + 1, F.col("h.end") - F.col("h.start")).alias("said"))
+        rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(scope).cast("string").alias("t_scope"), F.col(text).alias("text"))
+        hits = search(rows, clear.select("scope", "surrogate"), self._keep).where("hits is not null")
+        kept = hits.select("doc_id", F.col("t_scope").alias("scope"), "text", F.explode(choose(believe(F.col("text"), F.col("hits").cast(HITS)))).alias("h"))
+        return kept.select("doc_id", "scope", "h", F.substr("text", F.col("h.start") + 1, F.col("h.end") - F.col("h.start")).alias("said"))
 
     def unmask(self, docs: DataFrame, issued: DataFrame, doc_id: str = "doc_id", text: str = "text", scope: str = "scope") -> DataFrame:
         """`docs` with every issued surrogate of its scope, in any of its writings, replaced by the clear value.
@@ -175,15 +177,26 @@ class Engine:
         which its surrogate is written; one that was not in one case, or not with single blanks, comes back for the
         surrogate as it was issued, in the first of such forms.
         """
-        clear = self._keep(self.restore(issued).groupBy("scope", "surrogate").agg(F.min(F.struct("clear", "name", "odd")).alias("c")).select("scope", "surrogate", "c.*"))
-        docs_ = _keyed(docs, doc_id, text, scope)
-        put = self.located(docs_, clear, "_key", text, scope).withColumn("surrogate", F.col("h.surrogate")).join(clear, ["scope", "surrogate"])
-        as_said = F.col("name").isNotNull() & (F.lower("said") == F.lower("surrogate")) & ~(F.col("odd") & (F.col("said") == F.col("surrogate"))) & one_case(F.col("said")).isNotNull()
-        back = F.when(F.coalesce(as_said, F.lit(False)), in_case(F.col("name"), one_case(F.col("said")))).otherwise(F.col("clear"))
-        span = F.struct(F.col("h.start").alias("start"), F.col("h.end").alias("end"), F.lit("CLEAR").alias("type"), back.alias("surrogate"))
-        by_doc = put.groupBy(F.col("doc_id").alias("_key")).agg(F.array_sort(F.collect_set(span)).alias("_put"))
-        rows = docs_.join(by_doc, "_key", "left").withColumn("_r", rewrite(F.col(text), F.col("_put")))
-        return rows.select(*(F.col("_r.text").alias(text) if c == text else F.col(c) for c in docs.columns))
+        clear = self._keep(self.restore(issued).groupBy("scope", "surrogate").agg(F.min(F.struct("clear", "name", "odd")).alias("c")))
+        # read twice, for their words and to be rewritten, so what made the texts runs once
+        own = {c: f"_c{i}" for i, c in enumerate(docs.columns) if c != text}
+        rows = self._keep(docs.select(*(F.col(c).alias(n) for c, n in own.items()), F.struct(F.col(doc_id).alias("id"), F.xxhash64(text).alias("h")).alias("doc_id"), F.col(scope).cast("string").alias("t_scope"), F.col(text).alias("text")))
+        found = search(rows, clear, self._keep)
+
+        def put(h: Column, t: Column) -> Column:
+            def span(x: Column) -> Column:
+                c, said, surrogate = x["c"], x["said"], h["surrogate"]
+                as_said = c["name"].isNotNull() & (F.lower(said) == F.lower(surrogate)) & ~(c["odd"] & (said == surrogate)) & one_case(said).isNotNull()
+                back = F.when(F.coalesce(as_said, F.lit(False)), in_case(c["name"], one_case(said))).otherwise(c["clear"])
+                return F.struct(h["start"].alias("start"), h["end"].alias("end"), F.lit("CLEAR").alias("type"), back.alias("surrogate"))
+
+            met = F.get(F.filter(t["met"], lambda m: m["surrogate"] == h["surrogate"]), F.lit(0))
+            return let(F.struct(met["c"].alias("c"), F.substr(t["text"], h["start"] + 1, h["end"] - h["start"]).alias("said")), span)
+
+        chosen = F.struct("text", "met", choose(believe(F.col("text"), F.col("hits").cast(HITS))).alias("hits"))
+        spans = F.when(F.col("hits").isNotNull(), let(chosen, lambda t: F.array_sort(F.transform(t["hits"], lambda h: put(h, t)))))
+        done = found.withColumn("_put", spans).withColumn("_r", rewrite(F.col("text"), F.col("_put")))
+        return done.select(*(F.col("_r.text").alias(text) if c == text else F.col(own[c]).alias(c) for c in docs.columns))
 
 
 def _keyed(docs: DataFrame, doc_id: str, text: str, scope: str | None = None) -> DataFrame:

@@ -208,3 +208,25 @@ def test_glued_and_spaced_values_are_met(spark):
     texts = spark.createDataFrame([(1, "s", "(a1b2c3d@x.fr)"), (2, "s", "xa1b2c3d@x.frz"), (3, "s", "k-9.z+4,"), (4, "s", "n 123 456 78"), (5, "s", "M. Petit"), (6, "t", "k-9.z+4")], "d long, s string, t string")
     got = {(r.doc_id, h.surrogate) for r in match.find(texts, given, "d", "t", "s").collect() for h in r.hits}
     assert got == {(1, "a1b2c3d@x.fr"), (2, "a1b2c3d@x.fr"), (3, "k-9.z+4"), (4, "12345678"), (5, "Jean Petit")}
+
+
+def test_texts_are_made_once_to_be_restored(spark, tmp_path):
+    """What made the texts runs once, however often they are read (a masked table is made by three shuffles)."""
+    log = str(tmp_path / "seen")
+
+    @F.udf("string")
+    def seen(t):
+        with open(log, "a") as f:
+            f.write("x")
+        return t
+
+    texts = spark.createDataFrame([(i, "s", f"DOS-{i:04d} à jean.p{i}@ex.fr") for i in range(40)], "doc_id long, scope string, text string")
+    with Engine(spark, KEY, None, ["DOS-[0-9]{4}"]) as e:
+        masked, issued = e.mask(texts)
+        # written, so that all that is counted is what `unmask` reads
+        masked.drop("entities").write.parquet(str(tmp_path / "masked"))
+        again = spark.read.parquet(str(tmp_path / "masked")).withColumn("text", seen.asNondeterministic()("text"))
+        got = {r.doc_id: r.text for r in e.unmask(again, issued).collect()}
+    assert got == {r.doc_id: r.text for r in texts.collect()}
+    with open(log) as f:
+        assert len(f.read()) == 40
