@@ -146,8 +146,7 @@ def _more(surrogates: DataFrame) -> list[str]:
 
 
 def anchors(surrogates: DataFrame) -> DataFrame:
-    """(v_scope, surrogate, at, variants) and what other columns `surrogates` has: the variants of a surrogate that have
-    the same anchor, and the anchor's hash.
+    """(v_scope, surrogate, at) and what other columns `surrogates` has: the hashes of the anchors of its variants.
 
     The anchor is the word, or run of three inner words, that the fewest surrogates of the scope hold, by counters that
     words share, so that neither words nor variants are shuffled for the choice.
@@ -157,16 +156,16 @@ def anchors(surrogates: DataFrame) -> DataFrame:
     # digits are one word whether apart or not, so grouped forms need no anchor of their own
     own = lambda p: F.array_union(F.regexp_extract_all(p, word, F.lit(0)), runs_of_three(inside(p)))
     v = v.withColumn("own", F.transform("variants", lambda x: let(drop_inner_spaces(x), own)))
-    v = v.select("v_scope", "surrogate", *more, "variants", F.transform("own", lambda o: F.transform(o, lambda w: F.xxhash64("v_scope", w))).alias("hashes"), F.transform("own", lambda o: F.transform(o, F.length)).alias("lengths"))
+    v = v.select("v_scope", "surrogate", *more, F.transform("own", lambda o: F.transform(o, lambda w: F.xxhash64("v_scope", w))).alias("hashes"), F.transform("own", lambda o: F.transform(o, F.length)).alias("lengths"))
     held = v.select(F.explode(F.array_distinct(F.transform(F.flatten("hashes"), lambda h: h.bitwiseAND(F.lit(COUNTERS - 1))))).alias("i"))
     counts = _dense(held.groupBy("i").agg(F.count("*").alias("n")), COUNTERS)
-    v = v.withColumn("ats", _rarest(counts)("hashes", "lengths")).select("v_scope", "surrogate", *more, F.arrays_zip("variants", "ats").alias("z"), F.explode(F.array_distinct(F.filter("ats", lambda x: x.isNotNull()))).alias("at"))
-    return v.select("v_scope", "surrogate", *more, "at", F.transform(F.filter("z", lambda x: x["ats"] == F.col("at")), lambda x: x["variants"]).alias("variants"))
+    v = v.withColumn("ats", _rarest(counts)("hashes", "lengths"))
+    return v.select("v_scope", "surrogate", *more, F.explode(F.array_distinct(F.filter("ats", lambda x: x.isNotNull()))).alias("at"))
 
 
 def meetings(rows: DataFrame, surrogates: DataFrame, keep=lambda df: df) -> DataFrame:
-    """(doc_id, t_scope, surrogate, variants): the variants whose anchor a text of `rows` (doc_id, t_scope, text) holds.
-    The scope is the surrogate's; should hashes of two scopes be one, no text has such an id in that scope.
+    """(doc_id, t_scope, surrogate) and others: surrogates that have a variant whose anchor a text of `rows` (doc_id,
+    t_scope, text) holds. The scope is the surrogate's; should hashes of two scopes be one, no text has such an id in that scope.
 
     Only words whose hash may be that of an anchor leave their text, as a hash. `keep` persists the anchors, which are
     read twice.
@@ -178,7 +177,7 @@ def meetings(rows: DataFrame, surrogates: DataFrame, keep=lambda df: df) -> Data
     there = F.array_union(F.regexp_extract_all("text", F.lit(r"\p{L}+|[0-9]+"), F.lit(0)), closed)
     hashed = rows.where("text is not null and t_scope is not null").select("doc_id", F.transform(there, lambda w: F.xxhash64("t_scope", w)).alias("h"))
     near = hashed.select("doc_id", _among(bits)("h").alias("h")).select("doc_id", F.explode(F.array_distinct("h")).alias("at"))
-    return near.join(v, "at").select("doc_id", F.col("v_scope").alias("t_scope"), "surrogate", *_more(surrogates), "variants")
+    return near.join(v, "at").select("doc_id", F.col("v_scope").alias("t_scope"), "surrogate", *_more(surrogates))
 
 
 def search(rows: DataFrame, surrogates: DataFrame, keep=lambda df: df) -> DataFrame:
@@ -191,12 +190,12 @@ def search(rows: DataFrame, surrogates: DataFrame, keep=lambda df: df) -> DataFr
     words of one or two characters are in most texts. Single blanks between digits count for nothing, in texts and in
     variants; hits have their offsets in the text as written.
     """
-    pairs = meetings(rows, surrogates, keep).groupBy("doc_id", "t_scope").agg(F.collect_set(F.struct("surrogate", "variants", *_more(surrogates))).alias("met"))
+    pairs = meetings(rows, surrogates, keep).groupBy("doc_id", "t_scope").agg(F.collect_set(F.struct("surrogate", *_more(surrogates))).alias("met"))
     found = rows.join(pairs, ["doc_id", "t_scope"], "left")
-    each = F.flatten(F.transform("met", lambda x: F.transform(x["variants"], lambda v: F.struct(x["surrogate"].alias("surrogate"), v.alias("variant")))))
+    each = F.flatten(F.transform("met", lambda x: F.transform(variants(x["surrogate"]), lambda v: F.struct(x["surrogate"].alias("surrogate"), v.alias("variant")))))
     wanted = let(F.struct(drop_inner_spaces(F.col("text")).alias("c"), each.alias("a")), lambda t: F.filter(t["a"], lambda x: F.contains(t["c"], drop_inner_spaces(x["variant"]))))
     found = found.withColumn("wanted", wanted)
-    # digits of a variant may stand apart by single blanks in the text
+    # variants are made again here, as they would be most of what is shuffled; digits of one may stand apart by blanks
     spaced = lambda x: F.regexp_replace(quote(x["variant"]), r"(?<=[0-9])(?=[0-9])", r"\\E ?\\Q")
 
     def hits(t: Column) -> Column:

@@ -230,3 +230,14 @@ def test_texts_are_made_once_to_be_restored(spark, tmp_path):
     assert got == {r.doc_id: r.text for r in texts.collect()}
     with open(log) as f:
         assert len(f.read()) == 40
+
+
+def test_a_name_meets_a_text_once(spark):
+    """Of a name with many variants one row an anchor is shuffled to a text, without the variants; each is still found."""
+    from gossamer.operators import match
+
+    given = spark.createDataFrame([("s", "Rue Victor Hugo")], "scope string, surrogate string")
+    texts = spark.createDataFrame(list(enumerate(("rue victor hugo", "RUE VICTOR HUGO", "RueVictorHugo", "M. Hugo"))), "doc_id long, t_scope string").select("doc_id", F.lit("s").alias("t_scope"), F.col("t_scope").alias("text"))
+    met = match.meetings(texts, given)
+    assert met.columns == ["doc_id", "t_scope", "surrogate"] and met.distinct().count() == met.count() == 4
+    assert match.find(texts, given, "doc_id", "text", "t_scope").count() == 4
